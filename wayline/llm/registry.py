@@ -4,15 +4,19 @@ from __future__ import annotations
 
 from .decontaminate import OP5_SQL, op5_decontamination
 from .line_dedup import OP4_SQL, op4_line_dedup
+from .packing import op3_packing
 from .quality_rules import op7_quality_rules
 from .sharding import op2_sharding
+from .token_files import op6_token_files
 
 
 def queries() -> dict:
     return {
         "op2_sharding": op2_sharding,
+        "op3_packing": op3_packing,
         "op4_line_dedup": op4_line_dedup,
         "op5_decontamination": op5_decontamination,
+        "op6_token_files": op6_token_files,
         "op7_quality_rules": op7_quality_rules,
     }
 
