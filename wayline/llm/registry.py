@@ -8,10 +8,12 @@ from .packing import op3_packing
 from .quality_rules import op7_quality_rules
 from .sharding import op2_sharding
 from .token_files import op6_token_files
+from .warc import OP10_SQL, op10_warc
 
 
 def queries() -> dict:
     return {
+        "op10_warc": op10_warc,
         "op2_sharding": op2_sharding,
         "op3_packing": op3_packing,
         "op4_line_dedup": op4_line_dedup,
@@ -22,4 +24,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_line_dedup": OP4_SQL, "op5_decontamination": OP5_SQL}
+    return {"op10_warc": OP10_SQL, "op4_line_dedup": OP4_SQL, "op5_decontamination": OP5_SQL}
