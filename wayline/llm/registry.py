@@ -5,6 +5,7 @@ from __future__ import annotations
 from .decontaminate import OP5_SQL, op5_decontamination
 from .line_dedup import OP4_SQL, op4_line_dedup
 from .packing import op3_packing
+from .quality_crf import op9_quality_classifier
 from .quality_rules import op7_quality_rules
 from .sharding import op2_sharding
 from .token_files import op6_token_files
@@ -20,6 +21,7 @@ def queries() -> dict:
         "op5_decontamination": op5_decontamination,
         "op6_token_files": op6_token_files,
         "op7_quality_rules": op7_quality_rules,
+        "op9_quality_classifier": op9_quality_classifier,
     }
 
 
