@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .decontaminate import OP5_SQL, op5_decontamination
+from .jaccard_join import op1_jaccard_join
 from .line_dedup import OP4_SQL, op4_line_dedup
 from .packing import op3_packing
 from .quality_crf import op9_quality_classifier
@@ -15,6 +16,7 @@ from .warc import OP10_SQL, op10_warc
 def queries() -> dict:
     return {
         "op10_warc": op10_warc,
+        "op1_jaccard_join": op1_jaccard_join,
         "op2_sharding": op2_sharding,
         "op3_packing": op3_packing,
         "op4_line_dedup": op4_line_dedup,
