@@ -41,46 +41,43 @@ def spread_lines(lines: DataFrame, min_sites: int, lg_k: int = 10, sigmas: float
     return sure.unionByName(exact)
 
 
-def line_dedup(
+def removed_lines(docs: DataFrame, min_sites: int, min_words: int) -> DataFrame:
+    """doc_id, digest, gone: the places of the lines to remove, of each text that has any."""
+    lines = exploded_lines(docs).where(F.col("words") >= min_words)
+    boiler = spread_lines(lines, min_sites)
+    return lines.join(boiler, "key", "left_semi").groupBy("doc_id", "digest").agg(F.collect_set("place").alias("gone"))
+
+
+def without_shared_lines(
     docs: DataFrame, min_sites: int = 8, min_words: int = 3, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source"
 ) -> DataFrame:
-    """Remove every line that ``min_sites`` distinct sites share, wherever it stands.
+    """``docs`` with every line removed that ``min_sites`` distinct sites share, wherever it stands; all columns stay, and n_lines and
+    n_removed are added (columns of these names are replaced).
 
     Lines are compared without white space at their ends; lines under ``min_words`` words are never removed. A null site
-    counts as one site of its own; a null text has no lines and stays null. Returns one row per distinct (id, text):
-    doc_id, n_lines, n_removed, text (the other lines, in order). Rows repeated in full count once; rows that share an
-    id but not the text are separate; an empty table gives an empty result. Other columns are not read.
+    counts as one site of its own; a null text has no lines and stays null. Rows keep their number, repeated ones too; rows that
+    share an id but not the text are told apart; an empty table gives an empty result.
     """
-    base = docs.select(
-        F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(F.col(site_col).cast("string"), F.lit("")).alias("site")
-    ).withColumn("digest", F.xxhash64("text"))
-    lines = exploded_lines(base).where(F.col("words") >= min_words)
-    boiler = spread_lines(lines, min_sites)
-    gone = lines.join(boiler, "key", "left_semi").groupBy("doc_id", "digest").agg(F.collect_set("place").alias("gone"))
-    texts = base.groupBy("doc_id", "digest").agg(F.first("text").alias("text")) if _repeats(base) else base
-    joined = texts.alias("t").join(gone.alias("g"), F.col("t.doc_id").eqNullSafe(F.col("g.doc_id")) & (F.col("t.digest") == F.col("g.digest")), "left")
-    parts = _lines(F.col("t.text"))
-    kept = F.when(F.col("g.gone").isNull(), F.col("t.text")).otherwise(F.array_join(F.filter(parts, lambda _, i: ~F.array_contains("g.gone", i)), "\n"))
-    return joined.select(
-        "t.doc_id",
-        F.when(F.col("t.text").isNull(), 0).otherwise(F.size(parts)).cast("long").alias("n_lines"),
+    keyed = docs.withColumn("_digest", F.xxhash64(text_col))
+    base = keyed.select(F.col(id_col).alias("doc_id"), F.col("_digest").alias("digest"), F.col(text_col).alias("text"), F.coalesce(F.col(site_col).cast("string"), F.lit("")).alias("site"))
+    gone = removed_lines(base, min_sites, min_words)
+    joined = keyed.alias("t").join(gone.alias("g"), F.col(f"t.{id_col}").eqNullSafe(F.col("g.doc_id")) & (F.col("t._digest") == F.col("g.digest")), "left")
+    text = F.col(f"t.{text_col}")
+    kept = F.when(F.col("g.gone").isNull(), text).otherwise(F.array_join(F.filter(_lines(text), lambda _, i: ~F.array_contains("g.gone", i)), "\n"))
+    counts = [
+        F.when(text.isNull(), 0).otherwise(F.size(_lines(text))).cast("long").alias("n_lines"),
         F.coalesce(F.size("g.gone"), F.lit(0)).cast("long").alias("n_removed"),
-        kept.alias("text"),
-    )
-
-
-def _repeats(base: DataFrame) -> bool:
-    """Whether any (id, text) stands in more than one row; ids and hashes only are shuffled."""
-    return bool(base.groupBy("doc_id", "digest").count().where("count > 1").take(1))
+    ]
+    return joined.select(*[kept.alias(c) if c == text_col else F.col(f"t.{c}") for c in docs.columns if c not in ("n_lines", "n_removed")], *counts)
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = line_dedup(table(spark, sf_dir, "documents"))
+    out = without_shared_lines(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
 OP4_SQL = r"""
-WITH d AS (SELECT DISTINCT doc_id, text, coalesce(source, '') AS site FROM documents),
+WITH d AS (SELECT doc_id, text, coalesce(source, '') AS site FROM documents),
 l AS (SELECT doc_id, text, site, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
              generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS place FROM d),
 s AS (SELECT *, trim(line, ' ' || chr(9) || chr(11) || chr(12) || chr(13)) AS bare FROM l),

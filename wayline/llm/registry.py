@@ -9,6 +9,7 @@ from .packing import op3_packing
 from .quality_crf import op9_quality_classifier
 from .quality_rules import op7_quality_rules
 from .sharding import op2_sharding
+from .substring_dedup import op8_substring_dedup
 from .token_files import op6_token_files
 from .warc import OP10_SQL, op10_warc
 
@@ -23,6 +24,7 @@ def queries() -> dict:
         "op5_decontamination": op5_decontamination,
         "op6_token_files": op6_token_files,
         "op7_quality_rules": op7_quality_rules,
+        "op8_substring_dedup": op8_substring_dedup,
         "op9_quality_classifier": op9_quality_classifier,
     }
 

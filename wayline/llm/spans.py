@@ -56,7 +56,7 @@ def mixed(h: np.ndarray) -> np.ndarray:
 @lru_cache(maxsize=8)
 def _symbols(seed: int) -> np.ndarray:
     """A random 64-bit number for each byte."""
-    return mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95) + np.uint64(seed + 1) * _BASE)
+    return mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95) + np.uint64((seed + 1) * int(_BASE) & ((1 << 64) - 1)))
 
 
 _powers: dict[bool, np.ndarray] = {}

@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
-from .shared import new_path, scaled_partitions, stored, table
+from .shared import new_path, released_shuffles, scaled_partitions, table
 from .tokens import crc32_of, encoded
 
 MAGIC, BITS, RUN = b"DAC1", 8, 512
@@ -132,7 +132,8 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str = "word_bpe_49k
     n_bytes = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     least = docs.sparkSession.sparkContext.defaultParallelism
     rows = segments(docs, tokenizer, end_id, id_col, text_col, scaled_partitions(n_bytes, partition_bytes, least))
-    rows.write.option("compression", "none").parquet(path)
+    with released_shuffles(docs.sparkSession):
+        rows.write.option("compression", "none").parquet(path)
 
 
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:

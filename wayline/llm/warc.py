@@ -9,7 +9,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .shared import new_path, scaled_partitions, stored, table
+from .shared import new_path, released_shuffles, scaled_partitions, table
 
 CRLF = "\r\n"
 #: Characters in a transfer chunk and in a record's segment.
@@ -94,7 +94,8 @@ def write_warc(pages: DataFrame, path: str, file_bytes: int = 16 << 20, min_byte
     records = page_records(pages, min_bytes, **columns)
     parts = scaled_partitions(n_bytes, file_bytes, pages.sparkSession.sparkContext.defaultParallelism)
     dealt = records.repartition(parts, F.xxhash64("page_id", "payload_digest"))
-    warc_records(dealt).write.option("lineSep", CRLF + CRLF).option("compression", "gzip").text(path)
+    with released_shuffles(pages.sparkSession):
+        warc_records(dealt).write.option("lineSep", CRLF + CRLF).option("compression", "gzip").text(path)
 
 
 _RECORD = pa.schema([("record_id", pa.string()), ("kind", pa.string()), ("origin", pa.string()), ("number", pa.int32()), ("total", pa.int64()), ("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("digest", pa.string()), ("refers_to", pa.int64()), ("url", pa.string()), ("block", pa.binary())])
