@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .shared import stored, table
+from .shared import discard, stored, table
 from .spans import powers, prefix_hashes, range_hashes, text_bytes
 from .tokens import text_slices
 
@@ -18,9 +18,8 @@ GRAM = 32
 #: Extents at which windows are compared: all of a suffix's, then so many together, then each.
 STEPS = (16, 1)
 _SLICE = 2 << 20
-_KEY = [("core", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64())]
-_AT = [("doc_id", pa.int64()), ("digest", pa.int64()), ("a", pa.int32()), ("lo", pa.int32()), ("hi", pa.int32())]
-_SQL = "doc_id long, digest long, a int, lo int, hi int, core long, s1 long, s2 long"
+_ROW = pa.schema([("digest", pa.int64()), ("place", pa.int64()), ("core", pa.int64()), ("whole", pa.int64())])
+_SQL = "digest long, place long, core long, whole long"
 
 
 def sampled_suffixes(raw: np.ndarray, starts: np.ndarray, prefix: np.ndarray, length: int, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -59,37 +58,35 @@ def sampled_suffixes(raw: np.ndarray, starts: np.ndarray, prefix: np.ndarray, le
     return place[first], window[first], window[last]
 
 
-def _hashed(prefix, second, length: int, suffix, lo, hi, core_from, core_to) -> list[np.ndarray]:
-    """core: what all windows of the step have in common. s1 and s2: two hashes, of different symbols, of the bytes of windows lo to hi
-    (offsets before the suffix), which say that all these windows are equal."""
-    begin, end = suffix - hi, suffix - lo + length
+def _rows(digests: pa.Array, owner: np.ndarray, starts: np.ndarray, prefix, second, length: int, suffix, lo, hi, core_from, core_to, block=0) -> pa.RecordBatch:
+    """Rows of the windows that begin ``lo`` to ``hi`` bytes before a suffix.
+
+    core: hash of what all windows of the step have in common. whole: hash, by other symbols, of all bytes of these windows. If both are
+    equal, so are all windows, though neither hash alone is trusted to say so. place: the suffix's byte, lo and hi in one number.
+    """
     where = ((hi << 8) + lo).astype(np.uint64) * np.uint64(0x9FB21C651E98DF25)
-    return [range_hashes(prefix, core_from, core_to).view(np.int64), (range_hashes(prefix, begin, end) ^ where).view(np.int64), (range_hashes(second, begin, end) ^ where).view(np.int64)]
+    core = range_hashes(prefix, core_from, core_to).view(np.int64) ^ (np.asarray(block, np.int64) * 0x5851F42D4C957F2D)
+    whole = range_hashes(second, suffix - hi, suffix - lo + length) ^ where
+    place = ((suffix - starts[owner]) << 16) + (hi << 8) + lo
+    return pa.RecordBatch.from_arrays([digests.take(pa.array(owner)), pa.array(place), pa.array(core), pa.array(whole.view(np.int64))], schema=_ROW)
 
 
 def _first_step(docs: DataFrame, length: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi in text_slices(batch.column("text").fill_null(""), _SLICE):
+            for lo, hi in text_slices(batch.column("text"), _SLICE):
                 raw, starts = text_bytes(batch.column("text").slice(lo, hi - lo))
                 prefix, second = prefix_hashes(raw), prefix_hashes(raw, 1)
                 a, p1, p2 = sampled_suffixes(raw, starts, prefix, length)
                 owner = np.searchsorted(starts, p1, "right") - 1
-                keys = _hashed(prefix, second, length, a, a - p2, a - p1, a, a + GRAM)
-                ids = batch.column("doc_id").slice(lo, hi - lo).take(pa.array(owner))
-                digests = batch.column("digest").slice(lo, hi - lo).take(pa.array(owner))
-                yield _rows(ids, digests, a - starts[owner], a - p2, a - p1, keys)
-
-    return docs.mapInArrow(run, _SQL)
+                yield _rows(batch.column("digest").slice(lo, hi - lo), owner, starts, prefix, second, length, a, a - p2, a - p1, a, a + GRAM)
 
-
-def _rows(ids, digests, a, lo, hi, keys) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([ids, digests, *[pa.array(x.astype(np.int32)) for x in (a, lo, hi)], *map(pa.array, keys)], schema=pa.schema(_AT + _KEY))
+    return docs.select("digest", "text").mapInArrow(run, _SQL)
 
 
 def _next_step(texts: DataFrame, length: int, step: int) -> DataFrame:
-    """``texts`` has, with each text, the suffixes to look at more closely: places, offsets from and to. Rows as of the first step, each for
-    at most ``step`` offsets, aligned to multiples of ``step``, so that equal windows always fall into like rows."""
+    """``texts`` has, with each text, the places to look at more closely. Rows as of the first step, each for at most ``step`` offsets,
+    aligned to multiples of ``step``, so that equal windows always fall into like rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -99,50 +96,52 @@ def _next_step(texts: DataFrame, length: int, step: int) -> DataFrame:
                 prefix, second = prefix_hashes(raw), prefix_hashes(raw, 1)
                 spots = part.column("spots")
                 owner = np.repeat(np.arange(y - x), np.diff(np.asarray(spots.offsets)))
-                inner = spots.flatten()
-                a, lo, hi = (inner.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(3))
-                first, last = lo // step, hi // step
-                count = last - first + 1
+                place = spots.flatten().to_numpy(zero_copy_only=False)
+                a, lo, hi = place >> 16, place & 255, (place >> 8) & 255
+                first = lo // step
+                count = hi // step - first + 1
                 block = np.repeat(first - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
                 owner, a, lo, hi = (np.repeat(v, count) for v in (owner, a, lo, hi))
                 lo, hi = np.maximum(lo, block * step), np.minimum(hi, block * step + step - 1)
-                place = a + starts[owner]
-                keys = _hashed(prefix, second, length, place, lo, hi, place - block * step, place - block * step - step + 1 + length)
-                keys[0] = keys[0] ^ block * 0x5851F42D4C957F2D
-                yield _rows(part.column("doc_id").take(pa.array(owner)), part.column("digest").take(pa.array(owner)), a, lo, hi, keys)
+                suffix = a + starts[owner]
+                core = suffix - block * step
+                for k in range(0, len(owner), 500_000):
+                    s = slice(k, k + 500_000)
+                    yield _rows(part.column("digest"), owner[s], starts, prefix, second, length, suffix[s], lo[s], hi[s], core[s], core[s] - step + 1 + length, block[s])
 
-    return texts.mapInArrow(run, _SQL)
+    return texts.select("digest", "text", "spots").mapInArrow(run, _SQL)
 
 
 def repeated_windows(docs: DataFrame, length: int = 200) -> DataFrame:
-    """doc_id, digest, first, last: runs of window places whose ``length`` bytes stand elsewhere too, in the same text or another.
+    """digest, places: runs of windows whose ``length`` bytes stand elsewhere too, in the same text or another.
 
-    ``docs`` has doc_id, text and digest. A row stands for the windows of one suffix. Rows with both hashes equal are copies: all their
+    ``docs`` has text (not null) and digest, its hash. A row stands for the windows of one suffix. Rows with equal hashes are copies: all their
     windows repeat. Rows with the same core but other bytes may share some windows: one row for each of such contents goes on to the
     next, finer step; the last compares single windows. Rows are only ever counted by hash, with partial sums on each task, so
-    a passage in any number of documents loads no task.
+    a passage in any number of documents loads no task. What a step has written goes as soon as the next has been written.
     """
     found, rows = [], stored(_first_step(docs, length), "substring-rows")
+    copy = docs.groupBy("digest").agg(F.min("doc_id").alias("one_id"))  # of equal texts one is looked at more closely
     for step in (*STEPS, 0):
-        kinds = stored(rows.groupBy("core", "s1", "s2").agg(F.count("*").alias("copies"), F.min(F.struct("doc_id", "digest", "a", "lo", "hi")).alias("one")), "substring-kinds")
-        repeated = kinds.where("copies > 1").select("core", "s1", "s2")
-        found.append(rows.join(repeated, ["core", "s1", "s2"], "left_semi").select("doc_id", "digest", (F.col("a") - F.col("hi")).alias("first"), (F.col("a") - F.col("lo")).alias("last")))
+        kinds = stored(rows.groupBy("core", "whole").agg(F.count("*").alias("copies"), F.min(F.struct("digest", "place")).alias("one")), "substring-kinds")
+        repeated = kinds.where("copies > 1").select("core", "whole")
+        found.append(stored(rows.join(repeated, ["core", "whole"], "left_semi").select("digest", "place").distinct(), "substring-found"))
+        discard(rows)
         if not step:
+            discard(kinds)
             break
         unlike = kinds.groupBy("core").agg(F.count("*").alias("n")).where("n > 1").select("core")
-        spots = kinds.join(unlike, "core", "left_semi").select("one.*").groupBy("doc_id", "digest").agg(F.collect_list(F.struct("a", "lo", "hi")).alias("spots"))
-        rows = stored(_next_step(_with_texts(docs, spots, "spots"), length, step), "substring-rows")
+        spots = kinds.select("core", "one").join(unlike, "core", "left_semi").groupBy("one.digest").agg(F.collect_list("one.place").alias("spots"))
+        spots = stored(spots.join(copy, "digest").withColumnRenamed("digest", "one_digest"), "substring-spots")
+        discard(kinds)
+        rows = stored(_next_step(docs.join(spots, (F.col("digest") == F.col("one_digest")) & F.col("doc_id").eqNullSafe(F.col("one_id"))), length, step), "substring-rows")
+        discard(spots)
     out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)
     return out
 
 
-def _with_texts(docs: DataFrame, found: DataFrame, column: str, how: str = "inner") -> DataFrame:
-    joined = docs.alias("d").join(found.alias("f"), F.col("d.doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("d.digest") == F.col("f.digest")), how)
-    return joined.select("d.doc_id", "d.digest", "d.text", f"f.{column}")
-
-
 def merged_runs(first: np.ndarray, last: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """Byte spans that windows ``first`` to ``last`` cover, merged where they overlap or touch."""
     order = np.argsort(first, kind="stable")
@@ -160,7 +159,7 @@ def substring_dedup(docs: DataFrame, length: int = 200, id_col: str = "doc_id",
     are copies of one another; null ids are kept; extra columns are not read.
     """
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("digest", F.xxhash64("text"))
-    runs = repeated_windows(base, length).groupBy("doc_id", "digest").agg(F.collect_set(F.struct("first", "last")).alias("runs"))
+    runs = repeated_windows(base, length).groupBy("digest").agg(F.collect_list("place").alias("runs"))
     kind = [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())] + [("kept", pa.binary())] * with_kept
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,8 +168,8 @@ def substring_dedup(docs: DataFrame, length: int = 200, id_col: str = "doc_id",
             for k, (doc_id, runs_of) in enumerate(zip(batch.column("doc_id").to_pylist(), batch.column("runs"), strict=True)):
                 text = batch.column("text")[k].as_buffer().to_pybytes()
                 if runs_of.is_valid:
-                    first, last = (runs_of.values.field(j).to_numpy(zero_copy_only=False).astype(np.int64) for j in range(2))
-                    lo, hi = merged_runs(first, last, length)
+                    place = runs_of.values.to_numpy(zero_copy_only=False)
+                    lo, hi = merged_runs((place >> 16) - ((place >> 8) & 255), (place >> 16) - (place & 255), length)
                     kept = b"".join(text[x:y] for x, y in zip([0, *hi], [*lo, len(text)], strict=True))
                     row = (doc_id, len(text), len(text) - len(kept), len(lo))
                 else:
@@ -179,7 +178,7 @@ def substring_dedup(docs: DataFrame, length: int = 200, id_col: str = "doc_id",
             columns = list(zip(*out, strict=True)) or [()] * len(kind)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(columns, kind, strict=True)], schema=pa.schema(kind))
 
-    return _with_texts(base, runs, "runs", "left").mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_kept)
+    return base.join(runs, "digest", "left").select("doc_id", "text", "runs").mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_kept)
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
