@@ -221,7 +221,7 @@ def _doubled(rows: DataFrame, width: float) -> DataFrame:
 def greedy_similarity_groups(rows: DataFrame, near, schema: str = "id long, lead long") -> DataFrame:
     """id, lead over ``rows`` (group, ord, id, item): within each group the first free row leads and takes all later free rows that are ``near`` it (a function of two items).
 
-    Groups come from ``anchored_time_groups``, so a group spans some minutes.
+    Groups come from ``anchored_time_groups``, so a group spans some minutes. A row without an item leads itself.
     """
 
     def absorb(r: pd.DataFrame) -> pd.DataFrame:
@@ -232,14 +232,13 @@ def greedy_similarity_groups(rows: DataFrame, near, schema: str = "id long, lead
             if a in lead:
                 continue
             lead[a] = a
-            if items[i] is None:
-                continue
             for b, y in zip(ids[i + 1 :], items[i + 1 :], strict=True):
-                if b not in lead and y is not None and near(items[i], y):
+                if b not in lead and near(items[i], y):
                     lead[b] = a
         return pd.DataFrame(lead.items(), columns=["id", "lead"])
 
-    return rows.groupBy("group").applyInPandas(absorb, schema)
+    bare = rows.where("item IS NULL").select("id", F.col("id").alias("lead"))
+    return rows.where("item IS NOT NULL").groupBy("group").applyInPandas(absorb, schema).unionByName(bare)
 
 
 def best_of_group(rows: DataFrame, group: str, score: str, n: int = 1, key: str = "id") -> DataFrame:

@@ -1,4 +1,128 @@
+"""Queries that read, merge and write (S), and the streaming jobs (R) over replayed files."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators.loop import nested_spec
+from ..sources import readers as R, writers as S
+from ..streaming.jobs import selection_bursts
 from .book import Book
 
 book = Book()
 query = book.query
+
+
+def _folder(v, name: str) -> str:
+    from .stored import folder
+
+    return folder(v.spark, name)
+
+
+@query("S1_load_catalog", "SELECT 'media' AS what, count(*) AS n FROM {events} UNION ALL SELECT 'orders', count(*) FROM {orders} UNION ALL SELECT 'part', count(*) FROM {part}")
+def catalog(v):
+    tables = R.load_catalog(v.spark, v.sf_dir, ["events", "orders", "part"])
+    rows = [df.agg(F.count("*").alias("n")).select(F.lit({"events": "media"}.get(n, n)).alias("what"), "n") for n, df in tables.items()]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2])
+
+
+@query("S2_file_inventory")
+def inventory(v):
+    return R.file_inventory(v.spark, v.sf_dir).select(F.regexp_extract("path", "([^/]+)$", 1).alias("name"), "type", "length")
+
+
+@query("S3_read_gpx", "SELECT strftime(time, '%Y-%m-%d %H:%M:%S') AS time, latitude, longitude, elevation FROM {track_points} WHERE track_id = 4")
+def gpx(v):
+    """Track points written as a GPX file a day and read again."""
+    point = F.concat(F.lit('<trkpt lat="'), F.col("latitude").cast("string"), F.lit('" lon="'), F.col("longitude").cast("string"), F.lit('"><ele>'), F.col("elevation").cast("string"), F.lit("</ele><time>"), F.date_format("time", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("Z</time></trkpt>"))
+    days = v.track_points.where("track_id = 4").groupBy(F.to_date("time").alias("day")).agg(F.array_join(F.collect_list(point), "").alias("p"))
+    out = _folder(v, "gpx")
+    days.select(F.concat(F.lit("<gpx><trk><trkseg>"), "p", F.lit("</trkseg></trk></gpx>"))).write.option("maxRecordsPerFile", 1).text(out)
+    points, _, _ = R.read_gpx(v.spark, out)
+    return points.select(F.date_format("time", "yyyy-MM-dd HH:mm:ss").alias("time"), "latitude", "longitude", "elevation")
+
+
+@query("S4_read_chat_export", "SELECT chat_id, message_id, from_name = 'system' AS is_system, from_name, text FROM {messages}")
+def chat(v):
+    m = v.messages
+    entity = F.array(F.struct(F.lit("plain").alias("type"), F.col("text").alias("text")))
+    row = F.struct(F.col("message_id").alias("id"), F.when(F.col("from_name") == "system", "service").otherwise("message").alias("type"), F.date_format("date_utc", "yyyy-MM-dd'T'HH:mm:ss").alias("date"), F.col("from_name").alias("from"), entity.alias("text_entities"))
+    out = _folder(v, "chat")
+    m.groupBy(F.col("chat_id").alias("id")).agg(F.collect_list(row).alias("messages")).write.json(out)
+    # Spark's writer puts one chat on a line
+    messages, _ = R.read_chat_export(v.spark, out, multi_line=False)
+    return messages.select("chat_id", "message_id", "is_system", "from_name", "text")
+
+
+@query("S5_read_text_collections", """SELECT 'T' || doc_id AS title, lang AS place, trim(replace(replace(substr(text, 1, 200), '#', ''), chr(10), ' ')) AS body FROM {documents}""")
+def texts(v):
+    body = F.trim(F.replace(F.replace(F.substring("text", 1, 200), F.lit("#"), F.lit("")), F.lit("\n"), F.lit(" ")))
+    section = F.concat(F.lit("## T"), F.col("doc_id").cast("string"), F.lit("\nlugar: "), F.col("lang"), F.lit("\ntags: a, b\n\n"), body, F.lit("\n"))
+    out = _folder(v, "texts")
+    v.documents.select(section).write.text(out)
+    return R.read_text_collections(v.spark, out).select("title", "place", "body")
+
+
+@query("S6_export_csv", "SELECT media_id, key, length(value) AS n FROM {metadata} WHERE key <> 'ia_keywords_sonido' AND length(value) <= 2000")
+def exported(v):
+    return S.exportable("metadata", v.metadata, ["ia_keywords_sonido"], 2000).select("media_id", "key", F.length("value").alias("n"))
+
+
+@query("S7_write_snapshot", "SELECT id, type FROM {media}")
+def snapshot(v):
+    out = _folder(v, "snapshot")
+    S.write_snapshot(v.media, out)
+    return v.spark.read.parquet(out).select("id", "type")
+
+
+@query("S8_write_loop_spec", "SELECT type AS kind, count(*) AS n FROM {media} WHERE timestamp_utc IS NOT NULL GROUP BY type")
+def spec(v):
+    out = _folder(v, "spec")
+    rows = v.media.where("timestamp_utc IS NOT NULL").select(F.col("type").alias("kind"), "id", F.lit(0).alias("seg_i"), F.lit(0.0).alias("t_loop"), F.lit("").alias("text"))
+    S.write_loop_spec(nested_spec(rows), out)
+    return v.spark.read.json(out).select("kind", F.size("items").cast("long").alias("n"))
+
+
+_NEW = "(SELECT id + 9000 AS id, 'new' AS v FROM {media} WHERE id < 2000)"
+
+
+@query("S9_merge_by_mode", f"""
+WITH t AS (SELECT id, type AS v FROM {{media}}), n AS {_NEW} SELECT 'skip' AS mode, v, count(*) AS n FROM (SELECT * FROM t UNION ALL SELECT * FROM n WHERE id NOT IN (SELECT id FROM t)) GROUP BY v
+UNION ALL SELECT 'update', v, count(*) FROM (SELECT * FROM t WHERE id NOT IN (SELECT id FROM n) UNION ALL SELECT * FROM n) GROUP BY v UNION ALL SELECT 'replace', v, count(*) FROM (SELECT * FROM t WHERE v <> 'image' AND id NOT IN (SELECT id FROM n) UNION ALL SELECT * FROM n) GROUP BY v""")
+def merged(v):
+    t, n = v.media.select("id", F.col("type").alias("v")), v.media.where("id < 2000").select((F.col("id") + 9000).alias("id"), F.lit("new").alias("v"))
+    count = lambda mode: S.merge_by_mode(t, n, ["id"], mode, F.col("v") == "image").groupBy("v").agg(F.count("*").alias("n")).select(F.lit(mode).alias("mode"), "v", "n")
+    return count("skip").unionByName(count("update")).unionByName(count("replace"))
+
+
+@query("S10_dedup_ingest", "SELECT min(id) AS id, content_hash AS file_hash FROM {media} WHERE content_hash NOT IN (SELECT content_hash FROM {media} WHERE id < 3000) GROUP BY content_hash")
+def fresh(v):
+    m = v.media.select("id", F.col("content_hash").alias("file_hash"))
+    return S.dedup_ingest(m, m.where("id < 3000"))
+
+
+@query("S11_undo_batch", "SELECT 'media' AS what, count(*) AS n FROM {media} WHERE ingest_batch_id = 3 UNION ALL SELECT 'metadata', count(*) FROM {metadata} WHERE media_id IN (SELECT id FROM {media} WHERE ingest_batch_id = 3) UNION ALL SELECT 'left', count(*) FROM {media} WHERE ingest_batch_id IS DISTINCT FROM 3")
+def undone(v):
+    preview, left = S.undo_batch(v.media, {"metadata": v.metadata}, 3)
+    return preview.unionByName(left["media"].agg(F.count("*").alias("n")).select(F.lit("left").alias("what"), "n"))
+
+
+@query("S12_reroot_paths", "SELECT id, CASE WHEN starts_with(carpeta || '/' || id, 'folder_1/') THEN '/mnt/new/' || id ELSE carpeta || '/' || id END AS path FROM {media}")
+def rerooted(v):
+    path = F.concat("carpeta", F.lit("/"), F.col("id").cast("string"))
+    return v.media.select("id", S.reroot_paths(path, "folder_1", "/mnt/new/").alias("path"))
+
+
+@query("R1_selection_bursts")
+def bursts(v):
+    """The streaming query's batch form over the whole table; tests hold the streaming run against it."""
+    e = v.events.select(F.col("ts").cast("timestamp").alias("ts"), "user_id", F.col("event_type").alias("value"))
+    return selection_bursts(e, "2 hours").select("user_id", "start", "n", F.array_join("values", ",").alias("values"))
+
+
+@query("R2_incremental_ingest", "SELECT min(id) AS id, content_hash AS file_hash FROM {media} GROUP BY content_hash")
+def ingested(v):
+    """Two deliveries of which the second repeats hashes of the first."""
+    m = v.media.select("id", F.col("content_hash").alias("file_hash"))
+    first = S.dedup_ingest(m.where("id < 6000"), m.limit(0))
+    return first.unionByName(S.dedup_ingest(m.where("id >= 6000"), first))

@@ -5,16 +5,20 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def stored(df: DataFrame, tag: str) -> DataFrame:
-    """``df`` written once to the folder in ``spark.checkpoint.dir`` (a temporary one where that is unset) and read again."""
-    spark = df.sparkSession
+def folder(spark: SparkSession, tag: str) -> str:
+    """A new path in the folder in ``spark.checkpoint.dir`` (a temporary one where that is unset)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         found = "file://" + tempfile.mkdtemp(prefix="wayline-")
         spark.conf.set("spark.checkpoint.dir", found)
-    path = f"{found.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+    return f"{found.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, tag: str) -> DataFrame:
+    """``df`` written once to the shared folder and read again."""
+    path = folder(df.sparkSession, tag)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
