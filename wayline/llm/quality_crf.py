@@ -19,6 +19,8 @@ SAMPLE = 6000
 #: Of a text's lines, so many from each end at most take part in fitting (scoring uses all).
 FIT_LINES = 100
 _LOCAL = 10
+#: Bytes of text whose features are computed at a time.
+_SLICE = 1 << 20
 
 
 def line_features(raw: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -198,7 +200,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column("text")
-            for lo, hi in text_slices(pc.fill_null(texts, "")):
+            for lo, hi in text_slices(pc.fill_null(texts, ""), _SLICE):
                 part = texts.slice(lo, hi - lo)
                 x, size, first = line_features(*text_bytes(part))
                 ends = np.append(first[1:], len(x))
@@ -231,7 +233,7 @@ def score_quality(docs: DataFrame, model: LineModel, threshold: float = 0.3, id_
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(text_col)
-            parts = [weights.scores(texts.slice(lo, hi - lo)) for lo, hi in text_slices(pc.fill_null(texts, ""))]
+            parts = [weights.scores(texts.slice(lo, hi - lo)) for lo, hi in text_slices(pc.fill_null(texts, ""), _SLICE)]
             score = np.concatenate([np.empty(0), *parts])
             columns = {n: batch.column(n) for n in batch.schema.names if n not in ("score", "predicted")}
             yield pa.RecordBatch.from_pydict(columns | {"score": pa.array(score), "predicted": pa.array((score >= threshold).astype(np.int32))})
