@@ -6,15 +6,16 @@ import os
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Words that a task keeps with their ids before it forgets them all; bounds its memory.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 500_000
 #: Bytes of text that are turned into ids at a time.
-SLICE_BYTES = 6 << 20
+SLICE_BYTES = 4 << 20
 
 
 def vocabulary(name: str = "word_bpe_49k.json") -> str:
@@ -33,40 +34,77 @@ def _encoder(name: str):
     return WordEncoder(Tokenizer.from_file(path))
 
 
+#: What the tokenizer's pre-tokenizer takes as one piece, in lower case, for words of the characters in _PLAIN.
+_PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
+_PLAIN = "^[\x21-\x7E\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]+$"
+
+
 class WordEncoder:
     """Ids of texts whose tokenizer never joins what white space divides.
 
-    Texts are cut at spaces and line ends, each distinct piece is encoded once by the library (whole, so that its
-    normalisation and splitting hold), and the ids are put together by numpy.
+    Texts are cut at spaces and line ends and each distinct word is encoded once, by the library. Most words are encoded many at a
+    time, with spaces between: each piece of a word ends with a token that is marked as a word's end, so counting a word's pieces tells
+    where its ids end. Words with rarer characters, or with what may be a special token, are encoded one by one.
     """
 
     def __init__(self, tokenizer) -> None:
         self.tokenizer = tokenizer
-        self.cache: dict[str, np.ndarray] = {}
-
-    def _ids(self, words: list[str]) -> list[np.ndarray]:
-        if len(self.cache) + len(words) > CACHE_WORDS:
-            self.cache = {}
-        new = [w for w in words if w not in self.cache]
-        for lo in range(0, len(new), 20_000):
-            part = new[lo : lo + 20_000]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.cache[w] = np.array(e.ids, np.uint16 if not e.ids or max(e.ids) < 65536 else np.uint32)
-        return [self.cache[w] for w in words]
+        vocabulary = tokenizer.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
+        self.forget()
+
+    def forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.first, self.size, self.pool = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int32)
+
+    def _learn(self, words: pa.Array) -> None:
+        """Encode ``words``, none of which is known."""
+        plain = pc.and_(pc.match_substring_regex(words, _PLAIN), pc.invert(pc.match_substring(words, "<|")))
+        ids, sizes = [self.pool], []
+        easy, hard = words.filter(plain), words.filter(pc.invert(plain)).to_pylist()
+        names = easy.to_pylist()
+        pieces = pc.count_substring_regex(pc.utf8_lower(easy), _PIECES).to_numpy(zero_copy_only=False).astype(np.int64)
+        texts = [" ".join(names[k : k + 2000]) for k in range(0, len(names), 2000)]
+        for k, e in enumerate(self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
+            got = np.array(e.ids, np.int32)
+            last = np.flatnonzero(self.ends[got]) + 1
+            upto = np.cumsum(pieces[2000 * k : 2000 * k + 2000])
+            if len(last) != upto[-1]:
+                raise ValueError("a word's pieces were miscounted")
+            ends = last[upto - 1]
+            ids.append(got)
+            sizes.append(np.diff(ends, prepend=0))
+        for e in self.tokenizer.encode_batch_fast(hard, add_special_tokens=False):
+            ids.append(np.array(e.ids, np.int32))
+            sizes.append(np.array([len(e.ids)]))
+        new = np.concatenate([np.empty(0, np.int64), *sizes])
+        at = len(self.pool) + np.cumsum(new) - new
+        self.known.update(zip([*names, *hard], range(len(self.size), len(self.size) + len(new)), strict=True))
+        self.first, self.size, self.pool = np.concatenate([self.first, at]), np.concatenate([self.size, new]), np.concatenate(ids)
+
+    def _places(self, words: pa.Array) -> np.ndarray:
+        """Where each of ``words`` stands among the known ones."""
+        names = words.to_pylist()
+        if len(self.known) + len(names) > CACHE_WORDS:
+            self.forget()
+        at = np.fromiter(map(self.known.get, names, repeat(-1)), np.int64, len(names))
+        if (at < 0).any():
+            self._learn(words.filter(pa.array(at < 0)))
+            at = np.fromiter(map(self.known.__getitem__, names), np.int64, len(names))
+        return at
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of non-null ``texts`` one after another, and where each text's begin (one more at the end)."""
         flat = pc.replace_substring(pc.replace_substring(texts, "\n", " "), "\t", " ")
+        if not pc.any(pc.match_substring(flat, "<|")).as_py():
+            flat = pc.ascii_lower(flat)  # as the tokenizer does anyway
         split = pc.split_pattern(flat, " ")
         words = split.flatten().dictionary_encode()
-        lists = self._ids(words.dictionary.to_pylist())
-        sizes = np.fromiter(map(len, lists), np.int64, len(lists))
-        table = np.concatenate([np.empty(0, np.uint16), *lists])
-        first = np.concatenate([[0], np.cumsum(sizes)])
-        at = words.indices.to_numpy(zero_copy_only=False)
-        n = sizes[at]
+        place = self._places(words.dictionary)[words.indices.to_numpy(zero_copy_only=False)]
+        n = self.size[place]
         ends = np.concatenate([[0], np.cumsum(n)])
-        ids = table[np.repeat(first[at] - ends[:-1], n) + np.arange(ends[-1])]
+        ids = self.pool[np.repeat(self.first[place] - ends[:-1], n) + np.arange(ends[-1])]
         offsets = np.asarray(split.offsets, np.int64)
         return ids, ends[offsets - offsets[0]]
 
