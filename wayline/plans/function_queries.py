@@ -212,12 +212,13 @@ def cut(v):
     return v.documents.select("doc_id", text.cut_at_word(F.regexp_replace("text", r"\s+", " "), 60).alias("text"))
 
 
-_JSON = F.to_json(F.collect_list(F.struct("inicio", "fin", "texto")))
+def _json():
+    return F.to_json(F.collect_list(F.struct("inicio", "fin", "texto")))
 
 
 @query("H16_segments_to_text", "SELECT media_id, string_agg(trim(texto), ' ' ORDER BY inicio) AS text FROM {segments} WHERE trim(texto) <> '' GROUP BY media_id")
 def segment_text(v):
-    return v.segments.groupBy("media_id").agg(_JSON.alias("j")).select("media_id", text.segments_to_text(F.col("j")).alias("text")).where("text <> ''")
+    return v.segments.groupBy("media_id").agg(_json().alias("j")).select("media_id", text.segments_to_text(F.col("j")).alias("text")).where("text <> ''")
 
 
 @query("H17_embedding_text", """
@@ -232,7 +233,7 @@ def embedded(v):
 
 @query("H18_reliable_segments", "SELECT media_id, CAST(count(*) FILTER (WHERE trim(texto) <> '' AND fin - inicio >= 1.5) AS INT) AS n FROM {segments} GROUP BY media_id")
 def reliable(v):
-    listed = v.segments.groupBy("media_id").agg(_JSON.alias("j"))
+    listed = v.segments.groupBy("media_id").agg(_json().alias("j"))
     return listed.select("media_id", F.size(text.reliable_segments(F.from_json("j", text.SEGMENTS))).alias("n"))
 
 

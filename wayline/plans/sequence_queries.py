@@ -48,14 +48,14 @@ def daylight(v):
     return Q.daylight_transitions(samples(v))
 
 
-_HAV = "2 * 6371000 * asin(sqrt(least(1.0, pow(sin(radians(lat - la) / 2), 2) + cos(radians(la)) * cos(radians(lat)) * pow(sin(radians(lon - lo) / 2), 2))))"
+_HAV = "CASE WHEN la IS NOT NULL AND lat IS NOT NULL THEN 2 * 6371000 * asin(sqrt(least(1.0, pow(sin(radians(lat - la) / 2), 2) + cos(radians(la)) * cos(radians(lat)) * pow(sin(radians(lon - lo) / 2), 2)))) END"
 
 
 @query("W5_motion_transitions", f"""WITH {_SAMPLES}, d AS (SELECT *, lag(lat) OVER w AS la, lag(lon) OVER w AS lo, lag(offset_s) OVER w AS p FROM samples WINDOW w AS (PARTITION BY media_id ORDER BY offset_s)),
-s AS (SELECT media_id, offset_s, CASE WHEN {_HAV} / 60 * 3.6 >= 0.05 THEN 'en movimiento' WHEN {_HAV} IS NOT NULL THEN 'detenido' END AS value FROM d WHERE p IS NOT NULL), x AS (SELECT *, lag(value) OVER (PARTITION BY media_id ORDER BY offset_s) AS q FROM s)
+s AS (SELECT media_id, offset_s, CASE WHEN {_HAV} / 60 * 3.6 >= 0.0437 THEN 'en movimiento' WHEN {_HAV} IS NOT NULL THEN 'detenido' END AS value FROM d WHERE p IS NOT NULL), x AS (SELECT *, lag(value) OVER (PARTITION BY media_id ORDER BY offset_s) AS q FROM s)
 SELECT media_id, CAST(offset_s AS INT) AS offset_s, value FROM x WHERE value IS NOT NULL AND value IS DISTINCT FROM q""")
 def motion(v):
-    return Q.motion_transitions(samples(v), 0.05)
+    return Q.motion_transitions(samples(v), 0.0437)
 
 
 @query("W6_coarse_samples", f"""WITH {_SAMPLES}, l AS (SELECT media_id, max(offset_s) AS last FROM samples GROUP BY 1), w AS (SELECT media_id, k * 150 AS spot FROM l, (SELECT unnest(range(0, 20)) AS k) WHERE k * 150 <= last)
