@@ -9,7 +9,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .shared import new_path, released_shuffles, scaled_partitions, table
+from .shared import new_path, released_shuffles, table
 
 CRLF = "\r\n"
 #: Characters in a transfer chunk and in a record's segment.
@@ -90,12 +90,11 @@ def write_warc(pages: DataFrame, path: str, file_bytes: int = 16 << 20, min_byte
     Null html counts as empty; null ids are written without that header and revisit nothing; repeated rows are written
     each; an empty table writes no record. Other columns are not read.
     """
-    n_bytes = pages.agg(F.sum(F.octet_length(columns.get("html_col", "html")))).first()[0] or 0
-    records = page_records(pages, min_bytes, **columns)
-    parts = scaled_partitions(n_bytes, file_bytes, pages.sparkSession.sparkContext.defaultParallelism)
-    dealt = records.repartition(parts, F.xxhash64("page_id", "payload_digest"))
+    n, n_bytes = pages.agg(F.count("*"), F.sum(F.octet_length(columns.get("html_col", "html")))).first()
+    most = max(1, n * file_bytes // max(1, n_bytes or 0))
+    records = warc_records(page_records(pages, min_bytes, **columns))
     with released_shuffles(pages.sparkSession):
-        warc_records(dealt).write.option("lineSep", CRLF + CRLF).option("compression", "gzip").text(path)
+        records.write.option("maxRecordsPerFile", most).option("lineSep", CRLF + CRLF).option("compression", "gzip").text(path)
 
 
 _RECORD = pa.schema([("record_id", pa.string()), ("kind", pa.string()), ("origin", pa.string()), ("number", pa.int32()), ("total", pa.int64()), ("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("digest", pa.string()), ("refers_to", pa.int64()), ("url", pa.string()), ("block", pa.binary())])
