@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from .components import components
 from .shared import scaled_partitions, stored, table
@@ -14,12 +14,18 @@ from .spans import lower_ascii, mixed, text_bytes, word_hashes
 from .tokens import text_slices
 
 #: Groups that shingles are hashed into; a set's point has a coordinate for each, its number of shingles there (255 at most).
-GROUPS = 48
+GROUPS = 96
+#: Of these groups so many are compared member by member before whole sets are.
+PART = 12
 #: Counters of the shingle frequencies: a fixed size, whatever the corpus.
 COUNTERS = 1 << 18
 #: A bucket over so many sets is dealt as pairs of blocks of so many.
 BLOCK = 2048
 _LEAF = 32
+#: Of a set's possible partners, in each of so many rounds, so many of the likeliest are verified before all that are left are.
+LIKELIEST, ROUNDS = 4, 2
+#: Bytes of text that a task hashes at a time; its arrays take some fifty times as much.
+_SLICE = 1 << 20
 #: A table of at most so many rows of ids is broadcast, after it has been counted.
 BROADCAST_ROWS = 500_000
 
@@ -122,7 +128,7 @@ def _sketch_and_sets(docs: DataFrame, width: int) -> DataFrame:
         schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("sid", pa.int64()), ("point", pa.binary()), ("block", pa.int32())])
         for batch in batches:
             texts = batch.column("text")
-            for lo, hi in text_slices(texts.fill_null("")):
+            for lo, hi in text_slices(texts.fill_null(""), _SLICE):
                 h, starts = shingle_sets(texts.slice(lo, hi - lo), width)
                 counts += np.bincount((h >> np.uint64(64 - 18)).astype(np.int64), minlength=COUNTERS)
                 n = np.diff(starts)
@@ -164,7 +170,7 @@ def prefix_rows(docs: DataFrame, levels: np.ndarray, percent: int, width: int, s
         level_of = shared.value
         for batch in batches:
             texts = batch.column("text")
-            for lo, hi in text_slices(texts.fill_null("")):
+            for lo, hi in text_slices(texts.fill_null(""), _SLICE):
                 h, starts = shingle_sets(texts.slice(lo, hi - lo), width)
                 sid, n = _set_ids(h, starts), np.diff(starts)
                 level = level_of[(h >> np.uint64(64 - 18)).astype(np.int64)]
@@ -178,7 +184,7 @@ def prefix_rows(docs: DataFrame, levels: np.ndarray, percent: int, width: int, s
                 at = order[first]
                 token, set_id, lev = h[at].view(np.int64), sid[owner[at]], level[at].astype(np.int64)
                 parts = np.maximum(1, (1 << np.minimum(lev, 40)) // salt_over)
-                salt = np.where(parts > 1, mixed(set_id.view(np.uint64)) % parts.astype(np.uint64), 0).astype(np.int32)
+                salt = np.where(parts > 1, (mixed(set_id.view(np.uint64)) % parts.astype(np.uint64)).astype(np.int64), -1).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([pa.array(token), pa.array(salt), pa.array(set_id)], names=["token", "salt", "sid"])
 
     return docs.mapInArrow(run, "token long, salt int, sid long")
@@ -206,7 +212,7 @@ def _grouped(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.
 
 
 def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by token, salt, sid: of each bucket with two sets or more (or a salted one), its distinct sets with the first of them."""
+    """Rows sorted by token, salt, sid: of each bucket with two sets or more, or a salted one (salt of 0 and above), its distinct sets with the first of them."""
     last = None  # token, salt, pivot, last sid, whether the pivot's own row is out
     for batch in batches:
         if not batch.num_rows:
@@ -224,11 +230,11 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fresh[0] = not carried or sid[0] != last[3]
         other = fresh & (sid != pivot)
         several = np.bincount(group[other], minlength=group[-1] + 1) > 0
-        own = new & several[group]
+        own = new & (several[group] | (salt >= 0))
         late = carried and not last[4] and several[0]
         keep = other | own
         out = [np.concatenate([[last[0]], token[keep]]), np.concatenate([[last[2]], pivot[keep]]), np.concatenate([[last[2]], sid[keep]])] if late else [token[keep], pivot[keep], sid[keep]]
-        done = bool(several[group[-1]]) or (bool(group[-1] == 0) and carried and last[4])
+        done = bool(several[group[-1]]) or bool(salt[-1] >= 0) or (bool(group[-1] == 0) and carried and last[4])
         last = (token[-1], salt[-1], pivot[-1], sid[-1], done)
         yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in out], names=["token", "pivot", "sid"])
 
@@ -240,7 +246,9 @@ def _bounded_pairs(percent: int):
                 continue
             u, v = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u2").reshape(-1, GROUPS) for c in ("point_a", "point_b"))
             n, m = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("n_a", "n_b"))
-            yield batch.filter(pa.array(_possible(u, n, v, m, percent))).select(["a", "b", "weight"])
+            good = _possible(u, n, v, m, percent)
+            slack = _overlap_bound(u, v) / np.maximum(_required(n, m, percent), 1)
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), batch.column("weight"), pa.array(slack)], names=["a", "b", "weight", "slack"]).filter(pa.array(good))
 
     return run
 
@@ -252,23 +260,33 @@ def _tree_pairs(percent: int):
             points = np.frombuffer(b"".join(rows.column("point").to_pylist()), "<u2").reshape(-1, GROUPS)
             n, sid, root, own = (rows.column(c).to_numpy() for c in ("n", "sid", "root", "own"))
             cuts = np.flatnonzero((token[1:] != token[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
-            found_a, found_b = [], []
+            found_a, found_b, slacks = [], [], []
             for lo, hi in zip([0, *cuts], [*cuts, len(token)], strict=True):
                 a, b = rtree_pairs(points[lo:hi], n[lo:hi], root[lo:hi], own[lo:hi] if i[lo] != j[lo] else None, percent)
                 found_a.append(sid[lo:hi][a])
                 found_b.append(sid[lo:hi][b])
+                slacks.append(_overlap_bound(points[lo:hi][a], points[lo:hi][b]) / np.maximum(_required(n[lo:hi][a], n[lo:hi][b], percent), 1))
             a, b = np.concatenate(found_a), np.concatenate(found_b)
-            yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b)), pa.array(np.concatenate(slacks))], names=["a", "b", "slack"])
 
     return run
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, percent: int, width: int) -> DataFrame:
+def _verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, percent: int, width: int, screened: bool = True) -> DataFrame:
     """The pairs (a, b) of sets that do link, by intersection of the sets themselves.
 
+    Unless it is not to be ``screened``, a first pass compares the sets' members in PART of the groups; these and the summed minima of the other
+    groups bound the overlap, which rules out most pairs that the count vectors alone let pass, at a fraction of the bytes.
     Each set is made again from one of its texts. That of ``a`` goes to where that of ``b`` is, dealt by both, so a set with many partners
     is spread. The ids that choose the texts are broadcast if they have been counted and are few, else joined by a shuffle.
     """
+    if screened:
+        pairs = stored(_compared(pairs, docs, sets, percent, width, PART), "jaccard-screened")
+    return _compared(pairs, docs, sets, percent, width, GROUPS)
+
+
+def _compared(pairs: DataFrame, docs: DataFrame, sets: DataFrame, percent: int, width: int, part: int) -> DataFrame:
+    """The pairs that members in groups under ``part`` and the counts in the other groups allow to link; with all groups, those that link."""
     n_pairs = pairs.count()
     if not n_pairs:
         return pairs.select("a", "b")
@@ -279,19 +297,28 @@ def _verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, percent: int,
     def with_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             column = batch.column("text")
-            for lo, hi in text_slices(column.fill_null("")):
+            for lo, hi in text_slices(column.fill_null(""), _SLICE):
                 h, starts = shingle_sets(column.slice(lo, hi - lo), width)
                 same = _set_ids(h, starts) == batch.column("sid").slice(lo, hi - lo).to_numpy(zero_copy_only=False)
-                made = pa.array([h[x:y].tobytes() for x, y in zip(starts[:-1], starts[1:], strict=True)], pa.binary())
-                rest = {c: batch.column(c).slice(lo, hi - lo) for c in ("sid", "b", "salt")}
-                yield pa.RecordBatch.from_pydict(rest | {"members": made}).filter(pa.array(same))
+                points = np.minimum(_vectors(h, starts), 65535).astype("<u2")
+                inside = h % np.uint64(GROUPS) < part
+                bounds = np.concatenate([[0], np.cumsum(inside)])[starts]
+                kept = h[inside]
+                made = pa.array([p.tobytes() + kept[x:y].tobytes() for p, x, y in zip(points, bounds[:-1], bounds[1:], strict=True)], pa.binary())
+                partners = batch.column("partners").slice(lo, hi - lo).filter(pa.array(same))
+                made, sids = made.filter(pa.array(same)), batch.column("sid").slice(lo, hi - lo).filter(pa.array(same))
+                owner = np.repeat(np.arange(len(made)), np.diff(np.asarray(partners.offsets)))
+                inner = partners.flatten()
+                for k in range(0, len(owner), 256):
+                    at = pa.array(owner[k : k + 256])
+                    yield pa.RecordBatch.from_arrays([sids.take(at), inner.field("b").slice(k, 256), inner.field("salt").slice(k, 256), made.take(at)], names=["sid", "b", "salt", "members"])
 
     schema = "sid long, b long, salt int, members binary"
 
     def sets_of(wanted: DataFrame) -> DataFrame:
-        named = wanted.join(reps, "sid")
+        named = wanted.groupBy("sid").agg(F.collect_list(F.struct("b", "salt")).alias("partners")).join(reps, "sid")
         few = F.broadcast(named) if n_pairs <= BROADCAST_ROWS else named
-        return docs.join(few, docs["doc_id"] == few["doc"]).select("sid", "b", "salt", "text").mapInArrow(with_sets, schema)
+        return docs.join(few, docs["doc_id"] == few["doc"]).select("sid", "partners", "text").mapInArrow(with_sets, schema)
 
     left = sets_of(salted.select(F.col("a").alias("sid"), "b", "salt"))
     right = sets_of(salted.select(F.col("b").alias("sid"), F.lit(0).cast("long").alias("b"), "salt").distinct())
@@ -300,10 +327,12 @@ def _verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, percent: int,
         for batch in batches:
             good = np.zeros(batch.num_rows, bool)
             for k in range(batch.num_rows):
-                x, y = (np.frombuffer(batch.column(c)[k].as_buffer(), np.uint64) for c in ("x", "y"))
-                at = np.searchsorted(y, x)
-                common = int((y[np.minimum(at, len(y) - 1)] == x).sum())
-                good[k] = 100 * common >= percent * (len(x) + len(y) - common)
+                (u, x), (v, y) = ((np.frombuffer(b, "<u2", GROUPS).astype(np.int64), np.frombuffer(b, np.uint64, -1, 2 * GROUPS)) for b in (batch.column(c)[k].as_buffer() for c in ("x", "y")))
+                common = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum()) if len(y) else 0
+                most = common + int(np.minimum(u[part:], v[part:]).sum())
+                unsure = part < GROUPS and bool(((u == 65535) | (v == 65535)).any())
+                n = len(x) + len(y) if part == GROUPS else int(u.sum() + v.sum())
+                good[k] = unsure or 100 * most >= percent * (n - most)
             yield batch.select(["a", "b"]).filter(pa.array(good))
 
     both = left.select(F.col("sid").alias("a"), "b", "salt", F.col("members").alias("x")).join(right.select(F.col("sid").alias("b"), "salt", F.col("members").alias("y")), ["b", "salt"])
@@ -321,7 +350,7 @@ def jaccard_components(docs: DataFrame, percent: int = 80, width: int = 5, id_co
     2. In each bucket all are compared with its first set: sizes and count vectors rule pairs out, the others are verified. As a rule
        this connects large groups of copies, at a cost in proportion to their size.
     3. Buckets with sets that aren't connected yet index their count vectors in an R-tree, which yields the remaining pairs that its
-       bounds allow; those are verified too. Large buckets are dealt as pairs of blocks.
+       bounds allow; the likeliest are verified first, and those that have become connected drop out. Large buckets are dealt as pairs of blocks.
 
     Null or empty texts link with nothing and are their own component. One row per input row; rows that share an id are told apart by their
     texts but share that id's component only by links; null ids are kept, and are no component's id unless alone.
@@ -338,19 +367,21 @@ def jaccard_components(docs: DataFrame, percent: int = 80, width: int = 5, id_co
     members = _rejoined(members, parts) if salt_over < (1 << 40) else members
     a, b = sets.select(F.col("sid").alias("a"), F.col("n").alias("n_a"), F.col("point").alias("point_a")), sets.select(F.col("sid").alias("b"), F.col("n").alias("n_b"), F.col("point").alias("point_b"))
     pairs = members.where("sid <> pivot").groupBy(F.greatest("sid", "pivot").alias("a"), F.least("sid", "pivot").alias("b")).agg(F.count("*").alias("weight"))
-    pairs = stored(pairs.join(a, "a").join(b, "b").select("a", "b", "weight", "n_a", "n_b", "point_a", "point_b").mapInArrow(_bounded_pairs(percent), "a long, b long, weight long"), "jaccard-pairs")
+    pairs = stored(pairs.join(a, "a").join(b, "b").select("a", "b", "weight", "n_a", "n_b", "point_a", "point_b").mapInArrow(_bounded_pairs(percent), "a long, b long, weight long, slack double"), "jaccard-pairs")
     # first each set's partner with which it shares most of its prefix
     best = pairs.groupBy("a").agg(F.max_by("b", F.struct("weight", "b")).alias("b")).select("a", "b")
-    links = stored(_verified(best, base, sets, percent, width), "jaccard-links")
+    links = stored(_verified(best, base, sets, percent, width, screened=False), "jaccard-links")
     roots = stored(components(links), "jaccard-roots")
-    rest = _between(pairs.select("a", "b").join(best, ["a", "b"], "left_anti"), roots)
-    more = stored(_verified(stored(rest, "jaccard-rest"), base, sets, percent, width), "jaccard-links")
-    links = links.unionByName(more)
-    roots = stored(components(links), "jaccard-roots")
-    rest = stored(_bucket_pairs(members, sets, roots, percent, parts).join(pairs, ["a", "b"], "left_anti"), "jaccard-rest")
-    last = stored(_verified(rest, base, sets, percent, width), "jaccard-links")
-    if last.take(1):
-        roots = stored(components(links.unionByName(last)), "jaccard-roots")
+    tree = _bucket_pairs(members, sets, roots, percent, parts).join(pairs, ["a", "b"], "left_anti")
+    rest = stored(_between(pairs.select("a", "b", "slack").join(best, ["a", "b"], "left_anti").unionByName(tree), roots), "jaccard-rest")
+    for r in range(ROUNDS + 1):
+        if not rest.take(1):
+            break
+        now = _likeliest(rest) if r < ROUNDS else rest.select("a", "b")
+        links = links.unionByName(stored(_verified(stored(now, "jaccard-now"), base, sets, percent, width), "jaccard-links"))
+        roots = stored(components(links), "jaccard-roots")
+        if r < ROUNDS:
+            rest = stored(_between(rest.join(now, ["a", "b"], "left_anti"), roots), "jaccard-rest")
     reached = sets.select("sid", "doc").join(roots, F.col("sid") == F.col("node"))
     least = reached.groupBy("root").agg(F.min("doc").alias("component"))
     known = reached.join(least, "root").select("sid", "component")
@@ -360,7 +391,7 @@ def jaccard_components(docs: DataFrame, percent: int = 80, width: int = 5, id_co
 
 def _rejoined(members: DataFrame, parts: int) -> DataFrame:
     """Salted buckets with the same token have a pivot each; a second, small star joins these pivots."""
-    pivots = members.groupBy("token").agg(F.min("pivot").alias("p"), F.max("pivot").alias("q")).where("p <> q").select("token")
+    pivots = members.groupBy("token").agg(F.min("pivot").alias("p"), F.max("pivot").alias("q")).where("p <> q").select("token")  # in several parts
     several = members.select("token", "pivot").join(pivots, "token", "left_semi").distinct()
     least = several.groupBy("token").agg(F.min("pivot").alias("least"))
     return members.unionByName(several.join(least, "token").where("pivot <> least").select("token", F.col("least").alias("pivot"), F.col("pivot").alias("sid")))
@@ -369,7 +400,14 @@ def _rejoined(members: DataFrame, parts: int) -> DataFrame:
 def _between(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     """The pairs that lie in different components."""
     ra, rb = roots.select(F.col("node").alias("a"), F.col("root").alias("ra")), roots.select(F.col("node").alias("b"), F.col("root").alias("rb"))
-    return pairs.join(ra, "a", "left").join(rb, "b", "left").where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
+    return pairs.join(ra, "a", "left").join(rb, "b", "left").where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b", "slack")
+
+
+def _likeliest(pairs: DataFrame) -> DataFrame:
+    """The pairs that are among the LIKELIEST of either of their sets, by how far the bound exceeds what is required."""
+    both = pairs.select("a", "b", "slack", F.explode(F.array("a", "b")).alias("of"))
+    top = both.withColumn("r", F.row_number().over(W.partitionBy("of").orderBy(F.desc("slack"), "a", "b"))).where(F.col("r") <= LIKELIEST)
+    return top.select("a", "b").distinct()
 
 
 def _bucket_pairs(members: DataFrame, sets: DataFrame, roots: DataFrame, percent: int, parts: int) -> DataFrame:
@@ -380,7 +418,7 @@ def _bucket_pairs(members: DataFrame, sets: DataFrame, roots: DataFrame, percent
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).join(sets.select("sid", "n", "point"), "sid")
     rows = rows.select("token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "sid", "root", "n", "point")
     dealt = rows.repartition(parts, "token", "i", "j").sortWithinPartitions("token", "i", "j")
-    return dealt.mapInArrow(_tree_pairs(percent), "a long, b long").distinct()
+    return dealt.mapInArrow(_tree_pairs(percent), "a long, b long, slack double").distinct()
 
 
 def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
