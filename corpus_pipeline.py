@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from wayline.llm.decontaminate import decontaminate
+from wayline.llm.decontaminate import matched_windows
 from wayline.llm.exprs import space_words
 from wayline.llm.jaccard_join import jaccard_components
 from wayline.llm.line_dedup import without_shared_lines
@@ -30,15 +30,21 @@ def own_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that with the smallest id, of each group of near duplicates."""
-    groups = jaccard_components(docs).where("component_id IS NULL OR doc_id IS NULL OR component_id = doc_id").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(groups, docs["doc_id"].eqNullSafe(groups["_id"]), "left_semi")
+    """One row, that with the smallest id (nulls last), of each group of near duplicates; texts without words link with nothing and all stay.
+
+    Ids may be null or repeated, so rows are numbered; the numbers are written down once, since a later reading could deal the rows otherwise.
+    """
+    rows = stored(docs.withColumn("_row", F.monotonically_increasing_id()), "pipeline-rows")
+    groups = jaccard_components(rows, id_col="_row").select(F.col("doc_id").alias("_row"), F.col("component_id").alias("_group"))
+    least = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row"))
+    kept = rows.select("_row", "doc_id").join(groups, "_row").groupBy("_group").agg(least.alias("_least")).select("_least._row")
+    return rows.join(kept, "_row", "left_semi").select(*docs.columns)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without any ten consecutive words of a benchmark item."""
-    hit = decontaminate(docs, table(spark, sf_dir, "benchmark")).where("contaminated").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(hit, docs["doc_id"].eqNullSafe(hit["_id"]), "left_anti")
+    """Documents without any ten consecutive words of a benchmark item; rows that share an id, or have none, are judged by their own texts."""
+    hit = matched_windows(docs, table(spark, sf_dir, "benchmark")).where("len IS NOT NULL").select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest")).distinct()
+    return docs.join(hit, docs["doc_id"].eqNullSafe(hit["_id"]) & (F.xxhash64(docs["text"]) == hit["_digest"]), "left_anti")
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
