@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.text import fold
+from ..plans.stored import stored
 
 
 def pending(media: DataFrame, derived: DataFrame, keys: list[str], id_col: str = "media_id") -> DataFrame:
@@ -24,12 +23,17 @@ def remove_linked(media: DataFrame, children: dict[str, DataFrame], links: DataF
     return out | {n: c.join(gone, "media_id", "left_anti") for n, c in children.items()}
 
 
+#: Two edits touch four pairs of letters at most, which is all that a name of so many letters has.
+SHORT = 5
+
+
 def match_place_names(tags: DataFrame, official: DataFrame) -> DataFrame:
     """tag, official, category, distance: equal once folded (A), else within two edits (B), else all its words among the official name's (C).
 
     ``tags``: tag, provinces (array); ``official``: name, provinces. B and C want a tag that is used in one province, one of the official
-    name's if these are known. Names are compared if they share a pair of letters and their lengths differ by two at most; words by
-    equality. The closest wins, then the first by name.
+    name's if these are known. Names whose lengths differ by two at most are compared if they share a pair of letters, as any two within two
+    edits do if one of them has more than SHORT letters; if neither has, they are compared if they share what is left after two
+    deletions at most. Words are compared by equality. The closest wins, then the first by name.
     """
     t = tags.select("tag", F.col("provinces").alias("tp"), fold(F.col("tag")).alias("tn"))
     o = official.select("name", F.col("provinces").alias("op"), fold(F.col("name")).alias("on"))
@@ -40,8 +44,16 @@ def match_place_names(tags: DataFrame, official: DataFrame) -> DataFrame:
         pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.length(name) - 1, F.lit(1))), lambda i: F.substring(name, i, F.lit(2)))
         return df.withColumn("_g", F.explode(F.array_distinct(pairs)))
 
+    def fewer(x: Column) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.greatest(F.length(x), F.lit(1))), lambda i: F.concat(F.substring(x, 1, i - 1), F.substring(x, i + 1, F.lit(SHORT))))
+
+    def remains(df: DataFrame, name: str) -> DataFrame:
+        once = fewer(F.col(name))
+        return df.where(F.length(name) <= SHORT).withColumn("_g", F.explode(F.array_distinct(F.concat(F.array(name), once, F.flatten(F.transform(once, fewer))))))
+
     near = F.abs(F.length("tn") - F.length("on")) <= 2
-    close = grams(t, "tn").join(grams(o, "on"), "_g").where(near).drop("_g").distinct().withColumn("distance", F.levenshtein("tn", "on", 2)).where((F.col("distance") > 0) & focused)
+    some = grams(t, "tn").join(grams(o, "on"), "_g").unionByName(remains(t, "tn").join(remains(o, "on"), "_g"))
+    close = some.where(near).drop("_g").distinct().withColumn("distance", F.levenshtein("tn", "on", 2)).where((F.col("distance") > 0) & focused)
     close = close.select("tag", "name", F.lit("B").alias("category"), "distance")
     tw, ow = t.withColumn("_w", F.explode(F.array_distinct(F.split("tn", " ")))), o.where(F.contains("on", F.lit(" "))).withColumn("_w", F.explode(F.array_distinct(F.split("on", " "))))
     held = tw.join(ow, "_w").groupBy("tag", "tn", "tp", "name", "op", "on").agg(F.count("*").alias("n")).where((F.col("n") == F.size(F.array_distinct(F.split("tn", " ")))) & (F.col("tn") != F.col("on")) & focused)
@@ -50,37 +62,56 @@ def match_place_names(tags: DataFrame, official: DataFrame) -> DataFrame:
     return every.groupBy("tag").agg(F.min(F.struct("category", F.when(F.col("category") == "C", 0).otherwise(F.col("distance")).alias("d"), "name", "distance")).alias("b")).select("tag", F.col("b.name").alias("official"), "b.category", "b.distance")
 
 
-def best_offset(long: np.ndarray, short: np.ndarray) -> tuple[int, float]:
-    """Where in ``long`` the shorter sequence, both with their means removed, has the greatest cosine, and that cosine."""
-    n = len(short)
-    s = short - short.mean()
+def best_offsets(long: np.ndarray, shorts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where in ``long`` each row of ``shorts``, all with their means removed, has the greatest cosine, and that cosine."""
+    n = shorts.shape[1]
+    s = shorts - shorts.mean(1, keepdims=True)
     windows = np.lib.stride_tricks.sliding_window_view(long, n)
     centred = windows - windows.mean(1, keepdims=True)
-    norms = np.sqrt((centred**2).sum(1)) * np.sqrt((s**2).sum())
-    scores = np.where(norms > 0, centred @ s / np.where(norms > 0, norms, 1), 0.0)
-    k = int(scores.argmax())
-    return k, float(scores[k])
+    norms = np.sqrt((centred**2).sum(1))[:, None] * np.sqrt((s**2).sum(1))
+    scores = np.where(norms > 0, centred @ s.T / np.where(norms > 0, norms, 1), 0.0)
+    k = scores.argmax(0)
+    return k, scores[k, np.arange(len(shorts))]
+
+
+def best_offset(long: np.ndarray, short: np.ndarray) -> tuple[int, float]:
+    """Where in ``long`` the shorter sequence, both with their means removed, has the greatest cosine, and that cosine."""
+    k, score = best_offsets(long, short[None])
+    return int(k[0]), float(score[0])
+
+
+#: Sequences that are compared with so many others by one task at a time; of few sequences, so many blocks are made.
+BLOCK, LEAST_BLOCKS = 512, 8
 
 
 def repeated_passages(sequences: DataFrame, least: float = 0.8, seconds: float = 4.0, step_s: float = 0.5, top: int = 20, key: str | None = None) -> DataFrame:
     """id_a, id_b, offset, similarity: the ``top`` pairs of ``sequences`` (id, values: numbers ``step_s`` apart) of which the shorter sounds like a part of the longer.
 
-    With ``key`` only pairs of one block are compared. The ids are paired first; each pair's values come to it by joins, so no task holds
-    more than one pair at a time.
+    All pairs are compared, with ``key`` those of equal keys. The sequences are dealt to blocks, and each pair of blocks goes to a group, so no
+    task holds more than two blocks at a time; of each group the ``top`` pairs go on.
     """
-    enough = sequences.where(F.size("values") * step_s >= seconds)
-    on = F.col("a.id") < F.col("b.id")
-    ids = enough.select("id", F.size("values").alias("n"), *([F.col(key).alias("k")] if key else []))
-    pairs = ids.alias("a").join(ids.alias("b"), on & (F.col("a.k") == F.col("b.k")) if key else on).select(F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b"))
-    full = pairs.repartition("id_a", "id_b").join(enough.select(F.col("id").alias("id_a"), F.col("values").alias("va")), "id_a").join(enough.select(F.col("id").alias("id_b"), F.col("values").alias("vb")), "id_b")
-
-    def compare(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            rows = []
-            for a, b, x, y in zip(f.id_a, f.id_b, f.va, f.vb, strict=True):
-                x, y = np.asarray(x, float), np.asarray(y, float)
-                rows.append((a, b, *(best_offset(x, y) if len(x) >= len(y) else best_offset(y, x))))
-            yield pd.DataFrame(rows, columns=["id_a", "id_b", "offset", "similarity"])
-
-    found = full.select("id_a", "id_b", "va", "vb").mapInPandas(compare, "id_a long, id_b long, offset int, similarity double")
-    return found.where(F.col("similarity") >= least).orderBy(F.desc("similarity"), "id_a", "id_b").limit(top)
+    enough = stored(sequences.where(F.size("values") * step_s >= seconds).select("id", "values", (F.col(key) if key else F.lit(0)).alias("k")), "passages")
+    blocks = max(LEAST_BLOCKS, -(-enough.count() // BLOCK))
+    rows = enough.withColumn("own", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    dealt = rows.select("k", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "values")
+
+    def compare(f: pd.DataFrame) -> pd.DataFrame:
+        f = f.sort_values("id", ignore_index=True)
+        values = [np.asarray(v, float) for v in f["values"]]
+        sizes, ids, own, within = np.array([len(v) for v in values]), f.id.to_numpy(), f.own.to_numpy(), f.i[0] == f.j[0]
+        of_size = {n: np.flatnonzero(sizes == n) for n in np.unique(sizes)}
+        stacked = {n: np.stack([values[r] for r in at]) for n, at in of_size.items()}
+        rows = [np.empty((0, 4))]
+        for r in range(len(f)):
+            for n, at in of_size.items():
+                mine = ((at != r) if n < sizes[r] else (at > r)) & (ids[at] != ids[r]) & (within | (own[at] != own[r])) & (n <= sizes[r])
+                if mine.any():
+                    offset, score = best_offsets(values[r], stacked[n][mine])
+                    good = score >= least
+                    rows.append(np.stack([np.full(good.sum(), r), at[mine][good], offset[good], score[good]], 1))
+        r, s, offset, score = np.concatenate(rows).T
+        r, s = r.astype(int), s.astype(int)
+        out = pd.DataFrame({"id_a": np.minimum(ids[r], ids[s]), "id_b": np.maximum(ids[r], ids[s]), "offset": offset.astype(np.int32), "similarity": score})
+        return out.sort_values(["similarity", "id_a", "id_b"], ascending=[False, True, True]).head(top)
+
+    return dealt.groupBy("k", "i", "j").applyInPandas(compare, "id_a long, id_b long, offset int, similarity double").orderBy(F.desc("similarity"), "id_a", "id_b").limit(top)

@@ -230,7 +230,7 @@ def place_names(v):
 @query("J19_repeated_passages")
 def passages(v):
     per = v.events.groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ts", "value"))), lambda x: x["value"]).alias("values"))
-    return M.repeated_passages(per.select(F.col("user_id").alias("id"), "values", (F.col("user_id") % 10).alias("k")), least=0.3, key="k")
+    return M.repeated_passages(per.select(F.col("user_id").alias("id"), "values"), least=0.3)
 
 
 @query("J20_remove_linked", "SELECT 'media' AS what, count(*) AS n FROM {media} WHERE id NOT IN (SELECT chat_id FROM {messages} WHERE from_name = 'system') UNION ALL SELECT 'metadata', count(*) FROM {metadata} WHERE media_id NOT IN (SELECT chat_id FROM {messages} WHERE from_name = 'system')")
