@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 from wayline import registry
-from wayline.operators import matching
+from wayline.operators import matching, spacetime
 
 from conftest import SMALL
 
@@ -64,3 +64,29 @@ def test_repeated_passages_in_blocks(spark, monkeypatch):
         monkeypatch.setattr(matching, "BLOCK", block)
         got = matching.repeated_passages(spark.createDataFrame(rows, "id long, values array<double>"), least=0.5, top=1000).collect()
         assert {(*r[:3], round(r[3], 9)) for r in got} == want and len(got) == len(want)
+
+
+@pytest.mark.parametrize("untimed_only", [False, True])
+def test_choose_track_against_all_pairs(spark, monkeypatch, untimed_only):
+    monkeypatch.setattr(spacetime, "MANY_TRACKS", 1, raising=False)  # results once differed beyond it
+    rng = random.Random(8)
+    day = 86400.0
+    spans = [(a, a + rng.choice([0.0, 10.0, 3000.0, 3 * day])) for a in (rng.randrange(0, 400) * day / 4 for _ in range(80))] + [(5000 * day, 5000 * day + 9), (-900 * day, -900 * day)]
+    tracks = [] if untimed_only else [(k, a, a + rng.choice([0.0, 500.0, day, 9 * day])) for k, a in enumerate(rng.randrange(0, 100) * day for _ in range(14))]
+    tracks += [(50, None, None), (49, None, 5.0)]
+
+    def rank(m, t):
+        (a, b), (k, c, d) = m, t
+        if c is None or d is None:
+            return (3, 0.0, 0.0, k)
+        inside = min(b, d) - max(a, c)
+        gap = max(c - b, a - d, 0.0)
+        return (0, d - c, 0.0, k) if c <= a and b <= d else (1, -inside, 0.0, k) if inside > 0 else (2, gap, gap, k)
+
+    want = {}
+    for i, m in enumerate(spans):
+        k, _, gap, t = min(rank(m, x) for x in tracks)
+        want[i] = (t, ["contiene", "solapa", "cercano", "sin_rango"][k], gap)
+    media = spark.createDataFrame([(i, *m) for i, m in enumerate(spans)], "id long, start_s double, end_s double")
+    got = spacetime.choose_track(media, spark.createDataFrame(tracks, "track_id long, track_start double, track_end double")).collect()
+    assert {r["id"]: (r["track_id"], r["mode"], r["gap_s"]) for r in got} == want and len(got) == len(spans)

@@ -85,16 +85,12 @@ def track_ranges(points: DataFrame) -> DataFrame:
     return points.groupBy("track_id").agg(F.min(epoch_seconds(F.col("time"))).alias("track_start"), F.max(epoch_seconds(F.col("time"))).alias("track_end"))
 
 
-#: Tracks up to so many are broadcast, after they have been counted.
-MANY_TRACKS = 10_000
-
-
 def choose_track(media: DataFrame, tracks: DataFrame) -> DataFrame:
     """``media`` (start_s, end_s) with track_id, mode, gap_s of its best track (track_start, track_end): the shortest that contains it, else that it overlaps longest,
-    else the nearest, else one without times. Ties go to the lesser track_id.
+    else the nearest, else one without times. Ties go to the lesser track_id; nulls if there is no track or the medium has no times.
 
-    Few tracks (a trip's) are compared with every medium; beyond MANY_TRACKS the join is by days, and only tracks
-    on a medium's days or the days next to them count as near.
+    Tracks that touch a medium share a day with it, the join's key. The nearest others are the last to end before it and the first to start after
+    it, by ordered scans. The best of these and the least track without times is the best of all.
     """
     inside = F.least("end_s", "track_end") - F.greatest("start_s", "track_start")
     near = F.greatest(F.col("track_start") - F.col("end_s"), F.col("start_s") - F.col("track_end"))
@@ -106,13 +102,24 @@ def choose_track(media: DataFrame, tracks: DataFrame) -> DataFrame:
         .when(inside > 0, F.struct(F.lit(1).alias("k"), (-inside).alias("v"), F.lit(0.0).alias("gap")))
         .otherwise(F.struct(F.lit(2).alias("k"), F.greatest(near, F.lit(0.0)).alias("v"), F.greatest(near, F.lit(0.0)).alias("gap")))
     )
-    if tracks.limit(MANY_TRACKS + 1).count() <= MANY_TRACKS:
-        pairs = media.crossJoin(F.broadcast(tracks))
-    else:
-        days = lambda a, b, m: F.explode(F.sequence(F.floor(F.col(a) / 86400) - m, F.floor(F.col(b) / 86400) + m))
-        pairs = media.withColumn("_day", days("start_s", "end_s", 0)).join(tracks.withColumn("_day", days("track_start", "track_end", 1)), "_day").drop("_day")
-    best = pairs.groupBy(*media.columns).agg(F.min(F.struct(rank.alias("r"), "track_id")).alias("b"))
-    return best.select(*media.columns, "b.track_id", F.get(F.array(*map(F.lit, ("contiene", "solapa", "cercano", "sin_rango"))), F.col("b.r.k")).alias("mode"), F.col("b.r.gap").alias("gap_s"))
+    spans = media.where("start_s IS NOT NULL AND end_s IS NOT NULL").select("start_s", "end_s").distinct()
+    timed = tracks.where("track_start IS NOT NULL AND track_end IS NOT NULL").select("track_id", "track_start", "track_end")
+    days = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / 86400), F.floor(F.col(b) / 86400)))
+    same = spans.withColumn("_day", days("start_s", "end_s")).join(timed.withColumn("_day", days("track_start", "track_end")), "_day").drop("_day")
+
+    def beside(scan, of_track: str, of_medium: str, tracks_first: bool) -> DataFrame:
+        ends = timed.groupBy(F.col(of_track).alias("_t")).agg(F.min(F.struct("track_id", "track_start", "track_end")).alias("_p")).withColumn("_kind", F.lit(not tracks_first))
+        asked = spans.withColumns({"_t": F.col(of_medium), "_kind": F.lit(tracks_first)})
+        rows = scan(asked.unionByName(ends, allowMissingColumns=True), F.floor(F.col("_t") / 86400), ["_t", "_kind"], "_near", F.col("_p"))
+        return rows.where("start_s IS NOT NULL AND _near IS NOT NULL").select("start_s", "end_s", "_near.*")
+
+    # at the same instant the track counts as before and as after
+    pairs = same.unionByName(beside(last_known, "track_end", "start_s", True)).unionByName(beside(next_known, "track_start", "end_s", False))
+    untimed = tracks.where("track_start IS NULL OR track_end IS NULL").agg(F.min("track_id").alias("track_id")).where("track_id IS NOT NULL")
+    pairs = pairs.unionByName(spans.crossJoin(F.broadcast(untimed)), allowMissingColumns=True)  # one row
+    best = pairs.groupBy("start_s", "end_s").agg(F.min(F.struct(rank.alias("r"), "track_id")).alias("b"))
+    mode = F.get(F.array(*map(F.lit, ("contiene", "solapa", "cercano", "sin_rango"))), F.col("b.r.k"))
+    return media.distinct().join(best, ["start_s", "end_s"], "left").select(*media.columns, "b.track_id", mode.alias("mode"), F.col("b.r.gap").alias("gap_s"))
 
 
 def resolve_keypoint_position(keypoints: DataFrame, media: DataFrame, points: DataFrame) -> DataFrame:
