@@ -1,5 +1,6 @@
 """Operators against brute force where a shortcut would lose rows."""
 
+import math
 import random
 
 import duckdb
@@ -90,3 +91,25 @@ def test_choose_track_against_all_pairs(spark, monkeypatch, untimed_only):
     media = spark.createDataFrame([(i, *m) for i, m in enumerate(spans)], "id long, start_s double, end_s double")
     got = spacetime.choose_track(media, spark.createDataFrame(tracks, "track_id long, track_start double, track_end double")).collect()
     assert {r["id"]: (r["track_id"], r["mode"], r["gap_s"]) for r in got} == want and len(got) == len(spans)
+
+
+def metres(a, b, c, d):
+    a, b, c, d = map(math.radians, (a, b, c, d))
+    return 2 * 6371000 * math.asin(math.sqrt(min(1.0, math.sin((c - a) / 2) ** 2 + math.cos(a) * math.cos(c) * math.sin((d - b) / 2) ** 2)))
+
+
+def test_nearest_photos_far_away_and_across_the_date_line(spark):
+    rng = random.Random(9)
+    photos = [(k, -34 + rng.random(), -58 + rng.random()) for k in range(30)] + [(40, 10.0, 179.99), (41, 10.0, -179.9), (42, 10.2, 179.9), (43, 88.0, 10.0), (44, 89.9, -170.0)]
+    asked = [(0, -34.5, -57.5), (1, 40.0, 100.0), (2, 10.0, -179.99), (3, 89.9, 10.0), (4, -80.0, 60.0), (5, 0.0, 179.5)]
+    want = {i: sorted((metres(a, b, c, d), k) for k, c, d in photos)[:3] for i, a, b in asked}
+    got = spacetime.nearest_photos(spark.createDataFrame(asked, "kp_id long, lat double, lon double"), spark.createDataFrame(photos, "id long, lat double, lon double"), 3).collect()
+    assert {(r["kp_id"], r["rank"]): r["photo_id"] for r in got} == {(i, n + 1): k for i, w in want.items() for n, (_, k) in enumerate(w)} and len(got) == 18
+
+
+def test_photos_by_time_far_away(spark):
+    year = 365 * 86400.0
+    found = spark.createDataFrame([], "kp_id long, photo_id long")
+    photos = spark.createDataFrame([(1, 0.0), (2, 40 * year), (3, 90 * year)], "id long, t_s double")
+    got = spacetime.fill_by_time(spark.createDataFrame([(1, 100.0), (2, 60 * year)], "kp_id long, t_s double"), photos, found, 2).collect()
+    assert sorted((r["kp_id"], r["photo_id"]) for r in got) == [(1, 1), (1, 2), (2, 2), (2, 3)]

@@ -149,18 +149,19 @@ def nearest_photos(keypoints: DataFrame, photos: DataFrame, k: int) -> DataFrame
 def fill_by_time(keypoints: DataFrame, photos: DataFrame, found: DataFrame, k: int, bucket_s: float = 3600) -> DataFrame:
     """kp_id, photo_id, delta_s: for keypoints (kp_id, t_s) with fewer than ``k`` rows in ``found``, the photos (id, t_s) nearest in time that aren't there yet.
 
-    Buckets of time and their neighbours are joined; a keypoint that finds too few there tries buckets four times as wide, up to eight times.
+    Buckets of time and their neighbours are joined; a keypoint that finds too few there tries buckets four times as wide, up to eight times; those left are compared with all.
     """
     have = found.groupBy("kp_id").agg(F.count("*").alias("have"))
     todo = keypoints.where("t_s IS NOT NULL").join(have, "kp_id", "left").withColumn("want", F.lit(k) - F.coalesce("have", F.lit(0))).where("want > 0").select("kp_id", "t_s", "want")
     done = None
-    for r in range(9):
-        size = bucket_s * 4**r
+    for r in range(10):
+        size, last = bucket_s * 4**r, r == 9
         asked = todo.withColumn("_b", F.explode(F.array(*[F.floor(F.col("t_s") / size) + d for d in (-1, 0, 1)])))
-        pairs = asked.join(photos.select(F.col("id").alias("photo_id"), F.col("t_s").alias("p_s"), F.floor(F.col("t_s") / size).alias("_b")), "_b").join(found.select("kp_id", "photo_id"), ["kp_id", "photo_id"], "left_anti")
+        taken = photos.select(F.col("id").alias("photo_id"), F.col("t_s").alias("p_s"), F.floor(F.col("t_s") / size).alias("_b"))
+        pairs = (todo.crossJoin(taken) if last else asked.join(taken, "_b")).join(found.select("kp_id", "photo_id"), ["kp_id", "photo_id"], "left_anti")
         pairs = pairs.withColumn("delta_s", F.abs(F.col("p_s") - F.col("t_s"))).withColumn("r", F.row_number().over(W.partitionBy("kp_id").orderBy("delta_s", "photo_id"))).where("r <= want")
         pairs = stored(pairs.select("kp_id", "photo_id", "delta_s", "want"), "filled")
-        settled = pairs.groupBy("kp_id").agg(F.count("*").alias("n"), F.max("want").alias("want"), F.max("delta_s").alias("far")).where(F.lit(r == 8) | ((F.col("n") == F.col("want")) & (F.col("far") <= size))).select("kp_id")
+        settled = pairs.groupBy("kp_id").agg(F.count("*").alias("n"), F.max("want").alias("want"), F.max("delta_s").alias("far")).where(F.lit(last) | ((F.col("n") == F.col("want")) & (F.col("far") <= size))).select("kp_id")
         got = pairs.join(settled, "kp_id", "left_semi").select("kp_id", "photo_id", "delta_s")
         done = got if done is None else done.unionByName(got)
         todo = stored(todo.join(settled, "kp_id", "left_anti"), "filled-todo")

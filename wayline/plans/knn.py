@@ -10,36 +10,42 @@ from .stored import stored
 _DEGREE_M = 111_194.0
 
 
-def nearest(left: DataFrame, right: DataFrame, k: int, left_id: str, right_id: str, cell_degrees: float = 0.05, doublings: int = 6, most_m: float | None = None) -> DataFrame:
-    """For each row of ``left`` its ``k`` nearest of ``right`` within reach: left_id, right_id, metres, rank. Both have lat and lon.
+def nearest(left: DataFrame, right: DataFrame, k: int, left_id: str, right_id: str, cell_degrees: float = 0.05) -> DataFrame:
+    """For each row of ``left`` its ``k`` nearest of ``right``: left_id, right_id, metres, rank. Both have lat and lon.
 
-    Cells of ``cell_degrees`` are joined with their eight neighbours. A row is settled once its k-th distance is under one cell's width, so
-    no nearer one can lie outside; only the others try again with cells twice as wide, up to ``doublings`` times; the last round takes what it
-    finds. Ties go to the lesser right_id.
+    Cells of ``cell_degrees`` are joined with their eight neighbours, across the meridian of 180 degrees too. A row is settled once its k-th distance
+    is under one cell's width, so no nearer one can lie outside; only the others try again with cells twice as wide. Those that cells of
+    under 90 degrees don't settle are compared with all. Ties go to the lesser right_id.
     """
     left = left.select(F.col(left_id).alias("_l"), F.col("lat").alias("_la"), F.col("lon").alias("_lo"))
     right = right.select(F.col(right_id).alias("_r"), F.col("lat").alias("_ra"), F.col("lon").alias("_ro"))
-    done, todo = None, left
-    for r in range(doublings + 1):
-        size = cell_degrees * 2**r
-        cell = lambda x: F.floor(x / size)  # noqa: E731, B023
-        steps = F.array(*map(F.lit, (-1, 0, 1)))
-        placed = right.withColumns({"_cy": cell(F.col("_ra")), "_cx": cell(F.col("_ro"))})
-        asked = todo.withColumn("_dy", F.explode(steps)).withColumn("_dx", F.explode(steps)).withColumns({"_cy": cell(F.col("_la")) + F.col("_dy"), "_cx": cell(F.col("_lo")) + F.col("_dx")}).drop("_dy", "_dx")
-        pairs = asked.join(placed, ["_cy", "_cx"]).withColumn("metres", haversine_m(F.col("_la"), F.col("_lo"), F.col("_ra"), F.col("_ro")))
-        ranked = stored(pairs.withColumn("rank", F.row_number().over(W.partitionBy("_l").orderBy("metres", "_r"))).where(F.col("rank") <= k).drop("_cy", "_cx", "_ra", "_ro"), "nearest-ranked")
-        reach = F.lit(size * _DEGREE_M) * F.cos(F.radians(F.least(F.abs("_la") + size, F.lit(89.0))))
-        last = r == doublings
-        settled = ranked.groupBy("_l", "_la").agg(F.count("*").alias("n"), F.max("metres").alias("far")).where(F.lit(last) | ((F.col("n") == k) & (F.col("far") <= reach)) | (F.lit(most_m is not None) & (reach >= F.lit(most_m or 0.0)))).select("_l")
+    steps = F.array(*map(F.lit, (-1, 0, 1)))
+    turned = lambda lon: F.pmod(lon + 180.0, F.lit(360.0)) - 180.0
+    done, todo, size = None, left, cell_degrees
+    while True:
+        last = size >= 90
+        if last:
+            pairs = todo.crossJoin(right)
+        else:
+            cell = lambda x: F.floor(x / size)  # noqa: E731, B023
+            placed = right.withColumns({"_cy": cell(F.col("_ra")), "_cx": cell(turned(F.col("_ro")))})
+            # near that meridian, a row is looked up beyond it as well
+            around = F.filter(F.array(*map(F.lit, (-360.0, 0.0, 360.0))), lambda x: F.abs(turned(F.col("_lo")) + x) <= 180 + 2 * size)  # noqa: B023
+            asked = todo.withColumn("_turn", F.explode(around)).withColumn("_dy", F.explode(steps)).withColumn("_dx", F.explode(steps))
+            asked = asked.withColumns({"_cy": cell(F.col("_la")) + F.col("_dy"), "_cx": cell(turned(F.col("_lo")) + F.col("_turn")) + F.col("_dx")}).drop("_dy", "_dx", "_turn")
+            pairs = asked.join(placed, ["_cy", "_cx"]).drop("_cy", "_cx")
+        pairs = pairs.withColumn("metres", haversine_m(F.col("_la"), F.col("_lo"), F.col("_ra"), F.col("_ro")))
+        ranked = stored(pairs.withColumn("rank", F.row_number().over(W.partitionBy("_l").orderBy("metres", "_r"))).where(F.col("rank") <= k).drop("_ra", "_ro"), "nearest-ranked")
+        reach = F.lit(size * _DEGREE_M) * F.cos(F.radians(F.least(F.abs("_la") + size, F.lit(90.0))))
+        settled = ranked.groupBy("_l", "_la").agg(F.count("*").alias("n"), F.max("metres").alias("far")).where(F.lit(last) | ((F.col("n") == k) & (F.col("far") <= reach))).select("_l")
         got = ranked.join(settled, "_l", "left_semi").select("_l", "_r", "metres", "rank")
         done = got if done is None else done.unionByName(got)
-        if last or (most_m is not None and size * _DEGREE_M * 0.5 > most_m):
+        if last:
             break
         todo = stored(todo.join(settled, "_l", "left_anti"), "nearest-todo")
         if not todo.take(1):
             break
-    if most_m is not None:
-        done = done.where(F.col("metres") <= most_m)
+        size *= 2
     return done.select(F.col("_l").alias(left_id), F.col("_r").alias(right_id), "metres", "rank")
 
 
