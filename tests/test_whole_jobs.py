@@ -6,9 +6,12 @@ import random
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from wayline import registry
-from wayline.operators import matching, spacetime
+from wayline.operators import matching, sequences, spacetime
+from wayline.plans import sequence_queries
+from wayline.sources.fixtures import Views
 
 from conftest import SMALL
 
@@ -113,3 +116,18 @@ def test_photos_by_time_far_away(spark):
     photos = spark.createDataFrame([(1, 0.0), (2, 40 * year), (3, 90 * year)], "id long, t_s double")
     got = spacetime.fill_by_time(spark.createDataFrame([(1, 100.0), (2, 60 * year)], "kp_id long, t_s double"), photos, found, 2).collect()
     assert sorted((r["kp_id"], r["photo_id"]) for r in got) == [(1, 1), (1, 2), (2, 2), (2, 3)]
+
+
+def test_bursts_hash_whole_texts(spark):
+    v = Views(spark, SMALL)
+    whole = {r[0] for r in v.documents.select(F.xxhash64("text")).collect()}
+    rows = sequence_queries._bursts(v).collect()
+    assert len(rows) == sequence_queries.images(v).count() and {r["hash"] for r in rows} <= whole and len({r["hash"] for r in rows}) > len(whole) / 2
+
+
+def test_videos_are_placed_on_their_best_track(spark, monkeypatch):
+    monkeypatch.setattr(sequence_queries.Q, "video_positions", lambda rows, *a: rows)
+    v = Views(spark, SMALL)
+    want = sequences.sample_media(v.media.where("type = 'video'"), v.track_points, spacetime.track_ranges(v.track_points), 30).where("source = 'track_interpolado'").collect()
+    got = {(r["media_id"], r["offset_s"]): (r["lat"], r["lon"]) for r in registry.queries()["W8_video_positions"](spark, SMALL).collect()}
+    assert want and all(got[r["media_id"], r["offset_s"]] == pytest.approx((r["lat"], r["lon"])) for r in want)

@@ -87,7 +87,8 @@ def weather_changes(v):
 @query("W8_video_positions")
 def positions(v):
     times = Q.sample_times(v.media.where("type = 'video'"), 30)
-    placed = S.interpolate_on_track(times.withColumn("track_id", F.lit(4)), v.track_points, keys=["track_id"]).select("media_id", "offset_s", "lat", "lon", "seg_s")
+    chosen = S.choose_track(times.select("media_id", "start_s", "end_s").distinct(), S.track_ranges(v.track_points)).select("media_id", "track_id")
+    placed = S.interpolate_on_track(times.join(chosen, "media_id"), v.track_points, keys=["track_id"]).select("media_id", "offset_s", "lat", "lon", "seg_s")
     rows = times.join(placed, ["media_id", "offset_s"], "left").withColumn("offset_s", F.col("offset_s").cast("double"))
     return Q.video_positions(rows.select("media_id", "offset_s", "t_s", "lat", "lon", "seg_s"), 40_000, 5, 0.05)
 
@@ -142,8 +143,9 @@ def sessions(v):
 
 
 def _bursts(v):
-    texts = v.documents.select((F.col("doc_id") % 500).alias("k"), F.xxhash64(F.substring("text", 1, 8)).alias("hash")).groupBy("k").agg(F.min("hash").alias("hash"))
-    return images(v).withColumn("k", F.col("id") % 500).join(texts, "k").select("id", "ts", "hash", (F.col("id") * 37 % 101).cast("double").alias("score"))
+    texts = v.documents.groupBy(F.col("doc_id").alias("k")).agg(F.min(F.xxhash64("text")).alias("hash"))
+    n = F.broadcast(v.documents.agg(F.greatest(F.max("doc_id") + 1, F.lit(1)).alias("n")))  # one row
+    return images(v).crossJoin(n).withColumn("k", F.col("id") % F.col("n")).join(texts, "k", "left").select("id", "ts", "hash", (F.col("id") * 37 % 101).cast("double").alias("score"))
 
 
 @query("W14_greedy_similarity_groups")
