@@ -92,7 +92,7 @@ def _possible(u, n, v, m, percent: int) -> np.ndarray:
 def rtree_pairs(points: np.ndarray, sizes: np.ndarray, classes: np.ndarray, sides: np.ndarray | None, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of points of different classes (and sides, if given) whose bounds allow a link.
 
-    Points, sorted by size and first coordinates, are packed into leaves with a bounding box each; leaves in turn into nodes. Two nodes
+    Points, sorted by size and first coordinates, are packed into leaves with a bounding box each, the tree's only level. Two leaves
     part if the summed minima of their boxes' greatest coordinates stay below what their least sizes require, or their
     sizes are too far apart; the points of leaves that don't part are compared.
     """
