@@ -83,15 +83,57 @@ def test_jaccard_family_in_blocks(spark, monkeypatch):
     assert {r["doc_id"]: r["component_id"] for r in got} == dict(enumerate(label))
 
 
-def test_rtree_pairs_against_all_pairs():
+def test_tree_pairs_against_all_pairs():
     rng = np.random.default_rng(0)
-    points = rng.integers(0, 6, (150, jaccard_join.GROUPS))
-    points[75:] = np.maximum(points[:75] + rng.integers(-1, 2, (75, jaccard_join.GROUPS)) * (rng.random((75, jaccard_join.GROUPS)) < 0.1), 0)
-    n, classes = points.sum(1), np.arange(150)
-    a, b = jaccard_join.rtree_pairs(points, n, classes, None, 80)
-    got = {(min(x, y), max(x, y)) for x, y in zip(a.tolist(), b.tolist(), strict=True)}
-    want = {(i, j) for i in range(150) for j in range(i + 1, 150) if 100 * min(n[i], n[j]) >= 80 * max(n[i], n[j]) and np.minimum(points[i], points[j]).sum() * 180 >= 80 * (n[i] + n[j])}
-    assert got == want
+    points = rng.integers(0, 6, (900, jaccard_join.GROUPS))
+    points[450:] = np.maximum(points[:450] + rng.integers(-1, 2, (450, jaccard_join.GROUPS)) * (rng.random((450, jaccard_join.GROUPS)) < 0.1), 0)
+    points[:300] //= 3
+    n, classes = points.sum(1), np.arange(900)
+    tree = jaccard_join.CountTree(points, n)
+    assert len(tree.levels) == 3
+    got = [(min(x, y), max(x, y)) for a, b in tree.pairs(80, [classes]) for x, y in zip(a.tolist(), b.tolist(), strict=True)]
+    want = {(i, j) for i in range(900) for j in np.flatnonzero((100 * np.minimum(n[i], n) >= 80 * np.maximum(n[i], n)) & (np.minimum(points[i], points).sum(1) * 180 >= 80 * (n[i] + n))).tolist() if i < j}
+    assert len(got) == len(want) and set(got) == want
+
+
+def test_jaccard_null_ids_join_others(spark):
+    words = [f"w{k}" for k in range(60)]
+    a, bridge, c = " ".join(words), " ".join([*words[:-5], *"vwxyz"]), " ".join([*words[5:-5], *"vwxyz"])
+    df = spark.createDataFrame([(1, a), (None, bridge), (None, bridge), (3, c), (None, "alone here")], "doc_id long, text string")
+    got = sorted(((r["doc_id"], r["component_id"]) for r in jaccard_join.jaccard_components(df).collect()), key=str)
+    assert got == sorted([(1, 1), (None, 1), (None, 1), (3, 1), (None, None)], key=str)
+
+
+@pytest.mark.parametrize("unit", [1 << 20, 6000])
+def test_jaccard_families_that_hardly_link(spark, monkeypatch, unit):
+    """Families whose members' similarities lie around the threshold, with a very frequent shingle, in one unit and in parts."""
+    rng = random.Random(8)
+    texts = []
+    for family in range(4):
+        base = [f"f{family}w{rng.random()}" for _ in range(80 + 20 * family)]
+        for _ in range(30):
+            t = list(base)
+            for _ in range(rng.randint(0, 3)):
+                t[rng.randrange(len(t))] = str(rng.random())
+            texts.append(" ".join([*t, *"a very frequent little phrase".split()]))
+    monkeypatch.setattr(jaccard_join, "UNIT", unit)
+    monkeypatch.setattr(jaccard_join, "BLOCK", 8)
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (t.split() for t in texts)]
+    label = list(range(len(sets)))
+    for _ in sets:
+        old = list(label)
+        for a, x in enumerate(sets):
+            for b in range(a):
+                if label[a] != label[b] and 100 * len(x & sets[b]) >= 80 * len(x | sets[b]):
+                    label[a] = label[b] = min(label[a], label[b])
+        if old == label:
+            break
+    assert 4 < len(set(label)) < 100
+    rows, found, links = jaccard_join.jaccard_links(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), salt_over=4)
+    doc = {r["sid"]: r["doc"] for r in found.collect()}
+    assert all(100 * len(sets[doc[r["a"]]] & sets[doc[r["b"]]]) >= 80 * len(sets[doc[r["a"]]] | sets[doc[r["b"]]]) for r in links.collect())
+    got = jaccard_join.jaccard_components(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), salt_over=4).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == dict(enumerate(label))
 
 
 def test_components(spark):

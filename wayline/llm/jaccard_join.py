@@ -2,28 +2,27 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .components import components
-from .shared import scaled_partitions, stored, table
+from .shared import discard, stored, table
 from .spans import lower_ascii, mixed, text_bytes, word_hashes
 from .tokens import text_slices
 
-#: Groups that shingles are hashed into; a set's point has a coordinate for each, its number of shingles there (255 at most).
+#: Groups that shingles are hashed into; a set's point has a coordinate for each, its number of shingles there (65535 at most).
 GROUPS = 96
-#: Of these groups so many are compared member by member before whole sets are.
-PART = 12
 #: Counters of the shingle frequencies: a fixed size, whatever the corpus.
 COUNTERS = 1 << 18
 #: A bucket over so many sets is dealt as pairs of blocks of so many.
 BLOCK = 2048
-_LEAF = 32
-#: Of a set's possible partners, in each of so many rounds, so many of the likeliest are verified before all that are left are.
-LIKELIEST, ROUNDS = 4, 2
+#: What a task verifies at a time: so many shingles of its sets together, each set counted as 500 more.
+UNIT = 1 << 20
+_LEAF, _FANOUT = 32, 8
 #: Bytes of text that a task hashes at a time; its arrays take some fifty times as much.
 _SLICE = 1 << 20
 #: A table of at most so many rows of ids is broadcast, after it has been counted.
@@ -73,8 +72,7 @@ def _vectors(h: np.ndarray, starts: np.ndarray) -> np.ndarray:
 
 
 def _overlap_bound(u: np.ndarray, v: np.ndarray) -> np.ndarray:
-    """At most so many shingles are common: the summed minima of the coordinates. A coordinate of 255 or more may be any number, so
-    there the other's counts; vectors are kept as 16-bit numbers, and 65535 stands for all above."""
+    """At most so many shingles are common: the summed minima of the coordinates (65535 stands for all above, see ``_possible``)."""
     return np.minimum(u, v).sum(-1, dtype=np.int64)
 
 
@@ -89,43 +87,103 @@ def _possible(u, n, v, m, percent: int) -> np.ndarray:
     return fits | ((u == 65535) & (v == 65535)).any(-1)
 
 
-def rtree_pairs(points: np.ndarray, sizes: np.ndarray, classes: np.ndarray, sides: np.ndarray | None, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of points of different classes (and sides, if given) whose bounds allow a link.
+class CountTree:
+    """An R-tree over count vectors: points, sorted by size and first coordinates, are packed into leaves, these into nodes, and so on up to a root.
 
-    Points, sorted by size and first coordinates, are packed into leaves with a bounding box each, the tree's only level. Two leaves
-    part if the summed minima of their boxes' greatest coordinates stay below what their least sizes require, or their
-    sizes are too far apart; the points of leaves that don't part are compared.
+    A node has a box (here its greatest coordinates) and the least and greatest size of its points. Two nodes part if the summed minima of
+    their boxes stay below what their least sizes require, or if their sizes are too far apart; else their children are compared.
     """
-    order = np.lexsort((points[:, 1], points[:, 0], sizes))
-    points, sizes, classes = points[order].astype(np.int32), sizes[order], classes[order]
-    sides = None if sides is None else sides[order]
-    heads = np.arange(0, len(points), _LEAF)
-    top, lo, hi = np.maximum.reduceat(points, heads), np.minimum.reduceat(sizes, heads), np.maximum.reduceat(sizes, heads)
-    out_a, out_b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-    for i in range(len(heads)):
-        j = np.arange(i, len(heads))
-        j = j[100 * hi[i] >= percent * lo[j]]  # sizes ascend from leaf to leaf
-        j = j[(_overlap_bound(top[i], top[j]) >= _required(lo[i], lo[j], percent)) | ((top[i] == 65535) & (top[j] == 65535)).any(-1)]
-        for k in j:
-            a, b = np.arange(heads[i], min(heads[i] + _LEAF, len(points))), np.arange(heads[k], min(heads[k] + _LEAF, len(points)))
-            good = _possible(points[a][:, None], sizes[a][:, None], points[b][None], sizes[b][None], percent) & (classes[a][:, None] != classes[b][None])
-            if sides is not None:
-                good &= sides[a][:, None] != sides[b][None]
-            if i == k:
-                good &= a[:, None] < b[None]
-            x, y = np.nonzero(good)
-            out_a.append(a[x])
-            out_b.append(b[y])
-    return order[np.concatenate(out_a)], order[np.concatenate(out_b)]
+
+    def __init__(self, points: np.ndarray, sizes: np.ndarray) -> None:
+        self.order = np.lexsort((points[:, 1], points[:, 0], sizes))
+        self.points, self.sizes = points[self.order].astype(np.int32), sizes[self.order]
+        self.levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # from the leaves up
+        top, lo, hi, each = self.points, self.sizes, self.sizes, _LEAF
+        while not self.levels or len(lo) > 1:
+            heads = np.arange(0, len(lo), each)
+            top, lo, hi, each = np.maximum.reduceat(top, heads), np.minimum.reduceat(lo, heads), np.maximum.reduceat(hi, heads), _FANOUT
+            self.levels.append((top, lo, hi))
+
+    def leaf_pairs(self, percent: int) -> Iterator[tuple[int, int]]:
+        """Pairs of leaves (the first no later than the second) whose boxes allow a link."""
+        a = b = np.zeros(1, np.int64)
+        for level in range(len(self.levels) - 1, -1, -1):
+            top, lo, hi = self.levels[level]
+            near = (100 * hi[a] >= percent * lo[b]) & (100 * hi[b] >= percent * lo[a])
+            near &= (_overlap_bound(top[a], top[b]) >= _required(lo[a], lo[b], percent)) | ((top[a] == 65535) & (top[b] == 65535)).any(-1)
+            a, b = a[near], b[near]
+            if level:
+                child, below = np.arange(_FANOUT), len(self.levels[level - 1][1])
+                x, y = np.broadcast_arrays(a[:, None, None] * _FANOUT + child[:, None], b[:, None, None] * _FANOUT + child)
+                real = (x < below) & (y < below) & (x <= y)
+                a, b = x[real], y[real]
+        yield from zip(a.tolist(), b.tolist(), strict=True)
+
+    def pairs(self, percent: int, labels: list[np.ndarray], sides: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For leaf after leaf, pairs of points whose bounds allow a link, that differ in each of ``labels``, and in ``sides`` if given.
+
+        Labels may be changed between one step and the next; leaves whose points all have one label aren't compared.
+        """
+        for i, j in self.leaf_pairs(percent):
+            x, y = self.order[i * _LEAF : (i + 1) * _LEAF], self.order[j * _LEAF : (j + 1) * _LEAF]
+            if any((label[x] == label[y[0]]).all() and (label[y] == label[y[0]]).all() for label in labels):
+                continue
+            u, v = slice(i * _LEAF, i * _LEAF + len(x)), slice(j * _LEAF, j * _LEAF + len(y))
+            good = _possible(self.points[u][:, None], self.sizes[u][:, None], self.points[v][None], self.sizes[v][None], percent)
+            for label in labels if sides is None else [*labels, sides]:
+                good &= label[x][:, None] != label[y][None]
+            if i == j:
+                good = np.triu(good, 1)
+            p, q = np.nonzero(good)
+            if len(p):
+                yield x[p], y[q]
+
+
+def _merged(label: np.ndarray, p: int, q: int) -> bool:
+    """Give the points labelled as q the label of p; whether the two had different labels."""
+    if label[p] == label[q]:
+        return False
+    label[label == label[q]] = label[p]
+    return True
+
+
+def candidate_links(points: np.ndarray, sizes: np.ndarray, root: np.ndarray, sides: np.ndarray | None, percent: int) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs of different roots that the bounds allow: each such pair lies in one tree, and there are fewer links than points."""
+    group = np.arange(len(sizes))
+    return [(p, q) for x, y in CountTree(points, sizes).pairs(percent, [root, group], sides) for p, q in zip(x.tolist(), y.tolist(), strict=True) if _merged(group, p, q)]
+
+
+def verified_links(h: np.ndarray, starts: np.ndarray, root: np.ndarray, sides: np.ndarray | None, percent: int) -> list[tuple[int, int]]:
+    """Links that connect sets (runs of ``h``) of different roots, enough of them that all linked sets become connected.
+
+    What the tree's bounds allow is verified by the sets' intersection, unless the two have become connected meanwhile.
+    """
+    n, out = np.diff(starts), []
+    label = np.unique(root, return_inverse=True)[1]
+    _, local = np.unique(h, return_inverse=True)
+    inside = np.zeros(len(h), bool)
+    for x, y in CountTree(np.minimum(_vectors(h, starts), 65535), n).pairs(percent, [label], sides):
+        for p in np.unique(x).tolist():
+            q = y[x == p]
+            q = q[label[q] != label[p]]
+            if len(q):
+                mine = local[starts[p] : starts[p + 1]]
+                inside[mine] = True
+                ends = np.cumsum(n[q])
+                at = np.repeat(starts[q] - (ends - n[q]), n[q]) + np.arange(ends[-1])
+                common = np.add.reduceat(inside[local[at]], ends - n[q], dtype=np.int64)
+                inside[mine] = False
+                out += [(p, t) for t in q[100 * common >= percent * (n[p] + n[q] - common)].tolist() if _merged(label, p, t)]
+    return out
 
 
 def _sketch_and_sets(docs: DataFrame, width: int) -> DataFrame:
-    """Of each row: doc_id, n, sid (the set's hash) and point. Of each task: the counters of its shingles, 64 blocks of them."""
+    """Of each row: doc_id, n, sid (the set's hash), point and digest. Of each task: the counters of its shingles, 64 blocks of them."""
     block = COUNTERS // 64
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(COUNTERS, np.int64)
-        schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("sid", pa.int64()), ("point", pa.binary()), ("block", pa.int32())])
+        schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("sid", pa.int64()), ("point", pa.binary()), ("block", pa.int32()), ("digest", pa.int64())])
         for batch in batches:
             texts = batch.column("text")
             for lo, hi in text_slices(texts.fill_null(""), _SLICE):
@@ -134,13 +192,13 @@ def _sketch_and_sets(docs: DataFrame, width: int) -> DataFrame:
                 n = np.diff(starts)
                 points = np.minimum(_vectors(h, starts), 65535).astype("<u2")
                 sid = pa.array(_set_ids(h, starts), mask=n == 0)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), pa.array(n), sid, pa.array([p.tobytes() for p in points], pa.binary()), pa.nulls(hi - lo, pa.int32())], schema=schema)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), pa.array(n), sid, pa.array([p.tobytes() for p in points], pa.binary()), pa.nulls(hi - lo, pa.int32()), batch.column("digest").slice(lo, hi - lo)], schema=schema)
         from pyspark import TaskContext
 
         rows, task = range(64), TaskContext.get().partitionId()
-        yield pa.RecordBatch.from_arrays([pa.nulls(64, pa.int64()), pa.array([task] * 64, pa.int64()), pa.nulls(64, pa.int64()), pa.array([counts[k * block : (k + 1) * block].astype("<i8").tobytes() for k in rows], pa.binary()), pa.array(rows, pa.int32())], schema=schema)
+        yield pa.RecordBatch.from_arrays([pa.nulls(64, pa.int64()), pa.array([task] * 64, pa.int64()), pa.nulls(64, pa.int64()), pa.array([counts[k * block : (k + 1) * block].astype("<i8").tobytes() for k in rows], pa.binary()), pa.array(rows, pa.int32()), pa.nulls(64, pa.int64())], schema=schema)
 
-    return docs.mapInArrow(run, "doc_id long, n long, sid long, point binary, block int")
+    return docs.mapInArrow(run, "doc_id long, n long, sid long, point binary, block int, digest long")
 
 
 def shingle_levels(found: DataFrame) -> np.ndarray:
@@ -246,150 +304,194 @@ def _bounded_pairs(percent: int):
                 continue
             u, v = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u2").reshape(-1, GROUPS) for c in ("point_a", "point_b"))
             n, m = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("n_a", "n_b"))
-            good = _possible(u, n, v, m, percent)
-            slack = _overlap_bound(u, v) / np.maximum(_required(n, m, percent), 1)
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), batch.column("weight"), pa.array(slack)], names=["a", "b", "weight", "slack"]).filter(pa.array(good))
+            yield batch.select(["a", "b", "weight"]).filter(pa.array(_possible(u, n, v, m, percent)))
 
     return run
 
 
-def _tree_pairs(percent: int):
+def _tree_candidates(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _grouped(batches, ["token", "i", "j"]):
-            token, i, j = (rows.column(c).to_numpy() for c in ("token", "i", "j"))
+            i, j, n, sid, root, own = (rows.column(c).to_numpy() for c in ("i", "j", "n", "sid", "root", "own"))
             points = np.frombuffer(b"".join(rows.column("point").to_pylist()), "<u2").reshape(-1, GROUPS)
-            n, sid, root, own = (rows.column(c).to_numpy() for c in ("n", "sid", "root", "own"))
-            cuts = np.flatnonzero((token[1:] != token[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
-            found_a, found_b, slacks = [], [], []
-            for lo, hi in zip([0, *cuts], [*cuts, len(token)], strict=True):
-                a, b = rtree_pairs(points[lo:hi], n[lo:hi], root[lo:hi], own[lo:hi] if i[lo] != j[lo] else None, percent)
-                found_a.append(sid[lo:hi][a])
-                found_b.append(sid[lo:hi][b])
-                slacks.append(_overlap_bound(points[lo:hi][a], points[lo:hi][b]) / np.maximum(_required(n[lo:hi][a], n[lo:hi][b], percent), 1))
-            a, b = np.concatenate(found_a), np.concatenate(found_b)
-            yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b)), pa.array(np.concatenate(slacks))], names=["a", "b", "slack"])
+            found = [np.empty((0, 2), np.int64)]
+            for lo, hi in _runs(rows, ["token", "i", "j"]):
+                links = candidate_links(points[lo:hi], n[lo:hi], root[lo:hi], own[lo:hi] if i[lo] != j[lo] else None, percent)
+                found.append(sid[lo:hi][np.array(links, np.int64).reshape(-1, 2)])
+            ends = np.concatenate(found)
+            yield pa.RecordBatch.from_arrays([pa.array(ends.max(1)), pa.array(ends.min(1))], names=["a", "b"])
 
     return run
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, percent: int, width: int, screened: bool = True) -> DataFrame:
-    """The pairs (a, b) of sets that do link, by intersection of the sets themselves.
+def _runs(rows: pa.Table, keys: list[str]) -> list[tuple[int, int]]:
+    """Where each run of equal ``keys`` begins and ends."""
+    k = np.stack([rows.column(c).to_numpy() for c in keys])
+    cuts = (np.flatnonzero((k[:, 1:] != k[:, :-1]).any(0)) + 1).tolist()
+    return list(zip([0, *cuts], [*cuts, len(rows)], strict=True))
+
+
+def _verified(placed: DataFrame, docs: DataFrame, sets: DataFrame, percent: int, width: int, stars: bool) -> DataFrame:
+    """Links (a, b) of the sets in each unit, a row of ``placed`` (unit, i, j, sid, root, own) for each set of a unit.
 
-    Unless it is not to be ``screened``, a first pass compares the sets' members in PART of the groups; these and the summed minima of the other
-    groups bound the overlap, which rules out most pairs that the count vectors alone let pass, at a fraction of the bytes.
-    Each set is made again from one of its texts. That of ``a`` goes to where that of ``b`` is, dealt by both, so a set with many partners
-    is spread. The ids that choose the texts are broadcast if they have been counted and are few, else joined by a shuffle.
+    A unit's task makes the sets again from texts that it is sent once each, and returns fewer links than it has sets: with ``stars``
+    those of the unit's own set (that whose sid is ``unit``) with the others, else enough to connect all linked sets of different roots
+    (and different ``own`` if i and j differ). The ids that choose the texts are broadcast if they have been counted and are few, else joined by a shuffle.
     """
-    if screened:
-        pairs = stored(_compared(pairs, docs, sets, percent, width, PART), "jaccard-screened")
-    return _compared(pairs, docs, sets, percent, width, GROUPS)
+    keys = ["unit", "i", "j"]
+    wanted = placed.groupBy("sid").agg(F.collect_list(F.struct(*keys, "root", "own")).alias("places")).join(sets.select("sid", "doc", F.col("digest").alias("d")), "sid")
+    wanted = stored(wanted, "jaccard-wanted")
+    few = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
+    texts = docs.join(few, docs["doc_id"].eqNullSafe(few["doc"]) & (docs["digest"] == few["d"])).select("sid", "text", "places")
+    rows = texts.mapInArrow(_once, texts.schema).select("sid", "text", F.explode("places").alias("p")).select("p.*", "sid", "text")
+    dealt = rows.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys).sortWithinPartitions(*keys, "sid")
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _grouped(batches, keys):
+            runs, found = _runs(rows, keys), [np.empty((0, 2), np.int64)]
+            for first, last in text_slices(rows.column("text").combine_chunks(), _SLICE, [lo for lo, _ in runs]):
+                part = rows.slice(first, last - first).combine_chunks()
+                h, starts = _sets_of(part.column("text").combine_chunks(), width)
+                sid, unit, i, j, root, own = (part.column(c).to_numpy() for c in ("sid", *keys, "root", "own"))
+                fine = _set_ids(h, starts) == sid  # another text may have the same digest
+                fine[1:] &= (sid[1:] != sid[:-1]) | (unit[1:] != unit[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])
+                for lo, hi in _runs(part, keys):
+                    at = lo + np.flatnonzero(fine[lo:hi])
+                    if len(at) < 2:
+                        continue
+                    links = _star_links(h, starts, at, int(np.flatnonzero(sid[at] == unit[lo])[0]), percent) if stars else None
+                    if links is None:
+                        mine = np.concatenate([h[starts[k] : starts[k + 1]] for k in at])
+                        links = verified_links(mine, np.concatenate([[0], np.cumsum(starts[at + 1] - starts[at])]), root[at], own[at] if i[lo] != j[lo] else None, percent)
+                    found.append(sid[at][np.array(links, np.int64).reshape(-1, 2)])
+            ends = np.concatenate(found)
+            yield pa.RecordBatch.from_arrays([pa.array(ends.max(1)), pa.array(ends.min(1))], names=["a", "b"])
+
+    links = stored(dealt.mapInArrow(run, "a long, b long"), "jaccard-links")
+    discard(wanted)
+    return links
+
+
+def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows with each sid once a task: rows repeated in full would all go to one unit."""
+    seen: set[int] = set()
+    for batch in batches:
+        fresh = []
+        for s in batch.column("sid").to_pylist():
+            fresh.append(s not in seen)
+            seen.add(s)
+        yield batch.filter(pa.array(fresh, pa.bool_()))
 
-def _compared(pairs: DataFrame, docs: DataFrame, sets: DataFrame, percent: int, width: int, part: int) -> DataFrame:
-    """The pairs that members in groups under ``part`` and the counts in the other groups allow to link; with all groups, those that link."""
-    n_pairs = pairs.count()
-    if not n_pairs:
-        return pairs.select("a", "b")
-    salts = scaled_partitions(n_pairs, 20_000, 1)
-    salted = pairs.select("a", "b", F.pmod(F.xxhash64("a"), F.lit(salts)).cast("int").alias("salt"))
-    reps = sets.select("sid", "doc")
 
-    def with_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            column = batch.column("text")
-            for lo, hi in text_slices(column.fill_null(""), _SLICE):
-                h, starts = shingle_sets(column.slice(lo, hi - lo), width)
-                same = _set_ids(h, starts) == batch.column("sid").slice(lo, hi - lo).to_numpy(zero_copy_only=False)
-                points = np.minimum(_vectors(h, starts), 65535).astype("<u2")
-                inside = h % np.uint64(GROUPS) < part
-                bounds = np.concatenate([[0], np.cumsum(inside)])[starts]
-                kept = h[inside]
-                made = pa.array([p.tobytes() + kept[x:y].tobytes() for p, x, y in zip(points, bounds[:-1], bounds[1:], strict=True)], pa.binary())
-                partners = batch.column("partners").slice(lo, hi - lo).filter(pa.array(same))
-                made, sids = made.filter(pa.array(same)), batch.column("sid").slice(lo, hi - lo).filter(pa.array(same))
-                owner = np.repeat(np.arange(len(made)), np.diff(np.asarray(partners.offsets)))
-                inner = partners.flatten()
-                for k in range(0, len(owner), 256):
-                    at = pa.array(owner[k : k + 256])
-                    yield pa.RecordBatch.from_arrays([sids.take(at), inner.field("b").slice(k, 256), inner.field("salt").slice(k, 256), made.take(at)], names=["sid", "b", "salt", "members"])
-
-    schema = "sid long, b long, salt int, members binary"
-
-    def sets_of(wanted: DataFrame) -> DataFrame:
-        named = wanted.groupBy("sid").agg(F.collect_list(F.struct("b", "salt")).alias("partners")).join(reps, "sid")
-        few = F.broadcast(named) if n_pairs <= BROADCAST_ROWS else named
-        return docs.join(few, docs["doc_id"] == few["doc"]).select("sid", "partners", "text").mapInArrow(with_sets, schema)
-
-    left = sets_of(salted.select(F.col("a").alias("sid"), "b", "salt"))
-    right = sets_of(salted.select(F.col("b").alias("sid"), F.lit(0).cast("long").alias("b"), "salt").distinct())
-
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            good = np.zeros(batch.num_rows, bool)
-            for k in range(batch.num_rows):
-                (u, x), (v, y) = ((np.frombuffer(b, "<u2", GROUPS).astype(np.int64), np.frombuffer(b, np.uint64, -1, 2 * GROUPS)) for b in (batch.column(c)[k].as_buffer() for c in ("x", "y")))
-                common = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum()) if len(y) else 0
-                most = common + int(np.minimum(u[part:], v[part:]).sum())
-                unsure = part < GROUPS and bool(((u == 65535) | (v == 65535)).any())
-                n = len(x) + len(y) if part == GROUPS else int(u.sum() + v.sum())
-                good[k] = unsure or 100 * most >= percent * (n - most)
-            yield batch.select(["a", "b"]).filter(pa.array(good))
+def _sets_of(texts: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """As ``shingle_sets``, a bounded number of bytes at a time."""
+    made = [shingle_sets(texts.slice(lo, hi - lo), width) for lo, hi in text_slices(texts, _SLICE)]
+    return np.concatenate([h for h, _ in made]), np.concatenate([[0], np.cumsum(np.concatenate([np.diff(s) for _, s in made]))])
 
-    both = left.select(F.col("sid").alias("a"), "b", "salt", F.col("members").alias("x")).join(right.select(F.col("sid").alias("b"), "salt", F.col("members").alias("y")), ["b", "salt"])
-    return both.select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
 
+def _star_links(h: np.ndarray, starts: np.ndarray, at: np.ndarray, hub: int, percent: int) -> list[tuple[int, int]]:
+    """Which of the sets ``at`` link with that at ``hub`` among them."""
+    mine = h[starts[at[hub]] : starts[at[hub] + 1]]
+    out = []
+    for k, s in enumerate(at):
+        other = h[starts[s] : starts[s + 1]]
+        common = int((mine[np.minimum(np.searchsorted(mine, other), len(mine) - 1)] == other).sum())
+        if k != hub and 100 * common >= percent * (len(mine) + len(other) - common):
+            out.append((hub, k))
+    return out
 
-def jaccard_components(docs: DataFrame, percent: int = 80, width: int = 5, id_col: str = "doc_id", text_col: str = "text", salt_over: int = 50_000) -> DataFrame:
-    """Groups of texts that links of Jaccard similarity ``percent`` / 100 or more connect: doc_id, n_shingles, component_id.
 
-    A text's set has its distinct ``width``-word shingles (A-Z lower-cased; of a shorter text the whole as one). component_id is the
-    smallest doc_id that can be reached by links. Every link between different sets counts and none is missed:
+def _starred(best: DataFrame, sets: DataFrame) -> DataFrame:
+    """Units of a set and those whose best partner it is; a set with many of them has a unit for each UNIT of weight."""
+    weighed = best.join(sets.select(F.col("sid").alias("a"), (F.col("n") + 500).alias("w")), "a")
+    slots = weighed.groupBy("b").agg(F.ceil(F.sum("w") / UNIT).cast("int").alias("slots"))
+    spokes = weighed.join(slots, "b").select(F.col("b").alias("unit"), F.pmod(F.xxhash64("a"), F.col("slots")).cast("int").alias("i"), F.col("a").alias("sid"))
+    hubs = spokes.select("unit", "i", F.col("unit").alias("sid")).distinct()
+    return spokes.unionByName(hubs).select("unit", "i", F.col("i").alias("j"), "sid", F.col("sid").alias("root"), F.lit(0).alias("own"))
 
-    1. Equal sets are one set. Shingles are ordered from rare to frequent by fixed-size counters over all texts, and each set's
-       prefix in that order is dealt by shingle, so linked sets meet in a bucket.
-    2. In each bucket all are compared with its first set: sizes and count vectors rule pairs out, the others are verified. As a rule
-       this connects large groups of copies, at a cost in proportion to their size.
-    3. Buckets with sets that aren't connected yet index their count vectors in an R-tree, which yields the remaining pairs that its
-       bounds allow; the likeliest are verified first, and those that have become connected drop out. Large buckets are dealt as pairs of blocks.
 
-    Null or empty texts link with nothing and are their own component. One row per input row; rows that share an id are told apart by their
-    texts but share that id's component only by links; null ids are kept, and are no component's id unless alone.
+def _clustered(candidates: DataFrame, sets: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
+    """Units of the sets that candidate links connect; clusters over UNIT of weight are dealt as pairs of parts.
+
+    A part has sets of one band of sizes, and either none or only such as belong to the cluster's largest root. Sets of bands that aren't
+    neighbours can't link, and those of one root need not.
+    """
+    clusters = components(candidates).select(F.col("node").alias("sid"), F.col("root").alias("unit"))
+    sized = clusters.join(sets.select("sid", "n", (F.col("n") + 500).alias("w")), "sid").join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
+    sized = stored(sized, "jaccard-clusters")
+    main = sized.groupBy("unit", "root").agg(F.sum("w").alias("w")).groupBy("unit").agg(F.max_by("root", F.struct("w", "root")).alias("main"), F.sum("w").alias("all"))
+    banded = sized.join(main, "unit").withColumn("whole", F.col("all") <= UNIT)
+    banded = banded.withColumn("band", F.when(F.col("whole"), 0).otherwise(F.floor(F.log("n") / math.log(max(1.05, 100 / percent * 1.0001)))).cast("int")).withColumn("kin", ~F.col("whole") & (F.col("root") == F.col("main")))
+    parts = banded.groupBy("unit", "band", "kin").agg(F.ceil(F.sum("w") / UNIT).cast("int").alias("slots"))
+    placed = banded.join(parts, ["unit", "band", "kin"]).withColumn("slot", F.pmod(F.xxhash64("sid"), F.col("slots")).cast("int"))
+    part = F.struct("band", "kin", "slot")
+    each = parts.select("unit", "band", "kin", F.explode(F.sequence(F.lit(0), F.col("slots") - 1)).alias("slot")).select("unit", part.alias("x"))
+    other = each.withColumnRenamed("x", "y")
+    # parts, not sets, meet here: as many as a cluster's weight has UNITs
+    met = each.join(other, "unit").where("abs(x.band - y.band) <= 1 AND NOT (x.kin AND y.kin)")
+    met = met.select("unit", F.col("x").alias("mine"), F.xxhash64(F.least("x", "y")).alias("i"), F.xxhash64(F.greatest("x", "y")).alias("j"))
+    return placed.select("unit", "sid", "root", part.alias("mine")).join(met, ["unit", "mine"]).select("unit", "i", "j", "sid", "root", F.xxhash64("mine").alias("own"))
+
+
+def jaccard_links(docs: DataFrame, percent: int = 80, width: int = 5, id_col: str = "doc_id", text_col: str = "text", salt_over: int = 50_000) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows (doc_id, n, sid: the row's set, null without words), sets (sid, doc: the least id, n) and verified links (a, b) between sets.
+
+    Links are enough to connect all sets that links of Jaccard similarity ``percent`` / 100 or more connect; each has been verified.
     """
     spark = docs.sparkSession
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("digest"))
     found = stored(_sketch_and_sets(base, width), "jaccard-sets")
-    rows = found.where("block IS NULL").select("doc_id", "n", "sid", "point")
-    sets = stored(rows.where("sid IS NOT NULL AND doc_id IS NOT NULL").groupBy("sid").agg(F.min("doc_id").alias("doc"), F.first("n").alias("n"), F.first("point").alias("point")), "jaccard-distinct")
-    tokens = prefix_rows(base, shingle_levels(found), percent, width, salt_over)
+    rows = found.where("block IS NULL").select("doc_id", "n", "sid", "point", "digest")
+    # the row that a set is made from again: nulls last
+    least = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "digest")).alias("r")
+    sets = rows.where("sid IS NOT NULL").groupBy("sid").agg(least, F.first("n").alias("n"), F.first("point").alias("point"))
+    sets = stored(sets.select("sid", "r.doc_id", "r.digest", "n", "point").withColumnRenamed("doc_id", "doc"), "jaccard-distinct")
+    tokens = prefix_rows(base.select("text"), shingle_levels(found), percent, width, salt_over)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = tokens.repartition(parts, "token", "salt").sortWithinPartitions("token", "salt", "sid")
-    members = stored(dealt.mapInArrow(_stars, "token long, pivot long, sid long"), "jaccard-members")
-    members = _rejoined(members, parts) if salt_over < (1 << 40) else members
+    first = stored(dealt.mapInArrow(_stars, "token long, pivot long, sid long"), "jaccard-members")
+    members = _rejoined(first) if salt_over < (1 << 40) else first
     a, b = sets.select(F.col("sid").alias("a"), F.col("n").alias("n_a"), F.col("point").alias("point_a")), sets.select(F.col("sid").alias("b"), F.col("n").alias("n_b"), F.col("point").alias("point_b"))
     pairs = members.where("sid <> pivot").groupBy(F.greatest("sid", "pivot").alias("a"), F.least("sid", "pivot").alias("b")).agg(F.count("*").alias("weight"))
-    pairs = stored(pairs.join(a, "a").join(b, "b").select("a", "b", "weight", "n_a", "n_b", "point_a", "point_b").mapInArrow(_bounded_pairs(percent), "a long, b long, weight long, slack double"), "jaccard-pairs")
+    bounded = pairs.join(a, "a").join(b, "b").select("a", "b", "weight", "n_a", "n_b", "point_a", "point_b").mapInArrow(_bounded_pairs(percent), "a long, b long, weight long")
     # first each set's partner with which it shares most of its prefix
-    best = pairs.groupBy("a").agg(F.max_by("b", F.struct("weight", "b")).alias("b")).select("a", "b")
-    links = stored(_verified(best, base, sets, percent, width, screened=False), "jaccard-links")
+    best = stored(bounded.groupBy("a").agg(F.max_by("b", F.struct("weight", "b")).alias("b")), "jaccard-best")
+    links = _verified(_starred(best, sets), base, sets, percent, width, stars=True)
     roots = stored(components(links), "jaccard-roots")
-    tree = _bucket_pairs(members, sets, roots, percent, parts).join(pairs, ["a", "b"], "left_anti")
-    rest = stored(_between(pairs.select("a", "b", "slack").join(best, ["a", "b"], "left_anti").unionByName(tree), roots), "jaccard-rest")
-    for r in range(ROUNDS + 1):
-        if not rest.take(1):
-            break
-        now = _likeliest(rest) if r < ROUNDS else rest.select("a", "b")
-        links = links.unionByName(stored(_verified(stored(now, "jaccard-now"), base, sets, percent, width), "jaccard-links"))
-        roots = stored(components(links), "jaccard-roots")
-        if r < ROUNDS:
-            rest = stored(_between(rest.join(now, ["a", "b"], "left_anti"), roots), "jaccard-rest")
-    reached = sets.select("sid", "doc").join(roots, F.col("sid") == F.col("node"))
+    candidates = stored(_bucket_candidates(members, sets, roots, percent, parts), "jaccard-candidates")
+    discard(first, best)
+    placed = _clustered(candidates, sets, roots, percent)
+    links = links.unionByName(_verified(placed, base, sets, percent, width, stars=False))
+    return rows.select("doc_id", "n", "sid"), sets.select("sid", "doc", "n"), links
+
+
+def jaccard_components(docs: DataFrame, percent: int = 80, width: int = 5, id_col: str = "doc_id", text_col: str = "text", salt_over: int = 50_000) -> DataFrame:
+    """Groups of texts that links of Jaccard similarity ``percent`` / 100 or more connect: doc_id, n_shingles, component_id.
+
+    A text's set has its distinct ``width``-word shingles (A-Z lower-cased; of a shorter text the whole as one). component_id is the
+    smallest doc_id that can be reached by links. Every link between different sets counts and none is missed:
+
+    1. Equal sets are one set. Shingles are ordered from rare to frequent by fixed-size counters over all texts, and each set's
+       prefix in that order is dealt by shingle, so linked sets meet in a bucket.
+    2. In each bucket all are compared with its first set: sizes and count vectors rule pairs out; each set's likeliest partner is verified. As a rule
+       this connects large groups of copies, at a cost in proportion to their size.
+    3. Buckets with sets that aren't connected yet index their count vectors in an R-tree. A pair that its bounds allow isn't listed: a bucket
+       returns a spanning forest of such pairs, and what these connect is a cluster, in which every allowed pair lies.
+    4. A cluster's task makes the sets, indexes them alike, verifies what isn't connected yet, and returns a spanning
+       forest of the links. Large buckets and clusters are dealt as pairs of parts.
+
+    Null or empty texts link with nothing and are their own component. One row per input row; rows that share an id are told apart by their
+    texts but share that id's component only by links; rows with null ids link as others do, and are no component's id unless alone.
+    """
+    rows, sets, links = jaccard_links(docs, percent, width, id_col, text_col, salt_over)
+    reached = sets.select("sid", "doc").join(stored(components(links), "jaccard-roots"), F.col("sid") == F.col("node"))
     least = reached.groupBy("root").agg(F.min("doc").alias("component"))
     known = reached.join(least, "root").select("sid", "component")
     alone = sets.select("sid", "doc").join(known, "sid", "left").select("sid", F.coalesce("component", "doc").alias("component"))
     return rows.join(alone, "sid", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
 
-def _rejoined(members: DataFrame, parts: int) -> DataFrame:
+def _rejoined(members: DataFrame) -> DataFrame:
     """Salted buckets with the same token have a pivot each; a second, small star joins these pivots."""
     pivots = members.groupBy("token").agg(F.min("pivot").alias("p"), F.max("pivot").alias("q")).where("p <> q").select("token")  # in several parts
     several = members.select("token", "pivot").join(pivots, "token", "left_semi").distinct()
@@ -397,28 +499,15 @@ def _rejoined(members: DataFrame, parts: int) -> DataFrame:
     return members.unionByName(several.join(least, "token").where("pivot <> least").select("token", F.col("least").alias("pivot"), F.col("pivot").alias("sid")))
 
 
-def _between(pairs: DataFrame, roots: DataFrame) -> DataFrame:
-    """The pairs that lie in different components."""
-    ra, rb = roots.select(F.col("node").alias("a"), F.col("root").alias("ra")), roots.select(F.col("node").alias("b"), F.col("root").alias("rb"))
-    return pairs.join(ra, "a", "left").join(rb, "b", "left").where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b", "slack")
-
-
-def _likeliest(pairs: DataFrame) -> DataFrame:
-    """The pairs that are among the LIKELIEST of either of their sets, by how far the bound exceeds what is required."""
-    both = pairs.select("a", "b", "slack", F.explode(F.array("a", "b")).alias("of"))
-    top = both.withColumn("r", F.row_number().over(W.partitionBy("of").orderBy(F.desc("slack"), "a", "b"))).where(F.col("r") <= LIKELIEST)
-    return top.select("a", "b").distinct()
-
-
-def _bucket_pairs(members: DataFrame, sets: DataFrame, roots: DataFrame, percent: int, parts: int) -> DataFrame:
-    """Pairs of sets that share a bucket, are not connected yet, and that the R-tree's bounds allow."""
+def _bucket_candidates(members: DataFrame, sets: DataFrame, roots: DataFrame, percent: int, parts: int) -> DataFrame:
+    """Links (a, b) that connect all sets of different roots that share a bucket and that the R-tree's bounds allow to link."""
     known = members.select("token", "sid").distinct().join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
-    counted = known.groupBy("token").agg(F.count("*").alias("m"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi AND m > 2").select("token", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
+    counted = known.groupBy("token").agg(F.count("*").alias("m"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("token", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
     rows = known.join(counted, "token").withColumn("own", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).join(sets.select("sid", "n", "point"), "sid")
     rows = rows.select("token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "sid", "root", "n", "point")
     dealt = rows.repartition(parts, "token", "i", "j").sortWithinPartitions("token", "i", "j")
-    return dealt.mapInArrow(_tree_pairs(percent), "a long, b long, slack double").distinct()
+    return dealt.mapInArrow(_tree_candidates(percent), "a long, b long").distinct()
 
 
 def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -120,12 +120,15 @@ def encoded(batches: Iterator[pa.RecordBatch], name: str, id_col: str = "doc_id"
             yield ids.slice(lo, hi - lo), tokens, starts
 
 
-def text_slices(texts: pa.Array, at_most: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
-    """Runs of rows with about ``at_most`` bytes together, one row at least."""
+def text_slices(texts: pa.Array, at_most: int = SLICE_BYTES, cuts: list[int] | None = None) -> Iterator[tuple[int, int]]:
+    """Runs of rows with about ``at_most`` bytes together, one row at least; if ``cuts`` are given, runs begin at some of these only."""
     ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)) if len(texts) else np.empty(0, np.int64)
+    allowed = np.append(np.arange(len(texts)) if cuts is None else cuts, len(texts))
     lo, base = 0, 0
     while lo < len(texts):
-        hi = max(lo + 1, int(np.searchsorted(ends, base + at_most, "right")))
+        hi = int(np.searchsorted(ends, base + at_most, "right"))
+        next_cut = int(np.searchsorted(allowed, lo, "right"))
+        hi = int(allowed[max(next_cut, int(np.searchsorted(allowed, hi, "right")) - 1)])
         yield lo, hi
         lo, base = hi, int(ends[hi - 1])
 
