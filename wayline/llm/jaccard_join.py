@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from .components import components
 from .shared import discard, stored, table
@@ -81,6 +81,12 @@ def _required(n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
     return -(-percent * (n + m) // (100 + percent))
 
 
+def _least_common(n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
+    """At least so many shingles do the prefixes of linked sets of n and m have in common: that of the two which ends first in the common
+    order has n - percent * n / 100 + 1 of them, of which the other set lacks n less the required overlap at most."""
+    return _required(n, m, percent) + 1 + np.minimum(-percent * n // 100, -percent * m // 100)
+
+
 def _possible(u, n, v, m, percent: int) -> np.ndarray:
     """Whether sizes and count vectors allow a link."""
     fits = (100 * np.minimum(n, m) >= percent * np.maximum(n, m)) & (_overlap_bound(u, v) >= _required(n, m, percent))
@@ -119,8 +125,9 @@ class CountTree:
                 a, b = x[real], y[real]
         yield from zip(a.tolist(), b.tolist(), strict=True)
 
-    def pairs(self, percent: int, labels: list[np.ndarray], sides: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def pairs(self, percent: int, labels: list[np.ndarray], sides: np.ndarray | None = None, shared: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """For leaf after leaf, pairs of points whose bounds allow a link, that differ in each of ``labels``, and in ``sides`` if given.
+        ``shared``: how many shingles of each set's prefix other sets' have too; neither of a pair may have fewer than linked ones must.
 
         Labels may be changed between one step and the next; leaves whose points all have one label aren't compared.
         """
@@ -130,6 +137,8 @@ class CountTree:
                 continue
             u, v = slice(i * _LEAF, i * _LEAF + len(x)), slice(j * _LEAF, j * _LEAF + len(y))
             good = _possible(self.points[u][:, None], self.sizes[u][:, None], self.points[v][None], self.sizes[v][None], percent)
+            if shared is not None:
+                good &= np.minimum(shared[x][:, None], shared[y][None]) >= _least_common(self.sizes[u][:, None], self.sizes[v][None], percent)
             for label in labels if sides is None else [*labels, sides]:
                 good &= label[x][:, None] != label[y][None]
             if i == j:
@@ -147,10 +156,10 @@ def _merged(label: np.ndarray, p: int, q: int) -> bool:
     return True
 
 
-def candidate_links(points: np.ndarray, sizes: np.ndarray, root: np.ndarray, sides: np.ndarray | None, percent: int) -> list[tuple[int, int]]:
+def candidate_links(points: np.ndarray, sizes: np.ndarray, root: np.ndarray, sides: np.ndarray | None, shared: np.ndarray, percent: int) -> list[tuple[int, int]]:
     """A spanning forest of the pairs of different roots that the bounds allow: each such pair lies in one tree, and there are fewer links than points."""
     group = np.arange(len(sizes))
-    return [(p, q) for x, y in CountTree(points, sizes).pairs(percent, [root, group], sides) for p, q in zip(x.tolist(), y.tolist(), strict=True) if _merged(group, p, q)]
+    return [(p, q) for x, y in CountTree(points, sizes).pairs(percent, [root, group], sides, shared) for p, q in zip(x.tolist(), y.tolist(), strict=True) if _merged(group, p, q)]
 
 
 def verified_links(h: np.ndarray, starts: np.ndarray, root: np.ndarray, sides: np.ndarray | None, percent: int) -> list[tuple[int, int]]:
@@ -312,11 +321,11 @@ def _bounded_pairs(percent: int):
 def _tree_candidates(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _grouped(batches, ["token", "i", "j"]):
-            i, j, n, sid, root, own = (rows.column(c).to_numpy() for c in ("i", "j", "n", "sid", "root", "own"))
+            i, j, n, sid, root, own, shared = (rows.column(c).to_numpy() for c in ("i", "j", "n", "sid", "root", "own", "shared"))
             points = np.frombuffer(b"".join(rows.column("point").to_pylist()), "<u2").reshape(-1, GROUPS)
             found = [np.empty((0, 2), np.int64)]
             for lo, hi in _runs(rows, ["token", "i", "j"]):
-                links = candidate_links(points[lo:hi], n[lo:hi], root[lo:hi], own[lo:hi] if i[lo] != j[lo] else None, percent)
+                links = candidate_links(points[lo:hi], n[lo:hi], root[lo:hi], own[lo:hi] if i[lo] != j[lo] else None, shared[lo:hi], percent)
                 found.append(sid[lo:hi][np.array(links, np.int64).reshape(-1, 2)])
             ends = np.concatenate(found)
             yield pa.RecordBatch.from_arrays([pa.array(ends.max(1)), pa.array(ends.min(1))], names=["a", "b"])
@@ -336,14 +345,11 @@ def _verified(placed: DataFrame, docs: DataFrame, sets: DataFrame, percent: int,
 
     A unit's task makes the sets again from texts that it is sent once each, and returns fewer links than it has sets: with ``stars``
     those of the unit's own set (that whose sid is ``unit``) with the others, else enough to connect all linked sets of different roots
-    (and different ``own`` if i and j differ). The ids that choose the texts are broadcast if they have been counted and are few, else joined by a shuffle.
+    (and different ``own`` if i and j differ).
     """
     keys = ["unit", "i", "j"]
-    wanted = placed.groupBy("sid").agg(F.collect_list(F.struct(*keys, "root", "own")).alias("places")).join(sets.select("sid", "doc", F.col("digest").alias("d")), "sid")
-    wanted = stored(wanted, "jaccard-wanted")
-    few = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
-    texts = docs.join(few, docs["doc_id"].eqNullSafe(few["doc"]) & (docs["digest"] == few["d"])).select("sid", "text", "places")
-    rows = texts.mapInArrow(_once, texts.schema).select("sid", "text", F.explode("places").alias("p")).select("p.*", "sid", "text")
+    wanted = placed.groupBy("sid").agg(F.collect_list(F.struct(*keys, "root", "own")).alias("places"))
+    rows = _texts(wanted, docs, sets).select("sid", "text", F.explode("places").alias("p")).select("p.*", "sid", "text")
     dealt = rows.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys).sortWithinPartitions(*keys, "sid")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -367,9 +373,39 @@ def _verified(placed: DataFrame, docs: DataFrame, sets: DataFrame, percent: int,
             ends = np.concatenate(found)
             yield pa.RecordBatch.from_arrays([pa.array(ends.max(1)), pa.array(ends.min(1))], names=["a", "b"])
 
-    links = stored(dealt.mapInArrow(run, "a long, b long"), "jaccard-links")
-    discard(wanted)
-    return links
+    return stored(dealt.mapInArrow(run, "a long, b long"), "jaccard-links")
+
+
+def _texts(wanted: DataFrame, docs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Rows of ``wanted`` (sid and more) with a text that has this set. The ids that choose the texts are broadcast if they have been
+    counted and are few, else joined by a shuffle; rows of ``docs`` repeated in full may give a set once for each task."""
+    named = stored(wanted.join(sets.select("sid", "doc", F.col("digest").alias("d")), "sid"), "jaccard-wanted")
+    few = F.broadcast(named) if named.count() <= BROADCAST_ROWS else named
+    texts = docs.join(few, docs["doc_id"].eqNullSafe(few["doc"]) & (docs["digest"] == few["d"])).select(*wanted.columns, "text")
+    return texts.mapInArrow(_once, texts.schema)
+
+
+def _refined(candidates: DataFrame, docs: DataFrame, sets: DataFrame, percent: int, width: int, parts: int) -> DataFrame:
+    """token, sid: prefixes of the sets that candidate links name, in the order of how many of these sets really have a shingle.
+
+    The counters of the first order are shared by many shingles and know the frequent ones only, so long texts that share a few passages
+    meet there. Here a set's shingles that no other has come first, and most such sets have enough of these to fill their prefix.
+    """
+    named = candidates.select(F.col("a").alias("sid")).unionByName(candidates.select(F.col("b").alias("sid"))).distinct()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi in text_slices(batch.column("text"), _SLICE):
+                h, starts = shingle_sets(batch.column("text").slice(lo, hi - lo), width)
+                sid = batch.column("sid").slice(lo, hi - lo).to_numpy()
+                fine = np.repeat(_set_ids(h, starts) == sid, np.diff(starts))
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)[fine]), pa.array(np.repeat(sid, np.diff(starts))[fine])], names=["token", "sid"])
+
+    tokens = _texts(named, docs, sets).mapInArrow(run, "token long, sid long").repartition(parts, "token").distinct()
+    shared = tokens.join(tokens.groupBy("token").agg(F.count("*").alias("sets")).where("sets > 1"), "token").join(sets.select("sid", "n"), "sid")
+    of = W.partitionBy("sid")  # at most a text's shingles
+    placed = shared.withColumn("r", F.row_number().over(of.orderBy("sets", "token"))).withColumn("alone", F.col("n") - F.count("*").over(of))
+    return placed.where(F.col("alone") + F.col("r") <= F.col("n") - F.ceil(F.lit(percent) * F.col("n") / 100) + 1).select("token", "sid")
 
 
 def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -460,6 +496,8 @@ def jaccard_links(docs: DataFrame, percent: int = 80, width: int = 5, id_col: st
     roots = stored(components(links), "jaccard-roots")
     candidates = stored(_bucket_candidates(members, sets, roots, percent, parts), "jaccard-candidates")
     discard(first, best)
+    members = stored(_refined(candidates, base, sets, percent, width, parts), "jaccard-members")
+    candidates = stored(_bucket_candidates(members, sets, roots, percent, parts), "jaccard-candidates")
     placed = _clustered(candidates, sets, roots, percent)
     links = links.unionByName(_verified(placed, base, sets, percent, width, stars=False))
     return rows.select("doc_id", "n", "sid"), sets.select("sid", "doc", "n"), links
@@ -476,7 +514,8 @@ def jaccard_components(docs: DataFrame, percent: int = 80, width: int = 5, id_co
     2. In each bucket all are compared with its first set: sizes and count vectors rule pairs out; each set's likeliest partner is verified. As a rule
        this connects large groups of copies, at a cost in proportion to their size.
     3. Buckets with sets that aren't connected yet index their count vectors in an R-tree. A pair that its bounds allow isn't listed: a bucket
-       returns a spanning forest of such pairs, and what these connect is a cluster, in which every allowed pair lies.
+       returns a spanning forest of such pairs. This is done twice: for the sets that such pairs name the shingles' true frequencies are
+       counted and the prefixes taken anew. What the second forests connect is a cluster, in which every allowed pair lies.
     4. A cluster's task makes the sets, indexes them alike, verifies what isn't connected yet, and returns a spanning
        forest of the links. Large buckets and clusters are dealt as pairs of parts.
 
@@ -503,9 +542,10 @@ def _bucket_candidates(members: DataFrame, sets: DataFrame, roots: DataFrame, pe
     """Links (a, b) that connect all sets of different roots that share a bucket and that the R-tree's bounds allow to link."""
     known = members.select("token", "sid").distinct().join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
     counted = known.groupBy("token").agg(F.count("*").alias("m"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("token", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
-    rows = known.join(counted, "token").withColumn("own", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).join(sets.select("sid", "n", "point"), "sid")
-    rows = rows.select("token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "sid", "root", "n", "point")
+    rows = stored(known.join(counted, "token").withColumn("own", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int")), "jaccard-buckets")
+    each = rows.groupBy("sid").agg(F.count("*").alias("shared")).join(sets.select("sid", "n", "point"), "sid")
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).join(each, "sid")
+    rows = rows.select("token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "sid", "root", "n", "shared", "point")
     dealt = rows.repartition(parts, "token", "i", "j").sortWithinPartitions("token", "i", "j")
     return dealt.mapInArrow(_tree_candidates(percent), "a long, b long").distinct()
 
