@@ -10,14 +10,12 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .shared import table
+from .shared import arrow_stage, stored, table
 from .spans import lower_ascii, text_bytes, word_hashes
 from .tokens import text_slices
 
-#: Labelled texts that a model is fitted on at most.
-SAMPLE = 6000
-#: Of a text's lines, so many from each end at most take part in fitting (scoring uses all).
-FIT_LINES = 100
+#: Labelled texts that a model is fitted on at most, and lines that these have together at most; a text takes part with all its lines or not at all.
+SAMPLE, SAMPLE_LINES = 6000, 400_000
 _LOCAL = 10
 #: Bytes of text whose features are computed at a time.
 _SLICE = 1 << 20
@@ -188,10 +186,11 @@ def held_out(doc_id) -> F.Column:
     return F.crc32(F.encode(F.coalesce(doc_id.cast("string"), F.lit("")), "UTF-8")) % 5 == 0
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> LineModel:
-    """A model of the labels of rows that aren't held out, fitted on ``sample`` of them, or all if there are fewer.
+def fit_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_lines: int = SAMPLE_LINES, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> LineModel:
+    """A model of the labels of rows that aren't held out, fitted on ``sample`` of them, or all if there are fewer, with ``sample_lines`` lines at most.
 
-    The sample is drawn by a hash of the id; its texts' line features are computed by tasks, and they alone come to the driver. Ids
+    The sample is drawn by a hash of the id; its texts' line features are computed by tasks. Whole texts, the shortest first, are taken until
+    they would have more than ``sample_lines`` lines; these texts' features alone come to the driver. Ids
     with contradicting labels take the smaller; null ids and labels are left out. Without labels the model says 0.5 or so of everything.
     """
     known = labels.where(F.col(label_col).isin(0, 1) & F.col("doc_id").isNotNull()).where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.min(label_col).cast("int").alias("label"))
@@ -203,16 +202,22 @@ def fit_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col
             for lo, hi in text_slices(pc.fill_null(texts, ""), _SLICE):
                 part = texts.slice(lo, hi - lo)
                 x, size, first = line_features(*text_bytes(part))
-                ends = np.append(first[1:], len(x))
-                rows = [np.r_[a : min(b, a + FIT_LINES), max(a + FIT_LINES, b - FIT_LINES) : b].astype(int) if b - a > FIT_LINES else np.arange(a, b) for a, b in zip(first, ends, strict=True)]
+                spans = [slice(a, b) for a, b in zip(first, np.append(first[1:], len(x)), strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("label").slice(lo, hi - lo), pa.array([x[r].astype("<f4").tobytes() for r in rows], pa.binary()), pa.array([size[r].astype("<f4").tobytes() for r in rows], pa.binary())],
-                    names=["label", "x", "size"],
+                    [batch.column("label").slice(lo, hi - lo), pa.array([r.stop - r.start for r in spans], pa.int64()), pa.array([x[r].astype("<f4").tobytes() for r in spans], pa.binary()), pa.array([size[r].astype("<f4").tobytes() for r in spans], pa.binary())],
+                    names=["label", "lines", "x", "size"],
                 )
 
     base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     # ``sample`` rows of an id and a label: a proven bound
-    rows = base.join(F.broadcast(drawn), "doc_id").select("label", "text").mapInArrow(features, "label int, x binary, size binary").collect()
+    found = stored(arrow_stage(base.join(F.broadcast(drawn), "doc_id").select("label", "text"), features, "label int, lines long, x binary, size binary"), "quality-features")
+    upto, longest = 0, -1
+    for r in found.groupBy("lines").count().orderBy("lines").toLocalIterator():  # lengths that occur
+        upto += r["lines"] * r["count"]
+        if upto > sample_lines:
+            break
+        longest = r["lines"]
+    rows = found.where(F.col("lines") <= longest).select("label", "x", "size").collect()
     if not rows:
         return LineModel(np.zeros(_LOCAL + 15), np.zeros((2, 2)), np.zeros(4))
     rows.sort(key=lambda r: (r["x"], r["label"]))  # the order in which tasks end must not matter
@@ -239,7 +244,7 @@ def score_quality(docs: DataFrame, model: LineModel, threshold: float = 0.3, id_
             yield pa.RecordBatch.from_pydict(columns | {"score": pa.array(score), "predicted": pa.array((score >= threshold).astype(np.int32))})
 
     rest = docs.drop("score", "predicted")
-    return rest.mapInArrow(scored, rest.withColumns({"score": F.lit(0.0), "predicted": F.lit(0)}).schema)
+    return arrow_stage(rest, scored, rest.withColumns({"score": F.lit(0.0), "predicted": F.lit(0)}).schema)
 
 
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
