@@ -18,18 +18,20 @@ _HTTP = f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=UTF-8{CRLF}Trans
 
 
 def page_records(pages: DataFrame, min_bytes: int = 100, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """page_id, url, html, payload_bytes, payload_digest, refers_to: each page and what it repeats.
+    """page_id, url, html, payload_bytes, payload_digest, refers_to, repeated, refers_repeated: each page and what it repeats.
 
     Of pages with equal payloads of ``min_bytes`` or more, that with the smallest id is the response the others refer to. Digests are
-    counted before they are joined, and joined by id, so a payload that many pages share goes to no single task.
+    counted before they are joined, and joined by id, so a payload that many pages share goes to no single task. repeated and refers_repeated:
+    whether rows with the same id and payload as this one, or as the response, occur more than once.
     """
     html = F.coalesce(F.col(html_col), F.lit(""))
     base = pages.select(F.col(id_col).alias("page_id"), F.coalesce(F.col(url_col), F.lit("")).alias("url"), html.alias("html"))
     keyed = base.select("page_id", "url", "html", F.octet_length("html").cast("long").alias("payload_bytes"), F.sha2(F.encode("html", "UTF-8"), 256).alias("payload_digest"))
-    large = keyed.where((F.col("payload_bytes") >= min_bytes) & F.col("page_id").isNotNull())
-    shared = large.groupBy("payload_digest").agg(F.min("page_id").alias("refers_to"), F.max("page_id").alias("last")).where("last > refers_to").select("payload_digest", "refers_to")
-    copies = large.select("page_id", "payload_digest").join(shared, "payload_digest").where("page_id > refers_to").select("page_id", "payload_digest", "refers_to").distinct()
-    return keyed.join(copies, ["page_id", "payload_digest"], "left")
+    counts = keyed.where("page_id IS NOT NULL").groupBy("page_id", "payload_digest").agg(F.first("payload_bytes").alias("bytes"), (F.count("*") > 1).alias("repeated"))
+    large = counts.where(F.col("bytes") >= min_bytes).groupBy("payload_digest").agg(F.min(F.struct("page_id", "repeated")).alias("to"), F.max("page_id").alias("last"))
+    found = counts.join(large.where("last > to.page_id").select("payload_digest", "to"), "payload_digest", "left").withColumn("to", F.when(F.col("page_id") > F.col("to.page_id"), F.col("to")))
+    notes = found.where("repeated OR to IS NOT NULL").select("page_id", "payload_digest", "repeated", F.col("to.page_id").alias("refers_to"), F.col("to.repeated").alias("refers_repeated"))
+    return keyed.join(notes, ["page_id", "payload_digest"], "left")
 
 
 def _uuid(kind: str, *parts: Column) -> Column:
@@ -57,7 +59,10 @@ def warc_records(records: DataFrame, chunk_chars: int = CHUNK_CHARS, segment_cha
     framed = F.transform(F.filter(cut(F.col("html"), chunk_chars), lambda c: c != ""), lambda c: F.concat(F.lower(F.hex(F.octet_length(c))), F.lit(CRLF), c, F.lit(CRLF)))
     revisit = F.col("refers_to").isNotNull()
     block = F.when(revisit, F.lit(f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=UTF-8{CRLF}{CRLF}")).otherwise(F.concat(F.lit(_HTTP), F.array_join(framed, ""), F.lit(f"0{CRLF}{CRLF}")))
-    blocks = records.withColumn("_total", F.octet_length(block)).withColumn("_id", _uuid("page", F.col("page_id"), F.col("payload_digest")))
+    blocks = records.withColumn("_total", F.octet_length(block))
+    # rows with the same id and payload, or without an id, are told apart by number
+    alone = F.col("page_id").isNotNull() & ~F.coalesce("repeated", F.lit(False))
+    blocks = blocks.withColumn("_row", F.monotonically_increasing_id()).withColumn("_id", _uuid("page", F.col("page_id"), F.col("payload_digest"), F.when(~alone, F.col("_row"))))
     parts = blocks.select("*", F.posexplode(cut(block, segment_chars)).alias("_k", "_part"), F.ceil(F.length(block) / F.lit(segment_chars)).cast("int").alias("_n"))
     several, first = F.col("_n") > 1, F.col("_k") == 0
     rest = lambda x: F.when(several & ~first, x)
@@ -73,7 +78,7 @@ def warc_records(records: DataFrame, chunk_chars: int = CHUNK_CHARS, segment_cha
         _header("X-Page-ID", F.when(first, F.col("page_id"))),
         _header("X-Payload-Length", F.when(first, F.col("payload_bytes"))),
         _header("WARC-Payload-Digest", F.when(first, F.concat(F.lit("sha256:"), F.col("payload_digest")))),
-        _header("WARC-Refers-To", F.when(first & revisit, _uuid("page", F.col("refers_to"), F.col("payload_digest")))),
+        _header("WARC-Refers-To", F.when(first & revisit & ~F.coalesce("refers_repeated", F.lit(False)), _uuid("page", F.col("refers_to"), F.col("payload_digest"), F.lit(None)))),
         _header("X-Refers-To-Page-ID", F.when(first, F.col("refers_to"))),
         _header("WARC-Profile", F.when(first & revisit, F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"))),
         _header("Content-Type", F.when(first, F.lit("application/http; msgtype=response"))),
@@ -88,7 +93,7 @@ def write_warc(pages: DataFrame, path: str, file_bytes: int = 16 << 20, min_byte
     """Write a record for each page to gzipped WARC files of about ``file_bytes`` under ``path``.
 
     Null html counts as empty; null ids are written without that header and revisit nothing; repeated rows are written
-    each; an empty table writes no record. Other columns are not read.
+    each, under record ids of their own (a revisit of such a response names its page but not its record); an empty table writes no record. Other columns are not read.
     """
     n, n_bytes = pages.agg(F.count("*"), F.sum(F.octet_length(columns.get("html_col", "html")))).first()
     most = max(1, n * file_bytes // max(1, n_bytes or 0))
