@@ -253,7 +253,15 @@ def test_token_files(spark, tmp_path):
     got = sorted(token_files.token_documents(spark, str(tmp_path / "t")).collect(), key=lambda r: r["start"])
     assert [r["doc_id"] for r in got] == sorted((r[0] for r in rows), key=lambda x: -1 if x is None else x)
     assert [r["start"] for r in got] == [0, *np.cumsum([r["n_tokens"] for r in got])[:-1].tolist()]
-    assert all(r["ids"][-1] == 2 and len(r["ids"]) == r["n_tokens"] for r in got)
+    from tokenizers import Tokenizer
+
+    from wayline.llm.tokens import vocabulary
+
+    t = Tokenizer.from_file(vocabulary())
+    ids = {k: [*t.encode(r[1] or "", add_special_tokens=False).ids, 2] for k, r in enumerate(rows)}
+    assert Counter((r["doc_id"], tuple(r["ids"])) for r in got) == Counter((r[0], tuple(ids[k])) for k, r in enumerate(rows))
+    sums = token_files.token_checksums(spark, str(tmp_path / "t")).collect()
+    assert Counter((r["doc_id"], r["n_tokens"], r["ids_crc32"]) for r in sums) == Counter((r[0], len(ids[k]), zlib.crc32(np.array(ids[k], "<u4").tobytes())) for k, r in enumerate(rows))
 
 
 def test_any_token_of_a_segment():
@@ -357,6 +365,16 @@ def test_warc(spark, tmp_path):
     assert {r["page_id"]: bytes(r["payload"]).decode() for r in got if r["kind"] == "response"} == {p: h or "" for p, _, h, _ in rows if p not in (5, 9)}
 
 
+def test_warc_repeated_rows_in_segments(spark, tmp_path):
+    long = "0123456789" * 20_000
+    rows = [(None, "u", long), (None, "u", long), (1, "u", long), (1, "u", long), (2, "u", long), (3, "u", long + "x"), (4, "u", long + "x")]
+    warc.write_warc(spark.createDataFrame(rows, "page_id long, url string, html string"), str(tmp_path / "w"))
+    got = warc.read_warc(spark, str(tmp_path / "w")).collect()
+    assert all(r["verified"] for r in got) and len({r["record_id"] for r in got}) == 7
+    assert Counter((r["page_id"], r["kind"], r["refers_to"]) for r in got) == Counter([(None, "response", None)] * 2 + [(1, "response", None)] * 2 + [(2, "revisit", 1), (3, "response", None), (4, "revisit", 3)])
+    assert Counter(len(r["payload"]) for r in got if r["kind"] == "response") == Counter([200_000] * 4 + [200_001])
+
+
 def test_empty_tables(spark, tmp_path):
     df, _ = corpus(spark, empty=True)
     items, labels = spark.createDataFrame([], "item_id long, text string"), spark.createDataFrame([], "doc_id long, quality int")

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from .components import components
-from .shared import discard, stored, table
+from .shared import arrow_stage, discard, stored, table
 from .spans import lower_ascii, mixed, text_bytes, word_hashes
 from .tokens import text_slices
 
@@ -207,7 +207,7 @@ def _sketch_and_sets(docs: DataFrame, width: int) -> DataFrame:
         rows, task = range(64), TaskContext.get().partitionId()
         yield pa.RecordBatch.from_arrays([pa.nulls(64, pa.int64()), pa.array([task] * 64, pa.int64()), pa.nulls(64, pa.int64()), pa.array([counts[k * block : (k + 1) * block].astype("<i8").tobytes() for k in rows], pa.binary()), pa.array(rows, pa.int32()), pa.nulls(64, pa.int64())], schema=schema)
 
-    return docs.mapInArrow(run, "doc_id long, n long, sid long, point binary, block int, digest long")
+    return arrow_stage(docs, run, "doc_id long, n long, sid long, point binary, block int, digest long")
 
 
 def shingle_levels(found: DataFrame) -> np.ndarray:
@@ -254,7 +254,7 @@ def prefix_rows(docs: DataFrame, levels: np.ndarray, percent: int, width: int, s
                 salt = np.where(parts > 1, (mixed(set_id.view(np.uint64)) % parts.astype(np.uint64)).astype(np.int64), -1).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([pa.array(token), pa.array(salt), pa.array(set_id)], names=["token", "salt", "sid"])
 
-    return docs.mapInArrow(run, "token long, salt int, sid long")
+    return arrow_stage(docs, run, "token long, salt int, sid long")
 
 
 def _grouped(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
@@ -349,7 +349,8 @@ def _verified(placed: DataFrame, docs: DataFrame, sets: DataFrame, percent: int,
     """
     keys = ["unit", "i", "j"]
     wanted = placed.groupBy("sid").agg(F.collect_list(F.struct(*keys, "root", "own")).alias("places"))
-    rows = _texts(wanted, docs, sets).select("sid", "text", F.explode("places").alias("p")).select("p.*", "sid", "text")
+    texts = _texts(wanted, docs, sets)
+    rows = arrow_stage(texts, _once, texts.schema).select("sid", "text", F.explode("places").alias("p")).select("p.*", "sid", "text")
     dealt = rows.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys).sortWithinPartitions(*keys, "sid")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -373,7 +374,7 @@ def _verified(placed: DataFrame, docs: DataFrame, sets: DataFrame, percent: int,
             ends = np.concatenate(found)
             yield pa.RecordBatch.from_arrays([pa.array(ends.max(1)), pa.array(ends.min(1))], names=["a", "b"])
 
-    return stored(dealt.mapInArrow(run, "a long, b long"), "jaccard-links")
+    return stored(arrow_stage(dealt, run, "a long, b long"), "jaccard-links")
 
 
 def _texts(wanted: DataFrame, docs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -381,8 +382,7 @@ def _texts(wanted: DataFrame, docs: DataFrame, sets: DataFrame) -> DataFrame:
     counted and are few, else joined by a shuffle; rows of ``docs`` repeated in full may give a set once for each task."""
     named = stored(wanted.join(sets.select("sid", "doc", F.col("digest").alias("d")), "sid"), "jaccard-wanted")
     few = F.broadcast(named) if named.count() <= BROADCAST_ROWS else named
-    texts = docs.join(few, docs["doc_id"].eqNullSafe(few["doc"]) & (docs["digest"] == few["d"])).select(*wanted.columns, "text")
-    return texts.mapInArrow(_once, texts.schema)
+    return docs.join(few, docs["doc_id"].eqNullSafe(few["doc"]) & (docs["digest"] == few["d"])).select(*wanted.columns, "text")
 
 
 def _refined(candidates: DataFrame, docs: DataFrame, sets: DataFrame, percent: int, width: int, parts: int) -> DataFrame:
@@ -394,14 +394,14 @@ def _refined(candidates: DataFrame, docs: DataFrame, sets: DataFrame, percent: i
     named = candidates.select(F.col("a").alias("sid")).unionByName(candidates.select(F.col("b").alias("sid"))).distinct()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _once(batches):
             for lo, hi in text_slices(batch.column("text"), _SLICE):
                 h, starts = shingle_sets(batch.column("text").slice(lo, hi - lo), width)
                 sid = batch.column("sid").slice(lo, hi - lo).to_numpy()
                 fine = np.repeat(_set_ids(h, starts) == sid, np.diff(starts))
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)[fine]), pa.array(np.repeat(sid, np.diff(starts))[fine])], names=["token", "sid"])
 
-    tokens = _texts(named, docs, sets).mapInArrow(run, "token long, sid long").repartition(parts, "token").distinct()
+    tokens = arrow_stage(_texts(named, docs, sets), run, "token long, sid long").repartition(parts, "token").distinct()
     shared = tokens.join(tokens.groupBy("token").agg(F.count("*").alias("sets")).where("sets > 1"), "token").join(sets.select("sid", "n"), "sid")
     of = W.partitionBy("sid")  # at most a text's shingles
     placed = shared.withColumn("r", F.row_number().over(of.orderBy("sets", "token"))).withColumn("alone", F.col("n") - F.count("*").over(of))
@@ -489,7 +489,8 @@ def jaccard_links(docs: DataFrame, percent: int = 80, width: int = 5, id_col: st
     members = _rejoined(first) if salt_over < (1 << 40) else first
     a, b = sets.select(F.col("sid").alias("a"), F.col("n").alias("n_a"), F.col("point").alias("point_a")), sets.select(F.col("sid").alias("b"), F.col("n").alias("n_b"), F.col("point").alias("point_b"))
     pairs = members.where("sid <> pivot").groupBy(F.greatest("sid", "pivot").alias("a"), F.least("sid", "pivot").alias("b")).agg(F.count("*").alias("weight"))
-    bounded = pairs.join(a, "a").join(b, "b").select("a", "b", "weight", "n_a", "n_b", "point_a", "point_b").mapInArrow(_bounded_pairs(percent), "a long, b long, weight long")
+    bounded = pairs.join(a, "a").join(b, "b").select("a", "b", "weight", "n_a", "n_b", "point_a", "point_b")
+    bounded = arrow_stage(bounded, _bounded_pairs(percent), "a long, b long, weight long")
     # first each set's partner with which it shares most of its prefix
     best = stored(bounded.groupBy("a").agg(F.max_by("b", F.struct("weight", "b")).alias("b")), "jaccard-best")
     links = _verified(_starred(best, sets), base, sets, percent, width, stars=True)
@@ -547,7 +548,7 @@ def _bucket_candidates(members: DataFrame, sets: DataFrame, roots: DataFrame, pe
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).join(each, "sid")
     rows = rows.select("token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "sid", "root", "n", "shared", "point")
     dealt = rows.repartition(parts, "token", "i", "j").sortWithinPartitions("token", "i", "j")
-    return dealt.mapInArrow(_tree_candidates(percent), "a long, b long").distinct()
+    return arrow_stage(dealt, _tree_candidates(percent), "a long, b long").distinct()
 
 
 def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

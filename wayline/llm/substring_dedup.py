@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .shared import discard, stored, table
+from .shared import arrow_stage, discard, stored, table
 from .spans import powers, prefix_hashes, range_hashes, text_bytes
 from .tokens import text_slices
 
@@ -81,7 +81,7 @@ def _first_step(docs: DataFrame, length: int) -> DataFrame:
                 owner = np.searchsorted(starts, p1, "right") - 1
                 yield _rows(batch.column("digest").slice(lo, hi - lo), owner, starts, prefix, second, length, a, a - p2, a - p1, a, a + GRAM)
 
-    return docs.select("digest", "text").mapInArrow(run, _SQL)
+    return arrow_stage(docs.select("digest", "text"), run, _SQL)
 
 
 def _next_step(texts: DataFrame, length: int, step: int) -> DataFrame:
@@ -109,7 +109,7 @@ def _next_step(texts: DataFrame, length: int, step: int) -> DataFrame:
                     s = slice(k, k + 500_000)
                     yield _rows(part.column("digest"), owner[s], starts, prefix, second, length, suffix[s], lo[s], hi[s], core[s], core[s] - step + 1 + length, block[s])
 
-    return texts.select("digest", "text", "spots").mapInArrow(run, _SQL)
+    return arrow_stage(texts.select("digest", "text", "spots"), run, _SQL)
 
 
 def repeated_windows(docs: DataFrame, length: int = 200) -> DataFrame:
@@ -178,7 +178,7 @@ def substring_dedup(docs: DataFrame, length: int = 200, id_col: str = "doc_id",
             columns = list(zip(*out, strict=True)) or [()] * len(kind)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(columns, kind, strict=True)], schema=pa.schema(kind))
 
-    return base.join(runs, "digest", "left").select("doc_id", "text", "runs").mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_kept)
+    return arrow_stage(base.join(runs, "digest", "left").select("doc_id", "text", "runs"), cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_kept)
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
-from .shared import new_path, released_shuffles, scaled_partitions, table
+from .shared import arrow_stage, new_path, released_shuffles, scaled_partitions, table
 from .tokens import crc32_of, encoded
 
 MAGIC, BITS, RUN = b"DAC1", 8, 512
@@ -119,7 +119,7 @@ def segments(docs: DataFrame, tokenizer: str, end_id: int, id_col: str, text_col
 
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     ranged = base.repartitionByRange(partitions, F.col("doc_id").asc_nulls_first(), F.xxhash64("text")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
-    return ranged.mapInArrow(pack, _SCHEMA)
+    return arrow_stage(ranged, pack, _SCHEMA)
 
 
 def write_token_files(docs: DataFrame, path: str, tokenizer: str = "word_bpe_49k.json", end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", partition_bytes: int = 32 << 20) -> None:

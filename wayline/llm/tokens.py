@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 #: Words that a task keeps with their ids before it forgets them all; bounds its memory.
 CACHE_WORDS = 500_000
 #: Bytes of text that are turned into ids at a time.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 
 def vocabulary(name: str = "word_bpe_49k.json") -> str:
