@@ -109,9 +109,10 @@ def shard(
     cells = ranged.groupBy("rng", "sub").agg(F.sum("size").alias("bytes"), F.count("*").alias("n"))
     ahead = W.orderBy("rng", "sub").rowsBetween(W.unboundedPreceding, -1)
     cells = cells.select("rng", "sub", F.coalesce(F.sum("bytes").over(ahead), F.lit(0)).alias("bytes0"), F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("n0"))
-    placed = numbered.join(_small(cells, 4 * n_ranges), ["rng", "sub"]).withColumns({"at": F.col("bytes0") + F.col("cum") - F.col("size"), "row": F.col("n0") + F.col("rn") - 1})
-    # small groups of equal texts take the shard of their first row
-    texts = placed.groupBy("h").agg(F.sum("size").alias("group_bytes"), F.min("at").alias("group_at"), F.count("*").alias("copies")).where("copies > 1").where(F.col("group_bytes") <= snap * target)
+    # a row's place is its middle
+    placed = numbered.join(_small(cells, 4 * n_ranges), ["rng", "sub"]).withColumns({"at": F.col("bytes0") + F.col("cum") - F.col("size") / 2, "row": F.col("n0") + F.col("rn") - 1})
+    # small groups of equal texts go where their middle is
+    texts = placed.groupBy("h").agg(F.sum("size").alias("group_bytes"), ((F.min("at") + F.max("at")) / 2).alias("group_at"), F.count("*").alias("copies")).where("copies > 1").where(F.col("group_bytes") <= snap * target)
     placed = placed.join(texts.select("h", "group_at"), "h", "left")
     at = F.coalesce("group_at", "at")
     placed = placed.withColumn("shard", F.least(F.lit(n_shards - 1), F.floor(at * F.lit(n_shards) / F.lit(total))).cast("int"))
