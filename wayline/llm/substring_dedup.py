@@ -18,15 +18,16 @@ GRAM = 32
 #: Extents at which windows are compared: all of a suffix's, then so many together, then each.
 STEPS = (16, 1)
 _SLICE = 2 << 20
-_ROW = pa.schema([("digest", pa.int64()), ("place", pa.int64()), ("core", pa.int64()), ("whole", pa.int64())])
-_SQL = "digest long, place long, core long, whole long"
+_ROW = pa.schema([("digest", pa.binary()), ("place", pa.int64()), ("core", pa.int64()), ("whole", pa.int64())])
+_SQL = "digest binary, place long, core long, whole long"
 
 
 def sampled_suffixes(raw: np.ndarray, starts: np.ndarray, prefix: np.ndarray, length: int, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Suffixes (byte places) such that each ``length``-byte window begins at most ``length - gram`` before one, and the
     windows, first and last, that each stands for.
 
-    A window's suffix is where the least hash of ``gram`` bytes in it stands, the leftmost of equals: the window's content alone decides.
+    A window's suffix is where the least hash (30 bits) of ``gram`` bytes in it stands, the leftmost of equals: the window's content alone
+    decides, in texts of any length.
     """
     span = length - gram + 1
     n = len(raw) - length + 1
@@ -37,16 +38,14 @@ def sampled_suffixes(raw: np.ndarray, starts: np.ndarray, prefix: np.ndarray, le
     inverse = powers(len(raw), inverse=True)
     h = (prefix[gram:] - prefix[: len(at)]) * inverse[: len(at)]
     h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    least = (h & ~np.uint64((1 << 24) - 1)) | at.astype(np.uint64)  # a slice has under 2^24 bytes, unless it is one long text
-    wide = len(raw) >= 1 << 24
-    if wide:
-        least = (h & ~np.uint64((1 << 34) - 1)) | at.astype(np.uint64)
+    places = np.uint64((1 << 34) - 1)
+    least = (h & ~places) | at.astype(np.uint64)
     reach = 1
     while 2 * reach <= span:
         least = np.minimum(least[:-reach], least[reach:])
         reach *= 2
     least = np.minimum(least[:n], least[span - reach : span - reach + n])
-    place = (least & np.uint64((1 << (34 if wide else 24)) - 1)).astype(np.int64)
+    place = (least & places).astype(np.int64)
     window = np.arange(n)
     ends = np.repeat(starts[1:], np.diff(starts))[:n]
     inside = window + length <= ends
@@ -115,7 +114,7 @@ def _next_step(texts: DataFrame, length: int, step: int) -> DataFrame:
 def repeated_windows(docs: DataFrame, length: int = 200) -> DataFrame:
     """digest, places: runs of windows whose ``length`` bytes stand elsewhere too, in the same text or another.
 
-    ``docs`` has text (not null) and digest, its hash. A row stands for the windows of one suffix. Rows with equal hashes are copies: all their
+    ``docs`` has text (not null) and digest, its hash of 128 bits. A row stands for the windows of one suffix. Rows with equal hashes are copies: all their
     windows repeat. Rows with the same core but other bytes may share some windows: one row for each of such contents goes on to the
     next, finer step; the last compares single windows. Rows are only ever counted by hash, with partial sums on each task, so
     a passage in any number of documents loads no task. What a step has written goes as soon as the next has been written.
@@ -158,7 +157,7 @@ def substring_dedup(docs: DataFrame, length: int = 200, id_col: str = "doc_id",
     (maximal removed runs), kept_sha256, and kept, the other bytes, if asked for. Null texts count as empty; rows repeated in full
     are copies of one another; null ids are kept; extra columns are not read.
     """
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("digest", F.xxhash64("text"))
+    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("digest", F.unhex(F.md5("text")))
     runs = repeated_windows(base, length).groupBy("digest").agg(F.collect_list("place").alias("runs"))
     kind = [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())] + [("kept", pa.binary())] * with_kept
 
