@@ -260,6 +260,11 @@ def test_token_files(spark, tmp_path):
     t = Tokenizer.from_file(vocabulary())
     ids = {k: [*t.encode(r[1] or "", add_special_tokens=False).ids, 2] for k, r in enumerate(rows)}
     assert Counter((r["doc_id"], tuple(r["ids"])) for r in got) == Counter((r[0], tuple(ids[k])) for k, r in enumerate(rows))
+    assert all(token_files.token_at(spark, str(tmp_path / "t"), rows[k][0], p) == ids[k][p] for k, p in ((0, 0), (5, 3), (70, -1 + len(ids[70]))))
+    with pytest.raises(IndexError):
+        token_files.token_at(spark, str(tmp_path / "t"), 0, len(ids[0]))
+    with pytest.raises(KeyError):
+        token_files.token_at(spark, str(tmp_path / "t"), 10_000, 0)
     sums = token_files.token_checksums(spark, str(tmp_path / "t")).collect()
     assert Counter((r["doc_id"], r["n_tokens"], r["ids_crc32"]) for r in sums) == Counter((r[0], len(ids[k]), zlib.crc32(np.array(ids[k], "<u4").tobytes())) for k, r in enumerate(rows))
 

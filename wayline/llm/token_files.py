@@ -22,7 +22,9 @@ from .tokens import crc32_of, encoded
 
 MAGIC, BITS, RUN = b"DAC1", 8, 512
 SEGMENT_IDS = 1 << 20
-_SCHEMA = "first_id long, part int, place long, n_ids long, doc_ids array<bigint>, segment binary"
+#: Segments' places are broadcast to their readers up to so many segments, after they have been counted; more are joined by a shuffle.
+BROADCAST_ROWS = 200_000
+_SCHEMA = "first_id long, last_id long, part int, place long, n_ids long, doc_ids array<bigint>, segment binary"
 
 
 def pack_segment(ids: np.ndarray, starts: np.ndarray) -> bytes:
@@ -103,8 +105,8 @@ def segments(docs: DataFrame, tokenizer: str, end_id: int, id_col: str, text_col
             tokens = np.concatenate([t for _, t, _ in held])
             starts = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(s) for _, _, s in held]))])
             out = pa.RecordBatch.from_pylist(
-                [{"first_id": doc_ids[0], "part": part, "place": place, "n_ids": len(tokens), "doc_ids": doc_ids, "segment": pack_segment(tokens, starts)}],
-                schema=pa.schema([("first_id", pa.int64()), ("part", pa.int32()), ("place", pa.int64()), ("n_ids", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("segment", pa.binary())]),
+                [{"first_id": doc_ids[0], "last_id": doc_ids[-1], "part": part, "place": place, "n_ids": len(tokens), "doc_ids": doc_ids, "segment": pack_segment(tokens, starts)}],
+                schema=pa.schema([("first_id", pa.int64()), ("last_id", pa.int64()), ("part", pa.int32()), ("place", pa.int64()), ("n_ids", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("segment", pa.binary())]),
             )
             place, held = place + 1, []
             return out
@@ -142,7 +144,21 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     sizes = rows.select("part", "place", "n_ids")  # a row for a million ids
     base = F.coalesce(F.sum("n_ids").over(W.orderBy("part", "place").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     bases = sizes.select("part", "place", base.alias("base"))
-    return rows.join(bases, ["part", "place"]).select("doc_ids", "segment", "base")
+    few = F.broadcast(bases) if sizes.count() <= BROADCAST_ROWS else bases
+    return rows.join(few, ["part", "place"]).select("doc_ids", "segment", "base")
+
+
+def token_at(spark: SparkSession, path: str, doc_id: int, position: int) -> int:
+    """Token ``position`` of the first document with ``doc_id``: Parquet's statistics choose the segment, and no other id in it is decoded."""
+    rows = spark.read.schema(_SCHEMA).parquet(path).where((F.col("first_id").isNull() | (F.col("first_id") <= doc_id)) & (F.col("last_id") >= doc_id) & F.array_contains("doc_ids", doc_id))
+    found = rows.orderBy("part", "place").select("segment", (F.array_position("doc_ids", doc_id) - 1).alias("d")).first()
+    if found is None:
+        raise KeyError(doc_id)
+    segment = Segment(bytes(found["segment"]))
+    start, end = (int(segment.starts[found["d"] + k]) for k in (0, 1))
+    if not 0 <= position < end - start:
+        raise IndexError(position)
+    return segment.token(start + position)
 
 
 def token_documents(spark: SparkSession, path: str) -> DataFrame:
