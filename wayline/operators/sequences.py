@@ -73,8 +73,8 @@ def coarse_samples(samples: DataFrame, every_s: float) -> DataFrame:
     last = samples.groupBy("media_id").agg(F.max("offset_s").alias("_last"))
     wanted = last.select("media_id", F.explode(F.sequence(F.lit(0), F.floor(F.col("_last") / every_s).cast("int"))).alias("_m")).select("media_id", (F.col("_m") * every_s).cast("double").alias("at"), F.lit(None).cast("double").alias("o"))
     both = wanted.unionByName(samples.select("media_id", F.col("offset_s").cast("double").alias("at"), F.col("offset_s").cast("double").alias("o")))
-    w = W.partitionBy("media_id").orderBy("at", F.col("o").isNull())
-    before, after = F.last("o", ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, 0)), F.first("o", ignorenulls=True).over(w.rowsBetween(0, W.unboundedFollowing))
+    known = lambda *order: F.last("o", ignorenulls=True).over(W.partitionBy("media_id").orderBy(*order).rowsBetween(W.unboundedPreceding, 0))
+    before, after = known("at", F.col("o").isNull()), known(F.desc("at"), F.col("o").isNull().desc())
     near = both.withColumns({"_b": before, "_a": after}).where("o IS NULL")
     best = F.when(F.col("_a").isNull() | (F.col("at") - F.col("_b") <= F.col("_a") - F.col("at")), F.col("_b")).otherwise(F.col("_a"))
     return samples.join(near.select("media_id", best.alias("offset_s")).distinct(), ["media_id", "offset_s"], "left_semi")
@@ -141,7 +141,7 @@ def infer_timestamps_by_rank(media: DataFrame, order: str = "id") -> DataFrame:
     w = W.partitionBy("carpeta").orderBy(order)
     a = F.when(F.col("timestamp_utc").isNotNull(), F.struct(F.col("_n").alias("n"), epoch_seconds(F.col("timestamp_utc")).alias("s")))
     rows = media.where("carpeta IS NOT NULL").withColumn("_n", F.row_number().over(w)).withColumn("_a", a)
-    rows = rows.withColumns({"_p": F.last("_a", ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, -1)), "_q": F.first("_a", ignorenulls=True).over(w.rowsBetween(1, W.unboundedFollowing))})
+    rows = rows.withColumns({"_p": F.last("_a", ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, -1)), "_q": F.last("_a", ignorenulls=True).over(W.partitionBy("carpeta").orderBy(F.desc("_n")).rowsBetween(W.unboundedPreceding, -1))})
     s = F.col("_p.s") + (F.col("_q.s") - F.col("_p.s")) * (F.col("_n") - F.col("_p.n")) / (F.col("_q.n") - F.col("_p.n"))
     return rows.where("timestamp_utc IS NULL AND _p IS NOT NULL AND _q IS NOT NULL").select("id", s.alias("t_s"))
 

@@ -52,11 +52,12 @@ def last_known(df: DataFrame, bucket: Column, order: list[str], name: str, value
 def next_known(df: DataFrame, bucket: Column, order: list[str], name: str, value: Column, inclusive: bool = False) -> DataFrame:
     """Column ``name``: the first non-null ``value`` after a row (or at it), across buckets."""
     df = df.withColumn("_bucket", bucket).withColumn("_v", value)
-    frame = W.partitionBy("_bucket").orderBy(*order).rowsBetween(0 if inclusive else 1, W.unboundedFollowing)
-    after = W.orderBy("_bucket").rowsBetween(1, W.unboundedFollowing)
+    # in reverse, as a frame that ends with the partition is gone through anew for each row
+    frame = W.partitionBy("_bucket").orderBy(*[F.desc(o) for o in order]).rowsBetween(W.unboundedPreceding, 0 if inclusive else -1)
+    after = W.orderBy(F.desc("_bucket")).rowsBetween(W.unboundedPreceding, -1)
     first = F.min_by("_v", F.when(F.col("_v").isNotNull(), F.struct(*order)))
-    carried = _carried(df, {"_first": first}, lambda per: per.select("_bucket", F.first("_first", ignorenulls=True).over(after).alias("_in")))
-    return carried.withColumn(name, F.coalesce(F.first("_v", ignorenulls=True).over(frame), F.col("_in"))).drop("_bucket", "_v", "_in")
+    carried = _carried(df, {"_first": first}, lambda per: per.select("_bucket", F.last("_first", ignorenulls=True).over(after).alias("_in")))
+    return carried.withColumn(name, F.coalesce(F.last("_v", ignorenulls=True).over(frame), F.col("_in"))).drop("_bucket", "_v", "_in")
 
 
 def streak(df: DataFrame, bucket: Column, order: list[str], name: str, active: Column) -> DataFrame:
