@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.weather import hour_band
 from ..plans.scan import streak
@@ -99,10 +99,21 @@ def loop_spec(media: DataFrame, events: DataFrame, hours: list[int], seconds: fl
     return m.unionByName(e).orderBy("t_loop", "kind", "id")
 
 
-def nested_spec(spec: DataFrame) -> DataFrame:
-    """One row per kind with its items in order, as for a JSON file."""
+def nested_spec(spec: DataFrame, page: int = 1000) -> DataFrame:
+    """kind, page, n, items: each kind's items in order, ``page`` of them a row, as for a JSON file; pages count from 0.
+
+    Items are dealt by ranges of their order; a page is cut from consecutive items of one range, so no task has all items of a kind and only
+    a range's last page may be shorter.
+    """
+    order = ["kind", "t_loop", "id"]
+    ranged = spec.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
+    k = F.row_number().over(W.partitionBy("kind", "_part").orderBy(*order[1:])) - 1
+    paged = ranged.withColumn("_k", F.floor(k / page))
     items = F.array_sort(F.collect_list(F.struct("t_loop", "id", "seg_i", "text")))
-    return spec.groupBy("kind").agg(F.count("*").alias("n"), items.alias("items"))
+    rows = paged.groupBy("kind", "_part", "_k").agg(F.count("*").cast("long").alias("n"), items.alias("items"))
+    # a row for each page: all of a kind's are few
+    number = F.row_number().over(W.partitionBy("kind").orderBy("_part", "_k")) - 1
+    return rows.withColumn("page", number).select("kind", "page", "n", "items")
 
 
 def timeline(media: DataFrame) -> DataFrame:

@@ -198,9 +198,9 @@ _INTROS = ["descripción:", "para describir la imagen,", "observamos"]
 @query("H14_strip_meta_intro", """
 SELECT doc_id, CASE WHEN doc_id % 3 = 2 OR length(body) < 15 OR body = '' THEN opened ELSE body END AS text FROM (
  SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'Descripción: ' || b WHEN 1 THEN 'Para describir la imagen, observamos: ' || b ELSE b END AS opened, b AS body
- FROM (SELECT doc_id, 'x' || regexp_replace(substr(text, 1, 40), '[^A-Za-z ]', '', 'g') || 'x' AS b FROM {documents}))""")
+ FROM (SELECT doc_id, 'x' || regexp_replace(text, '[^A-Za-z ]', '', 'g') || 'x' AS b FROM {documents}))""")
 def strip_intro(v):
-    body = F.concat(F.lit("x"), F.regexp_replace(F.substring("text", 1, 40), "[^A-Za-z ]", ""), F.lit("x"))
+    body = F.concat(F.lit("x"), F.regexp_replace("text", "[^A-Za-z ]", ""), F.lit("x"))
     opened = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("Descripción: "), body)).when(F.col("doc_id") % 3 == 1, F.concat(F.lit("Para describir la imagen, observamos: "), body)).otherwise(body)
     return v.documents.select("doc_id", text.strip_meta_intro(opened, _INTROS).alias("text"))
 
@@ -226,9 +226,9 @@ WITH s AS (SELECT media_id, string_agg(trim(texto), ' ' ORDER BY inicio) AS t FR
 k AS (SELECT media_id, key, (SELECT string_agg(w, ' ' ORDER BY i) FROM (SELECT w, min(i) AS i FROM (SELECT trim(trim(x), '''"') AS w, i FROM (SELECT unnest(p) AS x, generate_subscripts(p, 1) AS i)) WHERE w <> '' GROUP BY w)) AS t
  FROM (SELECT media_id, key, CASE WHEN value LIKE '[%' THEN from_json(value, '["VARCHAR"]') ELSE string_split(value, ',') END AS p FROM {metadata} WHERE key LIKE 'ia_keywords%')),
 a AS (SELECT id AS media_id, concat_ws(' ', s.t, k1.t, k2.t) AS t FROM {media} LEFT JOIN s ON s.media_id = id LEFT JOIN k k1 ON k1.media_id = id AND k1.key = 'ia_keywords' LEFT JOIN k k2 ON k2.media_id = id AND k2.key = 'ia_keywords_sonido')
-SELECT media_id, md5(CASE WHEN length(t) <= 200 THEN trim(t) WHEN strpos(reverse(t[:200]), ' ') > 0 AND 200 - strpos(reverse(t[:200]), ' ') >= 100 THEN rtrim(t[:200 - strpos(reverse(t[:200]), ' ')]) ELSE rtrim(t[:200]) END) AS text_md5 FROM a WHERE t <> ''""")
+SELECT media_id, md5(CASE WHEN length(t) <= 6000 THEN trim(t) WHEN strpos(reverse(t[:6000]), ' ') > 0 AND 6000 - strpos(reverse(t[:6000]), ' ') >= 3000 THEN rtrim(t[:6000 - strpos(reverse(t[:6000]), ' ')]) ELSE rtrim(t[:6000]) END) AS text_md5 FROM a WHERE t <> ''""")
 def embedded(v):
-    return embedding_text(v.media, v.metadata, v.segments, most=200).select("media_id", F.md5("text").alias("text_md5"))
+    return embedding_text(v.media, v.metadata, v.segments).select("media_id", F.md5("text").alias("text_md5"))
 
 
 @query("H18_reliable_segments", "SELECT media_id, CAST(count(*) FILTER (WHERE trim(texto) <> '' AND fin - inicio >= 1.5) AS INT) AS n FROM {segments} GROUP BY media_id")

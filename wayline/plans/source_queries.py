@@ -26,18 +26,19 @@ def catalog(v):
     return rows[0].unionByName(rows[1]).unionByName(rows[2])
 
 
-@query("S2_file_inventory")
+@query("S2_file_inventory", "SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS length, sha256(coalesce(html, '')) AS fingerprint FROM {pages}")
 def inventory(v):
-    return R.file_inventory(v.spark, v.sf_dir).select(F.regexp_extract("path", "([^/]+)$", 1).alias("name"), "type", "length")
+    """Fingerprints of all pages; tests hold the listing of files against a folder."""
+    return R.fingerprints(v.pages, "page_id", "html")
 
 
-@query("S3_read_gpx", "SELECT strftime(time, '%Y-%m-%d %H:%M:%S') AS time, latitude, longitude, elevation FROM {track_points} WHERE track_id = 4")
+@query("S3_read_gpx", "SELECT strftime(time, '%Y-%m-%d %H:%M:%S') AS time, latitude, longitude, elevation FROM {track_points}")
 def gpx(v):
-    """Track points written as a GPX file a day and read again."""
-    point = F.concat(F.lit('<trkpt lat="'), F.col("latitude").cast("string"), F.lit('" lon="'), F.col("longitude").cast("string"), F.lit('"><ele>'), F.col("elevation").cast("string"), F.lit("</ele><time>"), F.date_format("time", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("Z</time></trkpt>"))
-    days = v.track_points.where("track_id = 4").groupBy(F.to_date("time").alias("day")).agg(F.array_join(F.collect_list(point), "").alias("p"))
+    """All track points written as GPX, a file for each day of a track (86,400 points where one is taken each second), and read again."""
+    point = F.concat(F.lit('<trkpt lat="'), F.col("latitude").cast("string"), F.lit('" lon="'), F.col("longitude").cast("string"), F.lit('">'), F.coalesce(F.concat(F.lit("<ele>"), F.col("elevation").cast("string"), F.lit("</ele>")), F.lit("")), F.lit("<time>"), F.date_format("time", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("Z</time></trkpt>"))
+    days = v.track_points.groupBy("track_id", F.to_date("time").alias("day")).agg(F.array_sort(F.collect_list(F.struct("time", point.alias("p")))).alias("s"))
     out = _folder(v, "gpx")
-    days.select(F.concat(F.lit("<gpx><trk><trkseg>"), "p", F.lit("</trkseg></trk></gpx>"))).write.option("maxRecordsPerFile", 1).text(out)
+    days.select(F.concat(F.lit("<gpx><trk><trkseg>"), F.array_join("s.p", ""), F.lit("</trkseg></trk></gpx>"))).write.option("maxRecordsPerFile", 1).text(out)
     points, _, _ = R.read_gpx(v.spark, out)
     return points.select(F.date_format("time", "yyyy-MM-dd HH:mm:ss").alias("time"), "latitude", "longitude", "elevation")
 
@@ -54,18 +55,19 @@ def chat(v):
     return messages.select("chat_id", "message_id", "is_system", "from_name", "text")
 
 
-@query("S5_read_text_collections", """SELECT 'T' || doc_id AS title, lang AS place, trim(replace(replace(substr(text, 1, 200), '#', ''), chr(10), ' ')) AS body FROM {documents}""")
+@query("S5_read_text_collections", """SELECT 'T' || doc_id AS title, lang AS place, trim(replace(replace(text, '#', ''), chr(10), ' ')) AS body FROM {documents}""")
 def texts(v):
-    body = F.trim(F.replace(F.replace(F.substring("text", 1, 200), F.lit("#"), F.lit("")), F.lit("\n"), F.lit(" ")))
+    body = F.trim(F.replace(F.replace("text", F.lit("#"), F.lit("")), F.lit("\n"), F.lit(" ")))
     section = F.concat(F.lit("## T"), F.col("doc_id").cast("string"), F.lit("\nlugar: "), F.col("lang"), F.lit("\ntags: a, b\n\n"), body, F.lit("\n"))
     out = _folder(v, "texts")
     v.documents.select(section).write.text(out)
     return R.read_text_collections(v.spark, out).select("title", "place", "body")
 
 
-@query("S6_export_csv", "SELECT media_id, key, length(value) AS n FROM {metadata} WHERE key <> 'ia_keywords_sonido' AND length(value) <= 2000")
+@query("S6_export_csv", """SELECT 'media' AS "table", count(*) AS n FROM {media} UNION ALL SELECT 'metadata', count(*) FROM {metadata} WHERE key <> 'ia_keywords_sonido' AND length(coalesce(value, '')) <= 2000""")
 def exported(v):
-    return S.exportable("metadata", v.metadata, ["ia_keywords_sonido"], 2000).select("media_id", "key", F.length("value").alias("n"))
+    """Both tables written as CSV; how many rows stand in the files."""
+    return S.export_csv({"media": v.media, "metadata": v.metadata}, _folder(v, "csv"), ["ia_keywords_sonido"], 2000)
 
 
 @query("S7_write_snapshot", "SELECT id, type FROM {media}")
@@ -80,25 +82,25 @@ def spec(v):
     out = _folder(v, "spec")
     rows = v.media.where("timestamp_utc IS NOT NULL").select(F.col("type").alias("kind"), "id", F.lit(0).alias("seg_i"), F.lit(0.0).alias("t_loop"), F.lit("").alias("text"))
     S.write_loop_spec(nested_spec(rows), out)
-    return v.spark.read.json(out).select("kind", F.size("items").cast("long").alias("n"))
+    return v.spark.read.json(out).groupBy("kind").agg(F.sum(F.size("items")).alias("n"))
 
 
-_NEW = "(SELECT id + 9000 AS id, 'new' AS v FROM {media} WHERE id < 2000)"
+_NEW = "(SELECT id * 2 AS id, 'new' AS v FROM {media} WHERE id % 5 = 0)"
 
 
 @query("S9_merge_by_mode", f"""
 WITH t AS (SELECT id, type AS v FROM {{media}}), n AS {_NEW} SELECT 'skip' AS mode, v, count(*) AS n FROM (SELECT * FROM t UNION ALL SELECT * FROM n WHERE id NOT IN (SELECT id FROM t)) GROUP BY v
 UNION ALL SELECT 'update', v, count(*) FROM (SELECT * FROM t WHERE id NOT IN (SELECT id FROM n) UNION ALL SELECT * FROM n) GROUP BY v UNION ALL SELECT 'replace', v, count(*) FROM (SELECT * FROM t WHERE v <> 'image' AND id NOT IN (SELECT id FROM n) UNION ALL SELECT * FROM n) GROUP BY v""")
 def merged(v):
-    t, n = v.media.select("id", F.col("type").alias("v")), v.media.where("id < 2000").select((F.col("id") + 9000).alias("id"), F.lit("new").alias("v"))
+    t, n = v.media.select("id", F.col("type").alias("v")), v.media.where("id % 5 = 0").select((F.col("id") * 2).alias("id"), F.lit("new").alias("v"))  # of these ids half or so are known
     count = lambda mode: S.merge_by_mode(t, n, ["id"], mode, F.col("v") == "image").groupBy("v").agg(F.count("*").alias("n")).select(F.lit(mode).alias("mode"), "v", "n")
     return count("skip").unionByName(count("update")).unionByName(count("replace"))
 
 
-@query("S10_dedup_ingest", "SELECT min(id) AS id, content_hash AS file_hash FROM {media} WHERE content_hash NOT IN (SELECT content_hash FROM {media} WHERE id < 3000) GROUP BY content_hash")
+@query("S10_dedup_ingest", "SELECT min(id) AS id, content_hash AS file_hash FROM {media} WHERE content_hash NOT IN (SELECT content_hash FROM {media} WHERE type = 'image') GROUP BY content_hash")
 def fresh(v):
     m = v.media.select("id", F.col("content_hash").alias("file_hash"))
-    return S.dedup_ingest(m, m.where("id < 3000"))
+    return S.dedup_ingest(m, v.media.where("type = 'image'").select("id", F.col("content_hash").alias("file_hash")))
 
 
 @query("S11_undo_batch", "SELECT 'media' AS what, count(*) AS n FROM {media} WHERE ingest_batch_id = 3 UNION ALL SELECT 'metadata', count(*) FROM {metadata} WHERE media_id IN (SELECT id FROM {media} WHERE ingest_batch_id = 3) UNION ALL SELECT 'left', count(*) FROM {media} WHERE ingest_batch_id IS DISTINCT FROM 3")
@@ -107,13 +109,28 @@ def undone(v):
     return preview.unionByName(left["media"].agg(F.count("*").alias("n")).select(F.lit("left").alias("what"), "n"))
 
 
+@query("S11b_undo_track", "SELECT id, CASE WHEN gone THEN NULL ELSE latitude END AS latitude, CASE WHEN gone THEN NULL ELSE geolocation_source END AS geolocation_source FROM (SELECT m.*, coalesce(geolocation_source = 'inferido_tiempo' AND timestamp_utc BETWEEN a AND b, false) AS gone FROM {media} m, (SELECT min(time) AS a, max(time) AS b FROM {track_points} WHERE track_id = 4))")
+def track_undone(v):
+    m = v.media.crossJoin(F.broadcast(v.track_points.where("track_id = 4").agg(F.min("time").alias("a"), F.max("time").alias("b"))))  # one row
+    return S.undo_track(m, F.col("a"), F.col("b")).select("id", "latitude", "geolocation_source")
+
+
+@query("S12b_group_by_root", "SELECT carpeta || '/' || (id % 100) AS root, count(*) AS n FROM {media} WHERE carpeta IS NOT NULL GROUP BY 1")
+def roots(v):
+    return S.group_by_root(v.media.where("carpeta IS NOT NULL").select(F.concat("carpeta", F.lit("/"), (F.col("id") % 100).cast("string"), F.lit("/"), F.col("id").cast("string")).alias("path")))
+
+
 @query("S12_reroot_paths", "SELECT id, CASE WHEN starts_with(carpeta || '/' || id, 'folder_1/') THEN '/mnt/new/' || id ELSE carpeta || '/' || id END AS path FROM {media}")
 def rerooted(v):
     path = F.concat("carpeta", F.lit("/"), F.col("id").cast("string"))
     return v.media.select("id", S.reroot_paths(path, "folder_1", "/mnt/new/").alias("path"))
 
 
-@query("R1_selection_bursts")
+@query("R1_selection_bursts", """
+WITH e AS (SELECT user_id, CAST(ts AS TIMESTAMP) AS ts, event_type AS v FROM {events} WHERE ts IS NOT NULL), b AS (SELECT *, CASE WHEN ts - lag(ts) OVER w < INTERVAL 2 HOUR THEN 0 ELSE 1 END AS new FROM e WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM b), f AS (SELECT user_id, k, v, min((ts, v)) AS o FROM s WHERE v IS NOT NULL GROUP BY user_id, k, v),
+l AS (SELECT user_id, k, string_agg(v, ',' ORDER BY o) AS "values" FROM f GROUP BY user_id, k), g AS (SELECT user_id, k, min(ts) AS start, count(*) AS n FROM s GROUP BY user_id, k)
+SELECT g.user_id, start, n, coalesce("values", '') AS "values" FROM g LEFT JOIN l ON l.user_id IS NOT DISTINCT FROM g.user_id AND l.k = g.k""")
 def bursts(v):
     """The streaming query's batch form over the whole table; tests hold the streaming run against it."""
     e = v.events.select(F.col("ts").cast("timestamp").alias("ts"), "user_id", F.col("event_type").alias("value"))
@@ -124,5 +141,7 @@ def bursts(v):
 def ingested(v):
     """Two deliveries of which the second repeats hashes of the first."""
     m = v.media.select("id", F.col("content_hash").alias("file_hash"))
-    first = S.dedup_ingest(m.where("id < 6000"), m.limit(0))
-    return first.unionByName(S.dedup_ingest(m.where("id >= 6000"), first))
+    half = F.broadcast(v.media.agg((F.max("id") / 2).alias("half")))  # one row
+    m = m.crossJoin(half)
+    first = S.dedup_ingest(m.where("id < half").drop("half"), m.limit(0).drop("half"))
+    return first.unionByName(S.dedup_ingest(m.where("id >= half").drop("half"), first))

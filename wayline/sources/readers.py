@@ -32,6 +32,12 @@ def file_inventory(spark: SparkSession, root: str, full_hash: bool = False, exte
     return rows.select("path", F.try_element_at(kinds, ext).alias("type"), "length", (F.sha2("content", 256) if full_hash else quick).alias("fingerprint")).where("type IS NOT NULL")
 
 
+def fingerprints(files: DataFrame, key: str, content: str) -> DataFrame:
+    """key, length, fingerprint of files whose content is a column: its bytes and their SHA-256, as ``file_inventory`` has them in full. Null content is empty."""
+    raw = F.encode(F.coalesce(content, F.lit("")), "UTF-8")
+    return files.select(key, F.octet_length(raw).cast("long").alias("length"), F.sha2(raw, 256).alias("fingerprint"))
+
+
 def read_gpx(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Track points (file, time, latitude, longitude, elevation), waypoints (name added) and a header per file (first and last time, number of points)."""
     point = "_lat double, _lon double, ele double, time string, name string"

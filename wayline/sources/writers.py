@@ -13,9 +13,16 @@ def exportable(name: str, df: DataFrame, big_keys: list[str] = (), most: int = 6
     return out
 
 
-def export_csv(tables: dict[str, DataFrame], out: str, big_keys: list[str] = ()) -> None:
+def export_csv(tables: dict[str, DataFrame], out: str, big_keys: list[str] = (), most: int = 65_536) -> DataFrame:
+    """Write each table under ``out`` and return how many rows of each are in the files: table, n. Values may hold line ends."""
+    counts = None
     for name, df in tables.items():
-        exportable(name, df, big_keys).write.mode("overwrite").option("header", True).option("escape", '"').csv(f"{out}/{name}")
+        rows = exportable(name, df, big_keys, most)
+        rows.write.mode("overwrite").option("header", True).option("escape", '"').csv(f"{out}/{name}")
+        back = df.sparkSession.read.schema(rows.schema).option("header", True).option("escape", '"').option("multiLine", True).csv(f"{out}/{name}")
+        n = back.agg(F.count("*").alias("n")).select(F.lit(name).alias("table"), "n")
+        counts = n if counts is None else counts.unionByName(n)
+    return counts
 
 
 def write_snapshot(df: DataFrame, out: str, by: str = "type") -> None:
