@@ -131,3 +131,75 @@ def test_videos_are_placed_on_their_best_track(spark, monkeypatch):
     want = sequences.sample_media(v.media.where("type = 'video'"), v.track_points, spacetime.track_ranges(v.track_points), 30).where("source = 'track_interpolado'").collect()
     got = {(r["media_id"], r["offset_s"]): (r["lat"], r["lon"]) for r in registry.queries()["W8_video_positions"](spark, SMALL).collect()}
     assert want and all(got[r["media_id"], r["offset_s"]] == pytest.approx((r["lat"], r["lon"])) for r in want)
+
+
+def positions_one_by_one(samples, end, gap_s, least_m, moving_kmh):
+    """The rule for one video, said row by row: samples are (offset, lat, lon, seg_s) at offset seconds."""
+    out, taken, candidates = [], None, []
+    on = [s for s in samples if s[1] is not None]
+    if not on:
+        return []
+    slow = [True] + [metres(*a[1:3], *b[1:3]) / (b[0] - a[0]) * 3.6 < moving_kmh for a, b in zip(on, on[1:])]
+    in_gap = paused = False
+    for s, is_slow in zip(on, slow):
+        if s[3] is not None and s[3] > gap_s:
+            if not in_gap:
+                out.append((s[0], "gap"))
+            in_gap = True
+            continue
+        in_gap = False
+        if taken is None:
+            take, paused = True, False
+        elif is_slow:
+            take, paused = not paused, True
+        else:
+            take, paused = metres(*taken[1:3], *s[1:3]) >= least_m, False
+        if take:
+            candidates.append(s)
+            taken = s
+    if end[1] is not None and end[3] is not None and end[3] > gap_s:
+        out.append((end[0], "gap"))
+    elif end[1] is not None and taken is not None and taken[0] < end[0]:
+        candidates.append(end)
+    kept = None
+    for s in candidates:
+        if kept is None or metres(*kept[1:3], *s[1:3]) >= least_m:
+            out.append((s[0], "position"))
+            kept = s
+    return sorted(out)
+
+
+def test_video_positions_against_the_rule(spark):
+    rng, rows, want = random.Random(11), [], {}
+    for video in range(60):
+        lat, samples = -34.0, []
+        for k in range(rng.randint(1, 25)):
+            lat += rng.choice([0.0, 0.0, 1e-5, 3e-4, -3e-4])
+            samples.append((k * 10.0, *((None, None, None) if rng.random() < 0.1 else (lat, -58.0, rng.choice([5.0, 5.0, 5.0, 900.0, None])))))
+        last = samples[-1]
+        end = (last[0] + rng.choice([0.0, 4.0]), *((None, None, None) if rng.random() < 0.1 else (lat, -58.0, rng.choice([5.0, 900.0]))))
+        want[video] = positions_one_by_one(samples, end, 60, 20, 3)
+        rows += [(video, o, 1000.0 + o, a, b, s, e) for e, part in ((False, samples), (True, [end])) for o, a, b, s in part]
+    schema = "media_id long, offset_s double, t_s double, lat double, lon double, seg_s double, is_end boolean"
+    got = {}
+    for r in sequences.video_positions(spark.createDataFrame(rows, schema), 60, 20, 3).collect():
+        got.setdefault(r["media_id"], []).append((r["offset_s"], r["kind"]))
+    assert {k: sorted(x) for k, x in got.items()} == {k: x for k, x in want.items() if x}
+    assert sequences.video_positions(spark.createDataFrame([], schema), 60, 20, 3).collect() == []
+
+
+def test_times_by_rank_in_parts_of_a_folder(spark):
+    rng = random.Random(12)
+    rows = [(i, rng.choice(["a", "b", None]), f"2024-01-01 00:{rng.randrange(60):02d}:00" if rng.random() < 0.3 else None) for i in range(300)]
+    media = spark.createDataFrame(rows, "id long, carpeta string, t string").select("id", "carpeta", F.to_timestamp("t").alias("timestamp_utc"))
+    timed = {r["id"]: r["s"] for r in media.where("timestamp_utc IS NOT NULL").select("id", F.unix_timestamp("timestamp_utc").alias("s")).collect()}
+    want = {}
+    for folder in "ab":
+        ids = [i for i, f, _ in rows if f == folder]
+        at = [n for n, i in enumerate(ids) if i in timed]
+        for p, q in zip(at, at[1:]):
+            for n in range(p + 1, q):
+                want[ids[n]] = timed[ids[p]] + (timed[ids[q]] - timed[ids[p]]) * (n - p) / (q - p)
+    for bucket in (None, F.floor(F.col("id") / 7), F.lit(0)):
+        got = {r["id"]: r["t_s"] for r in sequences.infer_timestamps_by_rank(media, bucket=bucket).collect()}
+        assert got == pytest.approx(want) and len(want) > 50

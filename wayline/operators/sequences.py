@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
@@ -16,6 +15,8 @@ from .spacetime import choose_track, interpolate_on_track
 
 #: An island with more rows is grouped by pointer doubling, not in one task.
 ISLAND_ROWS = 100_000
+#: A folder's rows are ranked in parts of so many ids.
+RANK_SPAN = 50_000
 
 
 def sample_times(media: DataFrame, every_s: int) -> DataFrame:
@@ -97,33 +98,43 @@ def weather_transitions(samples: DataFrame, weather: DataFrame, least_degrees: f
 
 
 def video_positions(samples: DataFrame, gap_s: float, least_m: float, moving_kmh: float = 3) -> DataFrame:
-    """media_id, offset_s, kind, lat, lon: positions along a video, without its track's gaps. ``samples``: media_id, offset_s, t_s, lat, lon, seg_s (length of the track segment).
+    """media_id, offset_s, kind, lat, lon: positions along a video, without its track's gaps. ``samples``: media_id, offset_s, t_s, lat, lon, seg_s (length of the track segment), is_end (true for
+    one more row at the video's exact end, which has no part in speeds).
 
-    A sample in a segment over ``gap_s`` long is in a gap: one 'gap' row stands for each run. Else the first is kept, one that is ``least_m`` or more from the last
-    kept while moving, the first of a slow run, and the last. What was kept last is state, so each video's rows (one every few
-    seconds of its length) are folded in order by one call.
+    Samples off the track (no position) are left out. One in a segment over ``gap_s`` long is in a gap: a 'gap' row stands for each run, and for an end in one. Of the others
+    the first is taken, the first of each slow run, one that is ``least_m`` or more from the last taken while moving, and the end; a gap forgets
+    neither the last taken nor a pause. Taken rows nearer than ``least_m`` to the last kept go. Speeds, runs and gaps are windows; only
+    what was taken and kept last is state, so each video's rows (one every few seconds of its length) are folded in order by one call.
     """
+    on = samples.where("lat IS NOT NULL AND lon IS NOT NULL")
+    along, prev = on.where(~F.col("is_end")), lambda c: F.lag(c).over(_per())
+    kmh = haversine_m(prev("lat"), prev("lon"), F.col("lat"), F.col("lon")) / F.nullif(F.col("t_s") - prev("t_s"), F.lit(0.0)) * 3.6
+    gap = lambda: F.coalesce(F.col("seg_s") > gap_s, F.lit(False))
+    along = along.withColumns({"_slow": F.coalesce(kmh, F.lit(0.0)) < moving_kmh, "_gap": gap()})
+    gaps = along.withColumn("_p", prev("_gap")).where("_gap AND NOT coalesce(_p, false)").select("media_id", "offset_s")
+    n = F.row_number().over(_per())
+    way = F.when(n == 1, "first").when(F.col("_slow"), F.when((n == 2) | ~prev("_slow"), "pause")).otherwise("moving")
+    steps = along.where(~F.col("_gap")).withColumn("way", way).where("way IS NOT NULL").select("media_id", "offset_s", "way", "lat", "lon")
+    ends = on.where("is_end").join(along.select("media_id").distinct(), "media_id", "left_semi").withColumn("_gap", gap())
+    steps = steps.unionByName(ends.where(~F.col("_gap")).select("media_id", "offset_s", F.lit("the end").alias("way"), "lat", "lon"))
 
     def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("offset_s")
-        out, last, before, in_gap, slow = [], None, None, False, False
-        for k, r in enumerate(rows.itertuples()):
-            if pd.isna(r.lat) or (not pd.isna(r.seg_s) and r.seg_s > gap_s):
-                if not in_gap:
-                    out.append((r.media_id, r.offset_s, "gap", None, None))
-                in_gap, before, slow = True, None, False
+        out, taken, kept = [], None, None
+        for r in rows.sort_values(["offset_s", "way"]).itertuples():  # an end at a sample's own time comes after it
+            if r.way == "moving" and (taken is None or _metres(taken, r) < least_m):
+                continue
+            if r.way == "the end" and (taken is None or taken.offset_s >= r.offset_s):
                 continue
-            step = _metres(before, r) if before is not None else None
-            seconds = r.t_s - before.t_s if before is not None else None
-            is_slow = step is not None and seconds > 0 and step / seconds * 3.6 < moving_kmh
-            far = last is None or _metres(last, r) >= least_m
-            if last is None or in_gap or (is_slow and not slow and far) or (not is_slow and far) or (k == len(rows) - 1 and far):
+            taken = r
+            if kept is None or _metres(kept, r) >= least_m:
                 out.append((r.media_id, r.offset_s, "position", r.lat, r.lon))
-                last = r
-            in_gap, slow, before = False, is_slow, r
+                kept = r
         return pd.DataFrame(out, columns=["media_id", "offset_s", "kind", "lat", "lon"])
 
-    return samples.groupBy("media_id").applyInPandas(fold, "media_id long, offset_s double, kind string, lat double, lon double")
+    schema = "media_id long, offset_s double, kind string, lat double, lon double"
+    none = F.lit(None).cast("double")
+    gaps = gaps.unionByName(ends.where("_gap").select("media_id", "offset_s")).select("media_id", "offset_s", F.lit("gap").alias("kind"), none.alias("lat"), none.alias("lon"))
+    return steps.groupBy("media_id").applyInPandas(fold, schema).unionByName(gaps)
 
 
 def _metres(a, b) -> float:
@@ -133,15 +144,25 @@ def _metres(a, b) -> float:
     return 2 * 6_371_000 * asin(sqrt(min(1.0, x)))
 
 
-def infer_timestamps_by_rank(media: DataFrame, order: str = "id") -> DataFrame:
+def infer_timestamps_by_rank(media: DataFrame, order: str = "id", bucket: Column | None = None) -> DataFrame:
     """id, timestamp_utc of media without a time that stand, in their folder's order, between two that have one: equally spaced between these.
 
-    The anchors come from the whole folder, so that gaps between them exist at all. A folder is one window's partition: a folder of files.
+    The anchors come from the whole folder, so that gaps between them exist at all. A folder is cut by ``bucket``, which must rise with ``order`` (a number, where none is given: ranges of
+    ``RANK_SPAN``): ranks and anchors are found within each part, and one row a part carries them over the folder. Rows without a folder have no result.
     """
-    w = W.partitionBy("carpeta").orderBy(order)
-    a = F.when(F.col("timestamp_utc").isNotNull(), F.struct(F.col("_n").alias("n"), epoch_seconds(F.col("timestamp_utc")).alias("s")))
-    rows = media.where("carpeta IS NOT NULL").withColumn("_n", F.row_number().over(w)).withColumn("_a", a)
-    rows = rows.withColumns({"_p": F.last("_a", ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, -1)), "_q": F.last("_a", ignorenulls=True).over(W.partitionBy("carpeta").orderBy(F.desc("_n")).rowsBetween(W.unboundedPreceding, -1))})
+    bucket = F.floor(F.col(order) / RANK_SPAN) if bucket is None else bucket
+    rows = media.where("carpeta IS NOT NULL").withColumns({"_b": F.struct(bucket.alias("b")), "_s": epoch_seconds(F.col("timestamp_utc"))})
+    w = W.partitionBy("carpeta", "_b").orderBy(order)
+    rows = rows.withColumn("_n", F.row_number().over(w)).withColumn("_a", F.when(F.col("_s").isNotNull(), F.struct(F.col("_n").alias("n"), F.col("_s").alias("s"))))
+    parts = rows.groupBy("carpeta", "_b").agg(F.count("*").alias("_c"), F.min("_a").alias("_first"), F.max("_a").alias("_last"))
+    before = W.partitionBy("carpeta").orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
+    after = W.partitionBy("carpeta").orderBy(F.desc("_b")).rowsBetween(W.unboundedPreceding, -1)
+    moved = lambda a: F.when(F.col(a).isNotNull(), F.struct((F.col(a)["n"] + F.col("_base")).alias("n"), F.col(a)["s"].alias("s")))
+    parts = parts.withColumn("_base", F.coalesce(F.sum("_c").over(before), F.lit(0))).withColumns({"_first": moved("_first"), "_last": moved("_last")})
+    parts = parts.select("carpeta", "_b", "_base", F.last("_last", ignorenulls=True).over(before).alias("_in"), F.last("_first", ignorenulls=True).over(after).alias("_out"))
+    rows = rows.join(parts, ["carpeta", "_b"]).withColumn("_a", moved("_a")).withColumn("_n", F.col("_n") + F.col("_base"))
+    near = lambda o: F.last("_a", ignorenulls=True).over(W.partitionBy("carpeta", "_b").orderBy(o).rowsBetween(W.unboundedPreceding, -1))
+    rows = rows.withColumns({"_p": F.coalesce(near("_n"), "_in"), "_q": F.coalesce(near(F.desc("_n")), "_out")})
     s = F.col("_p.s") + (F.col("_q.s") - F.col("_p.s")) * (F.col("_n") - F.col("_p.n")) / (F.col("_q.n") - F.col("_p.n"))
     return rows.where("timestamp_utc IS NULL AND _p IS NOT NULL AND _q IS NOT NULL").select("id", s.alias("t_s"))
 
@@ -219,23 +240,21 @@ def _doubled(rows: DataFrame, width: float) -> DataFrame:
 
 
 def greedy_similarity_groups(rows: DataFrame, near, schema: str = "id long, lead long") -> DataFrame:
-    """id, lead over ``rows`` (group, ord, id, item): within each group the first free row leads and takes all later free rows that are ``near`` it (a function of two items).
+    """id, lead over ``rows`` (group, ord, id, item): within each group the first free row leads and takes all later free rows that are ``near`` it (a function of an item and an array of items).
 
     Groups come from ``anchored_time_groups``, so a group spans some minutes. A row without an item leads itself.
     """
 
     def absorb(r: pd.DataFrame) -> pd.DataFrame:
         r = r.sort_values(["ord", "id"])
-        ids, items = r.id.tolist(), r["item"].tolist()
-        lead: dict = {}
-        for i, a in enumerate(ids):
-            if a in lead:
-                continue
-            lead[a] = a
-            for b, y in zip(ids[i + 1 :], items[i + 1 :], strict=True):
-                if b not in lead and near(items[i], y):
-                    lead[b] = a
-        return pd.DataFrame(lead.items(), columns=["id", "lead"])
+        ids, items = r.id.to_numpy(), r["item"].to_numpy()
+        lead, free = ids.copy(), np.arange(len(ids))
+        while len(free):
+            first, rest = free[0], free[1:]
+            taken = near(items[first], items[rest])
+            lead[rest[taken]] = ids[first]
+            free = rest[~taken]
+        return pd.DataFrame({"id": ids, "lead": lead})
 
     bare = rows.where("item IS NULL").select("id", F.col("id").alias("lead"))
     return rows.where("item IS NOT NULL").groupBy("group").applyInPandas(absorb, schema).unionByName(bare)
@@ -248,7 +267,8 @@ def best_of_group(rows: DataFrame, group: str, score: str, n: int = 1, key: str
 
 
 def hamming_at_most(bits: int):
-    return lambda a, b: (int(a) ^ int(b)).bit_count() <= bits if (int(a) >= 0) == (int(b) >= 0) else ((int(a) ^ int(b)) & (2**64 - 1)).bit_count() <= bits
+    """Whether 64-bit hashes of an array differ from ``a`` in at most ``bits`` bits."""
+    return lambda a, b: np.bitwise_count((b ^ a).astype("int64").view("uint64")) <= bits
 
 
 def clean_bursts(rows: DataFrame, minutes: float, bits: int) -> DataFrame:

@@ -21,8 +21,8 @@ def haversine(v):
     return m.select("id", F.round(geo.haversine_m(F.lit(-34.6), F.lit(-58.4), F.col("latitude"), F.col("longitude")), 3).alias("metres"))
 
 
-_SUN = """
-WITH a AS (SELECT id, latitude AS lat, longitude AS lon, epoch_us(timestamp_utc) / 1e6 AS s FROM {media} WHERE latitude IS NOT NULL AND timestamp_utc IS NOT NULL),
+#: Steps from rows ``a`` (lat, lon, s) to ``k``, which adds elevation, azimuth and distance.
+SUN_STEPS = """
 b AS (SELECT *, s / 86400.0 + 2440587.5 AS jd FROM a), c AS (SELECT *, (jd - 2451545.0) / 36525.0 AS t FROM b),
 d AS (SELECT *, (280.46646 + t * (36000.76983 + 0.0003032 * t)) AS l0, (357.52911 + t * (35999.05029 - 0.0001537 * t)) AS m FROM c),
 e AS (SELECT * EXCLUDE (l0, m), l0 - 360 * floor(l0 / 360) AS l0, m - 360 * floor(m / 360) AS m FROM d),
@@ -31,9 +31,14 @@ g AS (SELECT *, l0 + c AS sl, m + c AS an FROM f),
 h AS (SELECT *, degrees(atan2(cos(radians(tilt)) * sin(radians(sl)), cos(radians(sl)))) AS ra, asin(sin(radians(tilt)) * sin(radians(sl))) AS dec,
              280.46061837 + 360.98564736629 * (jd - 2451545.0) AS st, 1 / (1.000001018 * (1 - 0.016708634 * cos(radians(an)))) AS au FROM g),
 i AS (SELECT *, (st - 360 * floor(st / 360)) + lon - ra AS x FROM h), j AS (SELECT *, radians(x - 360 * floor(x / 360)) AS ha FROM i),
-k AS (SELECT id, au, degrees(asin(sin(radians(lat)) * sin(dec) + cos(radians(lat)) * cos(dec) * cos(ha))) AS el,
+k AS (SELECT *, degrees(asin(sin(radians(lat)) * sin(dec) + cos(radians(lat)) * cos(dec) * cos(ha))) AS el,
              degrees(atan2(-cos(dec) * sin(ha), sin(dec) * cos(radians(lat)) - cos(dec) * sin(radians(lat)) * cos(ha))) + 360 AS az FROM j)
 """
+_SUN = """
+WITH a AS (SELECT id, latitude AS lat, longitude AS lon, epoch_us(timestamp_utc) / 1e6 AS s FROM {media} WHERE latitude IS NOT NULL AND timestamp_utc IS NOT NULL),
+""" + SUN_STEPS
+TWILIGHT = """CASE WHEN el >= 12 THEN 'dia' WHEN el >= 6 THEN 'golden_hour' WHEN el >= 0 THEN 'blue_hour' WHEN el >= -6 THEN 'crepuculo_civil'
+WHEN el >= -12 THEN 'crepuculo_nautico' WHEN el >= -18 THEN 'crepuculo_astronomico' WHEN el IS NOT NULL THEN 'noche' END"""
 
 
 def _located(v):
@@ -47,8 +52,7 @@ def sun_position(v):
     return p.select("id", F.round("p.elevation", 4).alias("elevation"), F.round("p.azimuth", 3).alias("azimuth"), F.round("p.distance_au", 6).alias("distance_au"))
 
 
-@query("H3_twilight_class", _SUN + """SELECT id, CASE WHEN el >= 12 THEN 'dia' WHEN el >= 6 THEN 'golden_hour' WHEN el >= 0 THEN 'blue_hour' WHEN el >= -6 THEN 'crepuculo_civil'
-WHEN el >= -12 THEN 'crepuculo_nautico' WHEN el >= -18 THEN 'crepuculo_astronomico' ELSE 'noche' END AS period FROM k""")
+@query("H3_twilight_class", _SUN + f"SELECT id, {TWILIGHT} AS period FROM k")
 def twilight(v):
     return _located(v).select("id", sun.twilight_class(sun.sun_position(F.col("latitude"), F.col("longitude"), F.col("s"))["elevation"]).alias("period"))
 

@@ -9,6 +9,7 @@ from ..operators import sequences as Q, spacetime as S
 from ..operators.route import route_gradients
 from .aggregate_queries import ROUTE
 from .book import Book
+from .function_queries import SUN_STEPS, TWILIGHT
 
 book = Book()
 query = book.query
@@ -43,7 +44,8 @@ def elevation(v):
     return Q.elevation_transitions(samples(v), 2).select("media_id", "offset_s", F.split("value", " ")[0].alias("direction"))
 
 
-@query("W4_daylight_transitions")
+@query("W4_daylight_transitions", f"""WITH {_SAMPLES}, z AS (WITH a AS (SELECT media_id, offset_s, lat, lon, t_s AS s FROM samples), {SUN_STEPS} SELECT media_id, offset_s, {TWILIGHT} AS value FROM k),
+x AS (SELECT *, lag(value) OVER (PARTITION BY media_id ORDER BY offset_s) AS q FROM z) SELECT media_id, CAST(offset_s AS INT) AS offset_s, value FROM x WHERE value IS NOT NULL AND value IS DISTINCT FROM q""")
 def daylight(v):
     return Q.daylight_transitions(samples(v))
 
@@ -84,13 +86,19 @@ def weather_changes(v):
     return Q.weather_transitions(s, w)
 
 
+def video_samples(v):
+    """Samples every 30 s of all videos, and one more at their ends, on their best tracks."""
+    times = Q.sample_times(v.media.where("type = 'video'"), 30).withColumns({"offset_s": F.col("offset_s").cast("double"), "is_end": F.lit(False)})
+    ends = times.where("offset_s = 0").withColumns({"offset_s": F.col("end_s") - F.col("start_s"), "t_s": F.col("end_s"), "is_end": F.lit(True)})
+    chosen = S.choose_track(times.select("media_id", "start_s", "end_s").distinct(), S.track_ranges(v.track_points)).select("media_id", "track_id")
+    both = times.unionByName(ends)
+    placed = S.interpolate_on_track(both.join(chosen, "media_id"), v.track_points, keys=["track_id"]).select("media_id", "offset_s", "is_end", "lat", "lon", "seg_s")
+    return both.join(placed, ["media_id", "offset_s", "is_end"], "left").select("media_id", "offset_s", "t_s", "lat", "lon", "seg_s", "is_end")
+
+
 @query("W8_video_positions")
 def positions(v):
-    times = Q.sample_times(v.media.where("type = 'video'"), 30)
-    chosen = S.choose_track(times.select("media_id", "start_s", "end_s").distinct(), S.track_ranges(v.track_points)).select("media_id", "track_id")
-    placed = S.interpolate_on_track(times.join(chosen, "media_id"), v.track_points, keys=["track_id"]).select("media_id", "offset_s", "lat", "lon", "seg_s")
-    rows = times.join(placed, ["media_id", "offset_s"], "left").withColumn("offset_s", F.col("offset_s").cast("double"))
-    return Q.video_positions(rows.select("media_id", "offset_s", "t_s", "lat", "lon", "seg_s"), 40_000, 5, 0.05)
+    return Q.video_positions(video_samples(v), 40_000, 5, 0.05)
 
 
 @query("W9_infer_timestamps_by_rank", f"""
