@@ -218,6 +218,17 @@ def test_line_dedup(spark):
     assert bad and Counter((r["doc_id"], r["text"]) for r in got.collect()) == Counter((r[0], keep(r[1])) for r in rows)
 
 
+def test_line_dedup_joins_and_word_counts(spark, monkeypatch):
+    lines = ["a", "a b", "a b c", " \tx\x0b y\x0cz\t ", "é\u00a0è ö ü", "", "   ", "one two three four " * 300, "w" * 200_000]
+    df = spark.createDataFrame([(k, "\n".join([*lines, f"own line of {k}"]), f"s{k % 5}") for k in range(10)], "doc_id long, text string, source string")
+    for least in (0, 1, 2, 3, 4):
+        want = [line for line in lines if len([w for w in re.split("[\x20\x09-\x0d]+", line) if w]) < least]
+        for limit in (500_000, 0):  # keys broadcast, and joined by a shuffle
+            monkeypatch.setattr(line_dedup, "BROADCAST_KEYS", limit)
+            got = {r["doc_id"]: r["text"] for r in line_dedup.without_shared_lines(df, min_sites=5, min_words=least).collect()}
+            assert got == {k: "\n".join([*want, f"own line of {k}"]) for k in range(10)}
+
+
 def test_spread_near_the_threshold_is_exact(spark):
     df = spark.createDataFrame([(k, f"line number {n}", f"s{s}") for n in range(30) for k, s in enumerate(range(n * 10))], "doc_id long, text string, source string")
     got = line_dedup.without_shared_lines(df, min_sites=100).where("n_removed > 0").select("text", "source").count()

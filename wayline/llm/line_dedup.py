@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .exprs import space_words
-from .shared import table
+from .shared import discard, stored, table
+
+#: At most so many keys of lines (16 bytes each) are broadcast, after they have been counted.
+BROADCAST_KEYS = 500_000
 
 
 def _lines(text: Column) -> Column:
@@ -16,36 +18,54 @@ def _stripped(line: Column) -> Column:
     return F.btrim(line, F.lit(" \t\x0b\f\r"))
 
 
-def exploded_lines(docs: DataFrame) -> DataFrame:
-    """One row per line: doc_id, digest, site, place, key (16 bytes of the stripped line), words."""
+def _has_words(stripped: Column, least: int) -> Column:
+    """Whether a stripped line has ``least`` words or more; reads no further than these."""
+    return F.rlike(stripped, F.lit(r"^(?:[^\x20\x09-\x0D]++[\x20\x09-\x0D]++){%d}[^\x20\x09-\x0D]" % (least - 1))) if least > 0 else F.lit(True)
+
+
+def exploded_lines(docs: DataFrame, min_words: int) -> DataFrame:
+    """One row per line of ``min_words`` words or more: doc_id, digest, site, place, key (16 bytes of the stripped line)."""
     lines = docs.select("doc_id", "digest", "site", F.posexplode(_lines(F.col("text"))).alias("place", "line"))
     stripped = _stripped(F.col("line"))
-    return lines.select("doc_id", "digest", "site", "place", F.unhex(F.md5(stripped)).alias("key"), F.size(space_words(stripped)).alias("words"))
+    return lines.where(_has_words(stripped, min_words)).select("doc_id", "digest", "site", "place", F.unhex(F.md5(stripped)).alias("key"))
+
+
+def _of_keys(lines: DataFrame, keys: DataFrame) -> DataFrame:
+    """Lines with one of ``keys``, a written table. Keys that have been counted and are few are broadcast, so no line moves, however
+    frequent; more are joined by a shuffle, in which Spark's adaptive plans cut up large parts of one key."""
+    return lines.join(F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys, "key", "left_semi")
 
 
 def spread_lines(lines: DataFrame, min_sites: int, lg_k: int = 10, sigmas: float = 5.0) -> DataFrame:
-    """Keys of the lines that stand on ``min_sites`` distinct sites or more.
+    """Keys of the lines that stand on ``min_sites`` distinct sites or more, as a written table.
 
-    Lines of one site go first, by the least and the greatest site. The others get a HyperLogLog sketch of their sites,
+    Lines of one site go first, by the least and the greatest hash (64 bits) of the site. The others get a HyperLogLog sketch of their sites,
     built on each task and merged by the aggregation. An estimate further from the threshold than ``sigmas`` standard
     errors decides; the lines nearer to it get an exact distinct count. A sketch never sees line texts and its size is
     fixed, so a line on every site costs no more than another.
     """
     near = 1.04 / (2 ** (lg_k / 2)) * sigmas
-    several = lines.groupBy("key").agg(F.min("site").alias("a"), F.max("site").alias("b")).where("a <> b").select("key")
-    some = lines.join(several, "key", "left_semi") if min_sites > 1 else lines
-    sketched = some.groupBy("key").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(lg_k))).alias("sites"))
-    sure = sketched.where(F.col("sites") > min_sites * (1 + near) + 1).select("key")
-    close = sketched.where((F.col("sites") <= min_sites * (1 + near) + 1) & (F.col("sites") >= min_sites * (1 - near) - 1)).select("key")
-    exact = some.join(close, "key", "left_semi").groupBy("key").agg(F.countDistinct("site").alias("sites")).where(F.col("sites") >= min_sites).select("key")
-    return sure.unionByName(exact)
+    least = max(1, min_sites)
+    hashed = F.xxhash64("site")  # numbers, unlike strings, are aggregated without a sort
+    several = lines.groupBy("key").agg(F.min(hashed).alias("a"), F.max(hashed).alias("b")).where(F.lit(least == 1) | (F.col("a") != F.col("b")))
+    several = stored(several.select("key"), "lines-several")
+    sketched = _of_keys(lines, several).groupBy("key").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(lg_k))).alias("sites"))
+    sketched = stored(sketched.where(F.col("sites") >= least * (1 - near) - 1), "lines-sketched")
+    sure = sketched.where(F.col("sites") > least * (1 + near) + 1).select("key")
+    close = sketched.where(F.col("sites") <= least * (1 + near) + 1).select("key")
+    exact = _of_keys(lines, close).groupBy("key").agg(F.countDistinct("site").alias("sites")).where(F.col("sites") >= least).select("key")
+    out = stored(sure.unionByName(exact), "lines-spread")
+    discard(several, sketched)
+    return out
 
 
 def removed_lines(docs: DataFrame, min_sites: int, min_words: int) -> DataFrame:
     """doc_id, digest, gone: the places of the lines to remove, of each text that has any."""
-    lines = exploded_lines(docs).where(F.col("words") >= min_words)
+    lines = stored(exploded_lines(docs, min_words), "lines-all")  # read up to four times; texts are split and hashed once
     boiler = spread_lines(lines, min_sites)
-    return lines.join(boiler, "key", "left_semi").groupBy("doc_id", "digest").agg(F.collect_set("place").alias("gone"))
+    gone = stored(_of_keys(lines, boiler).groupBy("doc_id", "digest").agg(F.collect_set("place").alias("gone")), "lines-gone")
+    discard(lines, boiler)
+    return gone
 
 
 def without_shared_lines(
