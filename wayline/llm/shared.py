@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import ctypes
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from functools import wraps
@@ -12,20 +10,11 @@ from functools import wraps
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; where that is unset and Spark is one process, as in tests, a temporary one that is then set."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="wayline-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+from ..plans.stored import discard, folder  # noqa: F401
 
 
 def new_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    return folder(spark, tag)
 
 
 @contextmanager
@@ -51,14 +40,6 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     return out
 
 
-def discard(*tables: DataFrame) -> None:
-    """Delete what ``stored`` has written for ``tables``; nothing that is still to run may read them."""
-    for df in tables:
-        spark = df.sparkSession
-        path = spark._jvm.org.apache.hadoop.fs.Path(df._stored_at)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def arrow_stage(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
     """``df.mapInArrow(run, schema)`` for wide rows: batches have 8 MB at most unless the session has set another size than Spark's 64 MB,
     and a worker gives the memory of a task back when it ends, since Spark keeps the worker for later stages."""
