@@ -5,6 +5,7 @@ from __future__ import annotations
 from .decontaminate import OP5_SQL, op5_decontamination
 from .jaccard_join import op1_jaccard_join
 from .line_dedup import OP4_SQL, op4_line_dedup
+from .merkle import OP11_SQL, op11_merkle_manifest
 from .packing import op3_packing
 from .quality_crf import op9_quality_classifier
 from .quality_rules import op7_quality_rules
@@ -17,6 +18,7 @@ from .warc import OP10_SQL, op10_warc
 def queries() -> dict:
     return {
         "op10_warc": op10_warc,
+        "op11_merkle_manifest": op11_merkle_manifest,
         "op1_jaccard_join": op1_jaccard_join,
         "op2_sharding": op2_sharding,
         "op3_packing": op3_packing,
@@ -30,4 +32,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_warc": OP10_SQL, "op4_line_dedup": OP4_SQL, "op5_decontamination": OP5_SQL}
+    return {"op10_warc": OP10_SQL, "op11_merkle_manifest": OP11_SQL, "op4_line_dedup": OP4_SQL, "op5_decontamination": OP5_SQL}
