@@ -9,6 +9,7 @@ from .merkle import OP11_SQL, op11_merkle_manifest
 from .packing import op3_packing
 from .quality_crf import op9_quality_classifier
 from .quality_rules import op7_quality_rules
+from .ranked_search import OP12_SQL, op12_ranked_search
 from .sharding import op2_sharding
 from .substring_dedup import op8_substring_dedup
 from .token_files import op6_token_files
@@ -19,6 +20,7 @@ def queries() -> dict:
     return {
         "op10_warc": op10_warc,
         "op11_merkle_manifest": op11_merkle_manifest,
+        "op12_ranked_search": op12_ranked_search,
         "op1_jaccard_join": op1_jaccard_join,
         "op2_sharding": op2_sharding,
         "op3_packing": op3_packing,
@@ -32,4 +34,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_warc": OP10_SQL, "op11_merkle_manifest": OP11_SQL, "op4_line_dedup": OP4_SQL, "op5_decontamination": OP5_SQL}
+    return {"op10_warc": OP10_SQL, "op11_merkle_manifest": OP11_SQL, "op12_ranked_search": OP12_SQL, "op4_line_dedup": OP4_SQL, "op5_decontamination": OP5_SQL}
