@@ -7,6 +7,7 @@ from .jaccard_join import op1_jaccard_join
 from .line_dedup import OP4_SQL, op4_line_dedup
 from .merkle import OP11_SQL, op11_merkle_manifest
 from .packing import op3_packing
+from .passage_dedup import op13_passage_dedup
 from .quality_crf import op9_quality_classifier
 from .quality_rules import op7_quality_rules
 from .ranked_search import OP12_SQL, op12_ranked_search
@@ -21,6 +22,7 @@ def queries() -> dict:
         "op10_warc": op10_warc,
         "op11_merkle_manifest": op11_merkle_manifest,
         "op12_ranked_search": op12_ranked_search,
+        "op13_passage_dedup": op13_passage_dedup,
         "op1_jaccard_join": op1_jaccard_join,
         "op2_sharding": op2_sharding,
         "op3_packing": op3_packing,

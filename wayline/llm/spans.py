@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from functools import lru_cache
 
 import numpy as np
@@ -89,3 +90,35 @@ def word_hashes(raw: np.ndarray, starts: np.ndarray, gap=white, seed: int = 0) -
     lo, hi = tokens_between(gap(raw), starts)
     prefix = prefix_hashes(raw, seed)
     return range_hashes(prefix, lo, hi), lo, hi, np.searchsorted(lo, starts)
+
+
+#: Words of more bytes than this are hashed one by one.
+_LONG_WORD = 64
+
+
+def word_codes(raw: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """A 64-bit code of each byte range, its eight-byte blocks mixed in one after another, so that no structure of a word makes codes meet; ranges of
+    the same length up to 8 never share one."""
+    blocks = np.ndarray(len(raw) + 1, "<u8", np.append(raw, np.zeros(8, np.uint8)).tobytes(), strides=(1,))
+    size = (hi - lo).astype(np.uint64)
+    codes = size * np.uint64(0xA0761D6478BD642F)
+    which = np.flatnonzero(size <= _LONG_WORD)
+    for k in range(0, _LONG_WORD, 8):
+        which = which[size[which] > k]
+        if not len(which):
+            break
+        left = np.minimum(size[which] - np.uint64(k), np.uint64(8))
+        part = blocks[lo[which] + k] & (np.uint64((1 << 64) - 1) >> (np.uint64(64) - left * np.uint64(8)))
+        codes[which] = mixed(codes[which] ^ part)
+    for w in np.flatnonzero(size > _LONG_WORD).tolist():
+        codes[w] = int.from_bytes(hashlib.blake2b(raw[lo[w] : hi[w]].tobytes(), digest_size=8).digest(), "little")
+    return codes
+
+
+def run_codes(codes: np.ndarray, size: int) -> np.ndarray:
+    """A code of each ``size`` consecutive codes (a power of two), halves mixed into one, level by level."""
+    k = 1
+    while k < size:
+        codes = mixed(codes[:-k] * np.uint64(0x9FB21C651E98DF25) + codes[k:]) if len(codes) > k else codes[:0]
+        k *= 2
+    return codes
