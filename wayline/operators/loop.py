@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.weather import hour_band
-from ..plans.scan import streak
+from ..plans.scan import ordered_bucket, streak
 from .catalog import loop_candidates
 
 #: Families of ambient events that must hold for so many media in a row.
@@ -79,12 +79,12 @@ def ambient_conditions() -> list[tuple[str, str, Column]]:
 
 def ambient_events(media: DataFrame, order: list[str] | None = None) -> DataFrame:
     """id, hour, family, text: what can be felt at each medium in order (hour and id, as a rule); each family once per whole hour, the first time. Wind, rain, clouds,
-    clear sky and strong sun count from the second medium in a row on. ``order`` must rise with the hour: rows are dealt by seconds of the day."""
+    clear sky and strong sun count from the second medium in a row on."""
     order = order or ["hour", "id"]
-    rows = media
+    rows, bucket = media, ordered_bucket(media, order)
     for family, _, condition in ambient_conditions():
         on = F.coalesce(condition, F.lit(False))
-        rows = streak(rows, F.floor(F.col("hour") * 3600), order, f"_r_{family}", on) if family in SUSTAINED else rows.withColumn(f"_r_{family}", F.when(on, LEAST_RUN).otherwise(0))
+        rows = streak(rows, bucket, order, f"_r_{family}", on) if family in SUSTAINED else rows.withColumn(f"_r_{family}", F.when(on, LEAST_RUN).otherwise(0))
     listed = F.array(*[F.when(F.col(f"_r_{f}") >= LEAST_RUN, F.struct(F.lit(f).alias("family"), F.lit(t).alias("text"))) for f, t, _ in ambient_conditions()])
     events = rows.select("id", "hour", *[o for o in order if o not in ("id", "hour")], F.explode(F.filter(listed, lambda x: x.isNotNull())).alias("e")).select("*", "e.*").drop("e")
     first = events.groupBy("family", F.floor("hour").alias("_h")).agg(F.min_by(F.struct("id", "hour", "text"), F.struct(*order)).alias("x"))

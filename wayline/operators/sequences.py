@@ -10,13 +10,12 @@ from ..functions.geo import describe_place, haversine_m
 from ..functions.sun import epoch_seconds, sun_position, twilight_class
 from ..functions.text import SEGMENTS
 from ..functions.weather import describe_weather, wmo_label
-from ..plans.scan import day_bucket, last_known, previous_row
+from ..plans.scan import last_known, next_known, ordered_bucket, previous_row
+from ..plans.stored import discard, stored
 from .spacetime import choose_track, interpolate_on_track
 
 #: An island with more rows is grouped by pointer doubling, not in one task.
 ISLAND_ROWS = 100_000
-#: A folder's rows are ranked in parts of so many ids.
-RANK_SPAN = 50_000
 
 
 def sample_times(media: DataFrame, every_s: int) -> DataFrame:
@@ -144,15 +143,17 @@ def _metres(a, b) -> float:
     return 2 * 6_371_000 * asin(sqrt(min(1.0, x)))
 
 
-def infer_timestamps_by_rank(media: DataFrame, order: str = "id", bucket: Column | None = None) -> DataFrame:
+def infer_timestamps_by_rank(media: DataFrame, order: str = "id") -> DataFrame:
     """id, timestamp_utc of media without a time that stand, in their folder's order, between two that have one: equally spaced between these.
 
-    The anchors come from the whole folder, so that gaps between them exist at all. A folder is cut by ``bucket``, which must rise with ``order`` (a number, where none is given: ranges of
-    ``RANK_SPAN``): ranks and anchors are found within each part, and one row a part carries them over the folder. Rows without a folder have no result.
+    ``order`` is any column that can be sorted (a number, or a path as text); ties go by id, nulls come first. The anchors come from the whole folder, so that gaps
+    between them exist at all. Folders are cut into ranges of that order, which hold about as many rows each: ranks and anchors are
+    found within each range, and one row a range carries them over the folder. Rows without a folder have no result.
     """
-    bucket = F.floor(F.col(order) / RANK_SPAN) if bucket is None else bucket
-    rows = media.where("carpeta IS NOT NULL").withColumns({"_b": F.struct(bucket.alias("b")), "_s": epoch_seconds(F.col("timestamp_utc"))})
-    w = W.partitionBy("carpeta", "_b").orderBy(order)
+    rows, place = media.where("carpeta IS NOT NULL"), list(dict.fromkeys([order, "id"]))
+    bucket = ordered_bucket(rows, ["carpeta", *place])
+    rows = rows.withColumns({"_b": bucket, "_s": epoch_seconds(F.col("timestamp_utc"))})
+    w = W.partitionBy("carpeta", "_b").orderBy(*place)
     rows = rows.withColumn("_n", F.row_number().over(w)).withColumn("_a", F.when(F.col("_s").isNotNull(), F.struct(F.col("_n").alias("n"), F.col("_s").alias("s"))))
     parts = rows.groupBy("carpeta", "_b").agg(F.count("*").alias("_c"), F.min("_a").alias("_first"), F.max("_a").alias("_last"))
     before = W.partitionBy("carpeta").orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
@@ -170,7 +171,7 @@ def infer_timestamps_by_rank(media: DataFrame, order: str = "id", bucket: Column
 def place_entry_exit(media: DataFrame, levels: list[str] = ("provincia", "municipio"), order: Column | None = None) -> DataFrame:
     """id, hour, kind, text: 'enter' and 'leave' where a level's name differs from the last known one along the route; each text once per whole hour, the first."""
     rows = media.withColumn("_o", order if order is not None else F.coalesce(epoch_seconds(F.col("timestamp_utc")), F.col("id").cast("double")))
-    bucket = F.floor(F.col("_o") / 86400)
+    bucket = ordered_bucket(rows, ["_o", "id"])
     out = None
     for k, level in enumerate(levels):
         now = F.nullif(F.trim(level), F.lit(""))
@@ -185,9 +186,10 @@ def place_entry_exit(media: DataFrame, levels: list[str] = ("provincia", "munici
 def gap_sessions(rows: DataFrame, seconds: float, ts: str = "ts", key: str = "id") -> DataFrame:
     """``rows`` with session: the first row's key of its session; a new one begins when more than ``seconds`` have passed since the row before."""
     s = epoch_seconds(F.col(ts))
-    r = previous_row(rows, day_bucket(F.col(ts)), [ts, key], "_before", s)
+    bucket = ordered_bucket(rows, [ts, key])
+    r = previous_row(rows, bucket, [ts, key], "_before", s)
     start = F.when(F.col("_before").isNull() | (s - F.col("_before") > seconds), F.col(key))
-    return last_known(r, day_bucket(F.col(ts)), [ts, key], "session", start, inclusive=True).drop("_before")
+    return last_known(r, bucket, [ts, key], "session", start, inclusive=True).drop("_before")
 
 
 def anchored_time_groups(rows: DataFrame, minutes: float, ts: str = "ts", key: str = "id", island_rows: int = ISLAND_ROWS) -> DataFrame:
@@ -218,14 +220,9 @@ def anchored_time_groups(rows: DataFrame, minutes: float, ts: str = "ts", key: s
 
 
 def _doubled(rows: DataFrame, width: float) -> DataFrame:
-    from ..plans.stored import stored
-
-    bucket = F.floor(F.col("_s") / 86400)
     marks = rows.select("session", "_key", "_s", F.lit(0).alias("_q")).unionByName(rows.select("session", "_key", (F.col("_s") + width).alias("_s"), F.lit(1).alias("_q")))
     marks = marks.withColumn("_o", F.when(F.col("_q") == 1, F.lit(1 << 62)).otherwise(F.col("_key")))
-    from ..plans.scan import next_known
-
-    nxt = next_known(marks, bucket, ["_s", "_o", "_q"], "_next", F.when(F.col("_q") == 0, F.struct("session", "_key"))).where("_q = 1 AND _next.session = session")
+    nxt = next_known(marks, ordered_bucket(marks, ["_s", "_o", "_q"]), ["_s", "_o", "_q"], "_next", F.when(F.col("_q") == 0, F.struct("session", "_key"))).where("_q = 1 AND _next.session = session")
     jump = stored(nxt.select(F.col("_key").alias("k"), F.col("_next._key").alias("n")), "group-jumps")
     heads = stored(rows.groupBy("session").agg(F.min_by("_key", F.struct("_s", "_key")).alias("k")).select("k"), "group-heads")
     while True:
@@ -236,7 +233,7 @@ def _doubled(rows: DataFrame, width: float) -> DataFrame:
             break
         jump = stored(jump.alias("a").join(jump.alias("b"), F.col("a.n") == F.col("b.k")).select("a.k", F.col("b.n").alias("n")), "group-jumps")
     lead = rows.join(heads.select(F.col("k").alias("_key"), F.col("k").alias("_lead")), "_key", "left")
-    return last_known(lead, bucket, ["_s", "_key"], "group", F.col("_lead"), inclusive=True).select("_key", "group")
+    return last_known(lead, ordered_bucket(rows, ["_s", "_key"]), ["_s", "_key"], "group", F.col("_lead"), inclusive=True).select("_key", "group")
 
 
 def greedy_similarity_groups(rows: DataFrame, near, schema: str = "id long, lead long") -> DataFrame:

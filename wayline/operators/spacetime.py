@@ -7,10 +7,10 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from ..functions.geo import haversine_m
 from ..functions.sun import epoch_seconds
 from ..functions.weather import local_hour, wind_compass, wmo_label
-from ..plans.interval import interval_join, lerp
+from ..plans.interval import interval_join, lerp, touching
 from ..plans.knn import cell_key, nearest
 from ..plans.stored import stored
-from ..plans.scan import day_bucket, last_known, next_known
+from ..plans.scan import last_known, next_known, ordered_bucket
 
 
 def infer_gps_by_time(media: DataFrame) -> DataFrame:
@@ -23,10 +23,10 @@ def infer_gps_by_time(media: DataFrame) -> DataFrame:
     asked = timed.where("latitude IS NULL").select("id", "timestamp_utc", "s")
     anchor = F.when(F.col("p").isNotNull(), F.struct(F.col("s").alias("s"), F.col("p.latitude").alias("lat"), F.col("p.longitude").alias("lon")))
     rows = known.select(F.lit(None).cast("long").alias("id"), "timestamp_utc", "s", anchor.alias("a")).unionByName(asked.withColumn("a", F.lit(None).cast("struct<s:double,lat:double,lon:double>")))
-    same = F.max("a").over(W.partitionBy("timestamp_utc"))
-    rows = rows.withColumn("here", same)
-    order, bucket = ["timestamp_utc", "id"], day_bucket(F.col("timestamp_utc"))
-    rows = last_known(rows.withColumn("id", F.coalesce("id", F.lit(-1))), bucket, order, "before", F.col("a"))
+    rows, order = rows.withColumn("id", F.coalesce("id", F.lit(-1))), ["timestamp_utc", "id"]
+    bucket = ordered_bucket(rows, order)
+    rows = rows.withColumn("here", F.max("a").over(W.partitionBy("timestamp_utc")))
+    rows = last_known(rows, bucket, order, "before", F.col("a"))
     rows = next_known(rows, bucket, order, "after", F.col("a")).where("id >= 0")
     p, q = F.coalesce("here", "before"), F.coalesce("here", "after")
     share = (F.col("s") - p["s"]) / F.nullif(q["s"] - p["s"], F.lit(0.0))
@@ -39,8 +39,9 @@ def nearest_altitude(media: DataFrame, points: DataFrame) -> DataFrame:
     known = points.where("elevation IS NOT NULL AND time IS NOT NULL").groupBy(F.col("time").alias("t")).agg(F.min_by("elevation", F.struct("track_id", "elevation")).alias("e"))
     rows = known.select("t", F.lit(-1).cast("long").alias("id"), F.struct(epoch_seconds(F.col("t")).alias("s"), "e").alias("a"))
     rows = rows.unionByName(media.where("timestamp_utc IS NOT NULL").select(F.col("timestamp_utc").alias("t"), "id", F.lit(None).cast("struct<s:double,e:double>").alias("a")))
-    rows = last_known(rows, day_bucket(F.col("t")), ["t", "id"], "before", F.col("a"))
-    rows = next_known(rows, day_bucket(F.col("t")), ["t", "id"], "after", F.col("a")).where("id >= 0")
+    bucket = ordered_bucket(rows, ["t", "id"])
+    rows = last_known(rows, bucket, ["t", "id"], "before", F.col("a"))
+    rows = next_known(rows, bucket, ["t", "id"], "after", F.col("a")).where("id >= 0")
     s = epoch_seconds(F.col("t"))
     gone, left = s - F.col("before.s"), F.col("after.s") - s
     # a point at the very instant sorts before its media
@@ -89,8 +90,8 @@ def choose_track(media: DataFrame, tracks: DataFrame) -> DataFrame:
     """``media`` (start_s, end_s) with track_id, mode, gap_s of its best track (track_start, track_end): the shortest that contains it, else that it overlaps longest,
     else the nearest, else one without times. Ties go to the lesser track_id; nulls if there is no track or the medium has no times.
 
-    Tracks that touch a medium share a day with it, the join's key. The nearest others are the last to end before it and the first to start after
-    it, by ordered scans. The best of these and the least track without times is the best of all.
+    Tracks that touch a medium are found by where the later of the two begins, in the segment tree of the other side. The nearest others are the last to end
+    before it and the first to start after it, by one ordered scan of the media that touch none. The least track without times comes last.
     """
     inside = F.least("end_s", "track_end") - F.greatest("start_s", "track_start")
     near = F.greatest(F.col("track_start") - F.col("end_s"), F.col("start_s") - F.col("track_end"))
@@ -102,22 +103,26 @@ def choose_track(media: DataFrame, tracks: DataFrame) -> DataFrame:
         .when(inside > 0, F.struct(F.lit(1).alias("k"), (-inside).alias("v"), F.lit(0.0).alias("gap")))
         .otherwise(F.struct(F.lit(2).alias("k"), F.greatest(near, F.lit(0.0)).alias("v"), F.greatest(near, F.lit(0.0)).alias("gap")))
     )
-    spans = media.where("start_s IS NOT NULL AND end_s IS NOT NULL").select("start_s", "end_s").distinct()
-    timed = tracks.where("track_start IS NOT NULL AND track_end IS NOT NULL").select("track_id", "track_start", "track_end")
-    days = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / 86400), F.floor(F.col(b) / 86400)))
-    same = spans.withColumn("_day", days("start_s", "end_s")).join(timed.withColumn("_day", days("track_start", "track_end")), "_day").drop("_day")
-
-    def beside(scan, of_track: str, of_medium: str, tracks_first: bool) -> DataFrame:
-        ends = timed.groupBy(F.col(of_track).alias("_t")).agg(F.min(F.struct("track_id", "track_start", "track_end")).alias("_p")).withColumn("_kind", F.lit(not tracks_first))
-        asked = spans.withColumns({"_t": F.col(of_medium), "_kind": F.lit(tracks_first)})
-        rows = scan(asked.unionByName(ends, allowMissingColumns=True), F.floor(F.col("_t") / 86400), ["_t", "_kind"], "_near", F.col("_p"))
-        return rows.where("start_s IS NOT NULL AND _near IS NOT NULL").select("start_s", "end_s", "_near.*")
-
-    # at the same instant the track counts as before and as after
-    pairs = same.unionByName(beside(last_known, "track_end", "start_s", True)).unionByName(beside(next_known, "track_start", "end_s", False))
-    untimed = tracks.where("track_start IS NULL OR track_end IS NULL").agg(F.min("track_id").alias("track_id")).where("track_id IS NOT NULL")
-    pairs = pairs.unionByName(spans.crossJoin(F.broadcast(untimed)), allowMissingColumns=True)  # one row
-    best = pairs.groupBy("start_s", "end_s").agg(F.min(F.struct(rank.alias("r"), "track_id")).alias("b"))
+    spans = stored(media.where("start_s IS NOT NULL AND end_s IS NOT NULL").select("start_s", "end_s").distinct(), "track-spans")
+    timed = stored(tracks.where("track_start IS NOT NULL AND track_end IS NOT NULL").select("track_id", "track_start", "track_end"), "track-ranges")
+    best_of = lambda pairs: pairs.groupBy("start_s", "end_s").agg(F.min(F.struct(rank.alias("r"), "track_id")).alias("b"))
+    best = stored(best_of(touching(spans, timed, ("start_s", "end_s"), ("track_start", "track_end"), 3600)), "track-touching")
+    apart = stored(spans.join(best, ["start_s", "end_s"], "left_anti"), "track-apart")  # no other media can have a nearer track than one that they touch
+    if not apart.isEmpty():
+        least = F.min(F.struct("track_id", "track_start", "track_end"))
+        of_track = lambda c, kind, name: timed.groupBy(F.col(c).alias("_t")).agg(least.alias(name)).withColumn("_kind", F.lit(kind))
+        of_medium = lambda c, kind: apart.withColumns({"_t": F.col(c), "_kind": F.lit(kind)})
+        events = of_medium("start_s", 1).unionByName(of_medium("end_s", 2))
+        for ends in (of_track("track_end", 0, "_ended"), of_track("track_start", 3, "_started")):
+            events = events.unionByName(ends, allowMissingColumns=True)
+        order = ["_t", "_kind"]
+        bucket = ordered_bucket(events, order)
+        events = next_known(last_known(events, bucket, order, "_before", F.col("_ended")), bucket, order, "_after", F.col("_started")).where("start_s IS NOT NULL")
+        near_track = F.when(F.col("_kind") == 1, F.col("_before")).otherwise(F.col("_after"))
+        pairs = events.withColumn("_near", near_track).where("_near IS NOT NULL").select("start_s", "end_s", "_near.*")
+        untimed = tracks.where("track_start IS NULL OR track_end IS NULL").agg(F.min("track_id").alias("track_id")).where("track_id IS NOT NULL")
+        pairs = pairs.unionByName(apart.crossJoin(F.broadcast(untimed)), allowMissingColumns=True)  # one row
+        best = best.unionByName(best_of(pairs))
     mode = F.get(F.array(*map(F.lit, ("contiene", "solapa", "cercano", "sin_rango"))), F.col("b.r.k"))
     return media.distinct().join(best, ["start_s", "end_s"], "left").select(*media.columns, "b.track_id", mode.alias("mode"), F.col("b.r.gap").alias("gap_s"))
 
@@ -249,7 +254,7 @@ def dialogue_at_photo(photos: DataFrame, segments: DataFrame) -> DataFrame:
     """id, texto, gap_s: what was last said at or before a photo's instant. Photos have id, ts; segments media_id, ts (absolute), texto."""
     said = segments.groupBy("ts").agg(F.min_by("texto", F.struct("media_id", "texto")).alias("texto"))
     rows = said.select("ts", F.lit(-1).cast("long").alias("id"), F.struct("ts", "texto").alias("a")).unionByName(photos.select("ts", "id", F.lit(None).cast("struct<ts:timestamp_ntz,texto:string>").alias("a")), True)
-    rows = last_known(rows, day_bucket(F.col("ts")), ["ts", "id"], "said", F.col("a")).where("id >= 0 AND said IS NOT NULL")
+    rows = last_known(rows, ordered_bucket(rows, ["ts", "id"]), ["ts", "id"], "said", F.col("a")).where("id >= 0 AND said IS NOT NULL")
     return rows.select("id", F.col("said.texto").alias("texto"), (epoch_seconds(F.col("ts")) - epoch_seconds(F.col("said.ts"))).alias("gap_s"))
 
 

@@ -1,30 +1,98 @@
-"""Joins of instants with intervals, by buckets of time and an equi-join."""
+"""Joins of instants with intervals, and of intervals with one another, by equi-joins on the nodes of a segment tree over time."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-#: An interval that spans more buckets than this is dealt by a coarser bucket, of so many of them.
-LONG = 64
+from .stored import stored
 
+#: A side of at most so many rows, counted, is broadcast.
+BROADCAST_ROWS = 100_000
+#: Levels above the cells: enough for any time span in cells of a thousandth of a second.
+LEVELS = 52
+#: A node of the tree that more points than this look up, and more than one in HOT_SHARE of all, is dealt out in parts.
+HOT_POINTS, HOT_SHARE = 20_000, 64
 
-def interval_join(points: DataFrame, intervals: DataFrame, t: str, start: str, end: str, width_s: float, keys: list[str] | None = None, open_start: bool = True) -> DataFrame:
+
+def cover_nodes(first: str, last: str) -> Column:
+    """The nodes (level, node) of a binary tree over whole-numbered cells that together cover ``first`` to ``last``: at most two a level, and no cell twice.
+
+    At level k a node has 2 ** k cells. Of the nodes that lie inside, those count whose parent doesn't: the first if its number is odd and the
+    last if its number is even.
+    """
+    levels = F.sequence(F.lit(0), F.floor(F.log2((F.col(last) - F.col(first) + 1).cast("double"))).cast("int") + 1)
+
+    def at(k: Column) -> Column:
+        step = lambda c: F.call_function("shiftright", c, k)
+        lo, hi = -step(-F.col(first)), step(F.col(last) + 1) - 1
+        node = lambda n, fits: F.when(fits & (lo <= hi), F.struct(k.alias("level"), n.alias("node")))
+        return F.filter(F.array(node(lo, lo % 2 != 0), node(hi, hi % 2 == 0)), lambda x: x.isNotNull())
+
+    return F.flatten(F.transform(levels, at))
+
+
+def laid_out(intervals: DataFrame, start: str, end: str, width_s: float) -> DataFrame:
+    """``intervals`` with a row for each node (_level, _node) of their cover, in cells of ``width_s`` seconds; empty and null ones go."""
+    cell = lambda c: F.floor(F.col(c) / F.lit(width_s)).cast("long")
+    whole = intervals.where(F.col(end) >= F.col(start)).withColumns({"_first": cell(start), "_last": cell(end)})
+    return whole.withColumn("_at", F.explode(cover_nodes("_first", "_last"))).withColumns({"_level": F.col("_at.level"), "_node": F.col("_at.node")}).drop("_first", "_last", "_at")
+
+
+def asked_for(points: DataFrame, t: str, width_s: float, levels: list[int]) -> DataFrame:
+    """``points`` with a row for each of their ancestors at ``levels``."""
+    cell = F.floor(F.col(t) / F.lit(width_s)).cast("long")
+    return points.where(F.col(t).isNotNull()).withColumn("_level", F.explode(F.array(*map(F.lit, levels)))).withColumn("_node", F.call_function("shiftright", cell, F.col("_level")))
+
+
+def hot_nodes(points: DataFrame, t: str, width_s: float, levels: list[int], keys: list[str]) -> DataFrame | None:
+    """keys, _level, _node, _parts of the nodes that over HOT_POINTS points, and over one in HOT_SHARE of all, look up; None if there are none.
+
+    So there are HOT_SHARE of them a level at most, however many points and keys.
+    """
+    most = max(HOT_POINTS, points.count() // HOT_SHARE)
+    cell = F.floor(F.col(t) / F.lit(width_s)).cast("long")
+    cells = points.where(F.col(t).isNotNull()).groupBy(*keys, cell.alias("_cell")).agg(F.count("*").alias("_n"))
+    ancestors = cells.withColumn("_level", F.explode(F.array(*map(F.lit, levels)))).withColumn("_node", F.call_function("shiftright", F.col("_cell"), F.col("_level")))
+    nodes = ancestors.groupBy(*keys, "_level", "_node").agg(F.sum("_n").alias("_n")).where(F.col("_n") > most)
+    nodes = nodes.select(*keys, "_level", "_node", F.ceil(F.col("_n") / most).cast("long").alias("_parts"))
+    found = nodes.collect()
+    return points.sparkSession.createDataFrame(found, nodes.schema) if found else None
+
+
+def interval_join(points: DataFrame, intervals: DataFrame, t: str, start: str, end: str, width_s: float, keys: list[str] | None = None, open_start: bool = True, n_points: int | None = None) -> DataFrame:
     """Pairs of points and intervals with start < t <= end (or start <= t), ``keys`` equal; all in seconds.
 
-    An interval is entered into each bucket of ``width_s`` that it touches, or, if it is long, into buckets 64 (or 4096, ...) times as
-    wide; a point looks in one bucket of each width. So no interval is copied over 66 times and none is broadcast.
+    An interval is entered into the nodes of its cover, at most two for each doubling of its length over ``width_s``; a point looks up its ancestors at the levels that
+    occur. So an interval over all of time is one row, and a pair meets in one node only. A side that has been counted and is small is broadcast
+    (``n_points``: how many points there are, if that is known); else a node that many points look up is dealt out: its points by a hash of the row, its
+    intervals to each part. No part has more than some ``HOT_POINTS`` points or one in ``HOT_SHARE`` of all.
     """
-    keys = keys or []
-    length = F.col(end) - F.col(start)
-    level = F.when(length <= width_s * LONG, 0).when(length <= width_s * LONG**2, 1).when(length <= width_s * LONG**3, 2).otherwise(3)
-    size = F.lit(width_s) * F.pow(F.lit(float(LONG)), F.col("_level"))
-    laid = intervals.where(length >= 0).withColumn("_level", level)
-    cells = F.sequence(F.floor(F.col(start) / size), F.floor(F.col(end) / size))
-    laid = laid.withColumn("_cell", F.explode(F.when(F.col("_level") < 3, cells).otherwise(F.array(F.lit(0).cast("long")))))
-    asked = points.withColumn("_level", F.explode(F.array(*map(F.lit, range(4))))).withColumn("_cell", F.when(F.col("_level") < 3, F.floor(F.col(t) / size)).otherwise(F.lit(0).cast("long")))
-    joined = asked.join(laid, [*keys, "_level", "_cell"])
+    on = [*(keys or []), "_level", "_node"]
+    if n_points is not None and n_points * LEVELS <= BROADCAST_ROWS:
+        asked, laid = F.broadcast(asked_for(points, t, width_s, list(range(LEVELS)))), laid_out(intervals, start, end, width_s)
+    else:
+        laid = stored(laid_out(intervals, start, end, width_s), "intervals-laid")
+        sizes = dict(laid.groupBy("_level").count().collect())  # a row a level
+        levels = sorted(sizes) or [0]
+        asked = asked_for(points, t, width_s, levels)
+        if sum(sizes.values()) <= BROADCAST_ROWS:
+            laid = F.broadcast(laid)
+        elif (hot := hot_nodes(points, t, width_s, levels, keys or [])) is not None:
+            parts, one = F.coalesce("_parts", F.lit(1).cast("long")), F.lit(1).cast("long")
+            asked = asked.join(F.broadcast(hot), on, "left").withColumn("_part", F.pmod(F.xxhash64(*points.columns), parts)).drop("_parts")
+            laid = laid.join(F.broadcast(hot), on, "left").withColumn("_part", F.explode(F.sequence(one - one, parts - one))).drop("_parts")
+            on = [*on, "_part"]
     after = (F.col(t) > F.col(start)) if open_start else (F.col(t) >= F.col(start))
-    return joined.where(after & (F.col(t) <= F.col(end))).drop("_level", "_cell")
+    return asked.join(laid, on).where(after & (F.col(t) <= F.col(end))).drop("_level", "_node", "_part")
+
+
+def touching(left: DataFrame, right: DataFrame, left_span: tuple[str, str], right_span: tuple[str, str], width_s: float) -> DataFrame:
+    """Pairs of intervals of ``left`` and ``right`` with an instant in common, ends included, each pair once: the later of the two starts lies in the other interval."""
+    (a, b), (c, d) = left_span, right_span
+    valid = lambda x, lo, hi: x.where(F.col(hi) >= F.col(lo))
+    left, right = valid(left, a, b), valid(right, c, d)
+    inside = interval_join(left, right, a, c, d, width_s, open_start=False, n_points=left.count())
+    return inside.unionByName(interval_join(right, left, c, a, b, width_s, n_points=right.count()))
 
 
 def lerp(a: Column, b: Column, f: Column) -> Column:

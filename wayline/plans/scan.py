@@ -1,17 +1,39 @@
 """Ordered computations over a whole table without one task that holds it all.
 
-Rows are dealt into buckets of their order key (days of a timestamp, as a rule). A window works within each bucket, one summary row per
-bucket goes through a window over all buckets, and what it carries in is joined back. So the only window without partitions
-sees a row a day.
+Rows are dealt into ranges of their order key, at splitters drawn from a sample of the keys, so ranges hold about as many rows each however the keys lie. A
+window works within each range, one summary row a range goes through a window over all ranges, and what it carries in is joined back. So the
+only window without partitions sees a row a range.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from math import isqrt
 
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-def day_bucket(ts: Column) -> Column:
-    return F.to_date(ts)
+#: Keys that are drawn for each range.
+DRAWN = 32
+
+
+def ordered_bucket(df: DataFrame, order: list[str], ranges: int | None = None) -> Column:
+    """The number of the range that a row's ``order`` (nulls first) falls into: one of ``ranges``, by default as many as shuffles have partitions.
+
+    The keys with the least hashes are drawn, DRAWN for each range, which is all that reaches the driver; every DRAWN-th of them, in order, is
+    a splitter. The column depends on the row's key alone, so it may be computed more than once.
+    """
+    n = ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    kinds = df.select(*order).schema
+    drawn = df.select(F.struct(*order).alias("k")).orderBy(F.xxhash64("k"), "k").limit(DRAWN * n).orderBy("k")
+    drawn = [] if n < 2 else drawn.select(*[F.col("k")[c].cast("string").alias(c) for c in order]).collect()
+    each = max(1, len(drawn) // n)
+    splitters = [F.struct(*[F.lit(row[f.name]).cast(f.dataType).alias(f.name) for f in kinds]) for row in drawn[each::each]]
+    if not splitters:
+        return F.lit(0)
+    size, key = isqrt(len(splitters) - 1) + 1, F.struct(*order)
+    groups = [splitters[k : k + size] for k in range(0, len(splitters), size)]
+    upto = lambda found: F.size(F.filter(found, lambda s: s <= key))
+    group = upto(F.array(*[g[0] for g in groups]))
+    return F.when(group == 0, 0).otherwise((group - 1) * size + upto(F.get(F.array(*[F.array(*g) for g in groups]), group - 1)))
 
 
 def _carried(df: DataFrame, summary: dict[str, Column], carry) -> DataFrame:

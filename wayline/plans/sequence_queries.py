@@ -101,14 +101,24 @@ def positions(v):
     return Q.video_positions(video_samples(v), 40_000, 5, 0.05)
 
 
-@query("W9_infer_timestamps_by_rank", f"""
-WITH r AS (SELECT id, carpeta, {_T} AS s, row_number() OVER (PARTITION BY carpeta ORDER BY id) AS n FROM {{media}}), a AS (SELECT *, CASE WHEN s IS NOT NULL THEN (n, s) END AS x FROM r),
+_RANKED = f"""
+WITH r AS (SELECT id, carpeta, {_T} AS s, row_number() OVER (PARTITION BY carpeta ORDER BY <order>) AS n FROM {{media}}), a AS (SELECT *, CASE WHEN s IS NOT NULL THEN (n, s) END AS x FROM r),
 b AS (SELECT *, last_value(x IGNORE NULLS) OVER (PARTITION BY carpeta ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS p, first_value(x IGNORE NULLS) OVER (PARTITION BY carpeta ORDER BY n ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS q FROM a)
-SELECT id, round(p[2] + (q[2] - p[2]) * (n - p[1]) / (q[1] - p[1]), 2) AS t_s FROM b WHERE s IS NULL AND p IS NOT NULL AND q IS NOT NULL""")
+SELECT id, round(p[2] + (q[2] - p[2]) * (n - p[1]) / (q[1] - p[1]), 2) AS t_s FROM b WHERE s IS NULL AND p IS NOT NULL AND q IS NOT NULL"""
+
+
+@query("W9_infer_timestamps_by_rank", _RANKED.replace("<order>", "id"))
 def by_rank(v):
     return Q.infer_timestamps_by_rank(v.media).select("id", F.round("t_s", 2).alias("t_s"))
 
 
+@query("W9b_infer_timestamps_by_path", _RANKED.replace("<order>", "carpeta || '/' || substr(file_hash, 1, 3) || '.jpg', id"))
+def by_path(v):
+    """Paths are not unique here: hashes cut to three digits."""
+    media = v.media.withColumn("path", F.concat("carpeta", F.lit("/"), F.substring("file_hash", 1, 3), F.lit(".jpg")))
+    return Q.infer_timestamps_by_rank(media, "path").select("id", F.round("t_s", 2).alias("t_s"))
+
+
 _LOCAL = "(timestamp_utc - INTERVAL 3 HOUR)"
 
 
