@@ -68,15 +68,20 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 10, **colu
 
     A word inside any occurrence of an item's window of ``width`` consecutive words is hit (an item of fewer words is one
     window). Null and empty texts have no words; items without words match nothing; a null item_id still hits, and is
-    not listed. One row per distinct (id, text): rows repeated in full count once, null ids are kept, an empty
+    not listed. One row per row: rows repeated in full are judged once and returned each; null ids are kept, an empty
     benchmark leaves all documents clean. Other columns are not read.
     """
     hits = matched_windows(docs, benchmark, width, **columns)
+    rows = docs.select(F.col(columns.get("id_col", "doc_id")).alias("doc_id"), F.xxhash64(columns.get("text_col", "text")).alias("digest"))
+    repeats = stored(rows.groupBy("doc_id", "digest").agg(F.count("*").alias("copies")).where("copies > 1").withColumnsRenamed({"doc_id": "id", "digest": "of"}), "decon-repeats")
     span = F.when(F.col("len").isNotNull(), F.struct("start", "len"))
     by_doc = hits.groupBy("doc_id", "digest", "n_words").agg(
         F.sort_array(F.collect_set(span)).alias("spans"), F.sort_array(F.collect_set(F.col("item_id").cast("string"))).alias("item_ids")
     )
     n_hit = union_length(F.col("spans"), "start", "len")
+    if not repeats.isEmpty():
+        again = by_doc.join(_bounded(repeats, repeats.count()), F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("digest") == F.col("of")), "left")
+        by_doc = again.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.coalesce("copies", F.lit(1).cast("long")))))
     return by_doc.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("item_ids").cast("long").alias("n_items"), "item_ids").withColumn("contaminated", F.col("n_hit") > 0)
 
 
@@ -86,17 +91,17 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP5_SQL = r"""
-WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
-           FROM (SELECT DISTINCT doc_id, text FROM documents)),
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+           FROM documents),
 i AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
 g AS (SELECT DISTINCT item_id, least(len(w), 10) AS n, w[s:s + least(len(w), 10) - 1] AS gram
       FROM (SELECT item_id, w, unnest(range(1, greatest(1, len(w) - 9) + 1)) AS s FROM i WHERE len(w) > 0)),
 sizes AS (SELECT DISTINCT n FROM g),
-p AS (SELECT doc_id, n, s, w[s:s + n - 1] AS gram FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS s FROM d, sizes WHERE len(w) >= n)),
-m AS (SELECT p.doc_id, p.s, p.n, g.item_id FROM p JOIN g ON p.gram = g.gram),
-h AS (SELECT doc_id, count(DISTINCT spot) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + n)) AS spot FROM m) GROUP BY doc_id),
-t AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM m) GROUP BY doc_id)
+p AS (SELECT row, n, s, w[s:s + n - 1] AS gram FROM (SELECT row, w, n, unnest(range(1, len(w) - n + 2)) AS s FROM d, sizes WHERE len(w) >= n)),
+m AS (SELECT p.row, p.s, p.n, g.item_id FROM p JOIN g ON p.gram = g.gram),
+h AS (SELECT row, count(DISTINCT spot) AS n_hit FROM (SELECT row, unnest(range(s, s + n)) AS spot FROM m) GROUP BY row),
+t AS (SELECT row, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT row, CAST(item_id AS VARCHAR) AS item FROM m) GROUP BY row)
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
        sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM d LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id)
+FROM d LEFT JOIN h USING (row) LEFT JOIN t USING (row)
 """

@@ -85,13 +85,6 @@ def range_hashes(prefix: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarr
     return mixed((prefix[hi] - prefix[lo]) * powers(len(prefix), inverse=True)[lo] + (hi - lo).astype(np.uint64) * np.uint64(0xA0761D6478BD642F))
 
 
-def word_hashes(raw: np.ndarray, starts: np.ndarray, gap=white, seed: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, begin and end of every word, and the number of the first word of each text (one more at the end)."""
-    lo, hi = tokens_between(gap(raw), starts)
-    prefix = prefix_hashes(raw, seed)
-    return range_hashes(prefix, lo, hi), lo, hi, np.searchsorted(lo, starts)
-
-
 #: Words of more bytes than this are hashed one by one.
 _LONG_WORD = 64
 
@@ -122,3 +115,9 @@ def run_codes(codes: np.ndarray, size: int) -> np.ndarray:
         codes = mixed(codes[:-k] * np.uint64(0x9FB21C651E98DF25) + codes[k:]) if len(codes) > k else codes[:0]
         k *= 2
     return codes
+
+
+def word_hashes(raw: np.ndarray, starts: np.ndarray, gap=white) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Code, begin and end of every word, and the number of the first word of each text (one more at the end)."""
+    lo, hi = tokens_between(gap(raw), starts)
+    return word_codes(raw, lo, hi), lo, hi, np.searchsorted(lo, starts)
