@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
@@ -11,7 +10,8 @@ from ..functions.sun import epoch_seconds, sun_position, twilight_class
 from ..functions.text import SEGMENTS
 from ..functions.weather import describe_weather, wmo_label
 from ..plans.scan import last_known, next_known, ordered_bucket, previous_row
-from ..plans.stored import discard, stored
+from ..plans.stored import stored
+from .similarity import greedy_similarity_groups
 from .spacetime import choose_track, interpolate_on_track
 
 #: An island with more rows is grouped by pointer doubling, not in one task.
@@ -236,42 +236,16 @@ def _doubled(rows: DataFrame, width: float) -> DataFrame:
     return last_known(lead, ordered_bucket(rows, ["_s", "_key"]), ["_s", "_key"], "group", F.col("_lead"), inclusive=True).select("_key", "group")
 
 
-def greedy_similarity_groups(rows: DataFrame, near, schema: str = "id long, lead long") -> DataFrame:
-    """id, lead over ``rows`` (group, ord, id, item): within each group the first free row leads and takes all later free rows that are ``near`` it (a function of an item and an array of items).
-
-    Groups come from ``anchored_time_groups``, so a group spans some minutes. A row without an item leads itself.
-    """
-
-    def absorb(r: pd.DataFrame) -> pd.DataFrame:
-        r = r.sort_values(["ord", "id"])
-        ids, items = r.id.to_numpy(), r["item"].to_numpy()
-        lead, free = ids.copy(), np.arange(len(ids))
-        while len(free):
-            first, rest = free[0], free[1:]
-            taken = near(items[first], items[rest])
-            lead[rest[taken]] = ids[first]
-            free = rest[~taken]
-        return pd.DataFrame({"id": ids, "lead": lead})
-
-    bare = rows.where("item IS NULL").select("id", F.col("id").alias("lead"))
-    return rows.where("item IS NOT NULL").groupBy("group").applyInPandas(absorb, schema).unionByName(bare)
-
-
 def best_of_group(rows: DataFrame, group: str, score: str, n: int = 1, key: str = "id") -> DataFrame:
     """The ``n`` rows of the greatest score of each group; ties to the lesser key."""
     ranked = rows.withColumn("_r", F.row_number().over(W.partitionBy(group).orderBy(F.desc_nulls_last(score), key)))
     return ranked.where(F.col("_r") <= n).drop("_r")
 
 
-def hamming_at_most(bits: int):
-    """Whether 64-bit hashes of an array differ from ``a`` in at most ``bits`` bits."""
-    return lambda a, b: np.bitwise_count((b ^ a).astype("int64").view("uint64")) <= bits
-
-
 def clean_bursts(rows: DataFrame, minutes: float, bits: int) -> DataFrame:
     """id, group, lead, kept, reason over ``rows`` (id, ts, hash, score): of the similar pictures of each few minutes the best is kept."""
     grouped = anchored_time_groups(rows, minutes)
-    leads = greedy_similarity_groups(grouped.select("group", F.col("ts").alias("ord"), "id", F.col("hash").alias("item")), hamming_at_most(bits))
+    leads = greedy_similarity_groups(grouped.select("group", F.col("ts").alias("ord"), "id", F.col("hash").alias("item")), "hamming", bits)
     scored = grouped.join(leads, "id")
     w = W.partitionBy("lead")
     best = F.row_number().over(w.orderBy(F.desc_nulls_last("score"), "id")) == 1

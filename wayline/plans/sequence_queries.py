@@ -7,6 +7,7 @@ from pyspark.sql import Window as W, functions as F
 from ..functions.sun import epoch_seconds
 from ..operators import sequences as Q, spacetime as S
 from ..operators.route import route_gradients
+from ..operators.similarity import greedy_similarity_groups
 from .aggregate_queries import ROUTE
 from .book import Book
 from .function_queries import SUN_STEPS, TWILIGHT
@@ -160,16 +161,65 @@ def sessions(v):
     return Q.gap_sessions(images(v), 1800).select("id", "session")
 
 
+def _hash(c: str) -> str:
+    """60 bits of a text's MD5, in SQL."""
+    return f"('0x' || substr(md5({c}), 1, 15))::BIGINT"
+
+
 def _bursts(v):
-    texts = v.documents.groupBy(F.col("doc_id").alias("k")).agg(F.min(F.xxhash64("text")).alias("hash"))
-    n = F.broadcast(v.documents.agg(F.greatest(F.max("doc_id") + 1, F.lit(1)).alias("n")))  # one row
-    return images(v).crossJoin(n).withColumn("k", F.col("id") % F.col("n")).join(texts, "k", "left").select("id", "ts", "hash", (F.col("id") * 37 % 101).cast("double").alias("score"))
+    hashes = v.media.select("id", F.conv(F.substring(F.md5(F.col("content_hash")), 1, 15), 16, 10).cast("long").alias("hash"))
+    hashes = hashes.withColumn("hash", F.when(F.col("id") % 17 != 0, F.col("hash")))
+    return images(v).join(hashes, "id").select("id", "ts", "hash", (F.col("id") * 37 % 101).cast("double").alias("score"))
+
+
+def _led(items: str, near: str) -> str:
+    """Leads of rows (g, n, id, item; n from 1 in each group) by going through each group in order, with the leaders so far as the state."""
+    return f"""i AS ({items}),
+r AS (SELECT g, n, id, item, id AS lead, [{{'k': id, 'x': item}}] AS heads FROM i WHERE n = 1
+ UNION ALL SELECT g, n, id, item, coalesce(hit, id), CASE WHEN hit IS NULL THEN list_append(heads, {{'k': id, 'x': item}}) ELSE heads END
+ FROM (SELECT i.g, i.n, i.id, i.item, r.heads, list_filter(r.heads, lambda h: coalesce({near}, false))[1].k AS hit FROM r JOIN i ON i.g = r.g AND i.n = r.n + 1))"""
+
+
+_BURSTS = _led(
+    f"""SELECT a.lead AS g, a.id, b.h AS item, row_number() OVER (PARTITION BY a.lead ORDER BY a.s, a.id) AS n
+ FROM g a JOIN (SELECT id AS k, CASE WHEN id % 17 <> 0 THEN {_hash('content_hash')} END AS h FROM {{media}}) b ON b.k = a.id""",
+    "bit_count(xor(h.x, i.item)) <= 24",
+)
+
+
+def _anchored_sql(minutes: int) -> str:
+    return f"""WITH RECURSIVE q AS (SELECT id, s, row_number() OVER (ORDER BY s, id) AS n FROM {_IMG}),
+g AS (SELECT n, id, s, id AS lead, s AS first FROM q WHERE n = 1 UNION ALL SELECT q.n, q.id, q.s, CASE WHEN q.s - g.first <= {minutes * 60} THEN g.lead ELSE q.id END, CASE WHEN q.s - g.first <= {minutes * 60} THEN g.first ELSE q.s END FROM g JOIN q ON q.n = g.n + 1)"""
 
 
-@query("W14_greedy_similarity_groups")
+@query("W14_greedy_similarity_groups", f"{_anchored_sql(240)},\n{_BURSTS}\nSELECT id, lead FROM r")
 def similar(v):
     grouped = Q.anchored_time_groups(_bursts(v), 240)
-    return Q.greedy_similarity_groups(grouped.select("group", F.col("ts").alias("ord"), "id", F.col("hash").alias("item")), Q.hamming_at_most(24))
+    return greedy_similarity_groups(grouped.select("group", F.col("ts").alias("ord"), "id", F.col("hash").alias("item")), "hamming", 24)
+
+
+_TAGGED = _led(
+    "SELECT user_id AS g, event_id AS id, list_sort(list_distinct(string_split(p_name, ' '))) AS item, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM {events} JOIN {part} ON p_partkey = event_id % 200 WHERE event_type = 'view'",
+    "len(list_intersect(h.x, i.item)) >= 2",
+)
+
+
+@query("W14b_groups_by_tags", f"WITH RECURSIVE {_TAGGED}\nSELECT id, lead FROM r")
+def similar_tags(v):
+    """Pictures of each user that share two keywords or more."""
+    tagged = v.events.where("event_type = 'view'").join(v.part, F.col("event_id") % 200 == F.col("p_partkey"))
+    rows = tagged.select(F.col("user_id").alias("group"), F.col("ts").alias("ord"), F.col("event_id").alias("id"), F.split("p_name", " ").alias("item"))
+    return greedy_similarity_groups(rows, "tags", 2)
+
+
+_VECTORS = _led("SELECT label AS g, vec_id AS id, embedding::DOUBLE[] AS item, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS n FROM {embeddings}", "list_cosine_similarity(h.x, i.item) >= 0.8")
+
+
+@query("W14c_groups_by_cosine", f"WITH RECURSIVE {_VECTORS}\nSELECT id, lead FROM r")
+def similar_vectors(v):
+    """Vectors of each label with a cosine of 0.8 or more."""
+    rows = v.embeddings.select(F.col("label").alias("group"), F.col("vec_id").alias("ord"), F.col("vec_id").alias("id"), F.col("embedding").alias("item"))
+    return greedy_similarity_groups(rows, "cosine", 0.8)
 
 
 @query("W15_best_of_group", "WITH r AS (SELECT id, carpeta, row_number() OVER (PARTITION BY carpeta ORDER BY altitude DESC NULLS LAST, id) AS n FROM {media}) SELECT id, carpeta FROM r WHERE n <= 3")
@@ -177,7 +227,10 @@ def best(v):
     return Q.best_of_group(v.media, "carpeta", "altitude", 3).select("id", "carpeta")
 
 
-@query("W16_clean_bursts")
+@query("W16_clean_bursts", f"""{_anchored_sql(240)},
+{_BURSTS},
+s AS (SELECT *, row_number() OVER (PARTITION BY lead ORDER BY (id * 37 % 101) DESC, id) = 1 AS kept, count(*) OVER (PARTITION BY lead) AS c FROM r)
+SELECT id, g AS "group", lead, kept, CASE WHEN c = 1 THEN 'unica' WHEN kept THEN 'mejor de su tanda' ELSE 'similar a otra mejor' END AS reason FROM s""")
 def bursts(v):
     return Q.clean_bursts(_bursts(v), 240, 24)
 
