@@ -10,7 +10,7 @@ from ..functions.weather import local_hour, wind_compass, wmo_label
 from ..plans.interval import interval_join, lerp, touching
 from ..plans.knn import cell_key, nearest
 from ..plans.stored import stored
-from ..plans.scan import last_known, next_known, ordered_bucket
+from ..plans.scan import last_known, next_known, ordered_bucket, running_sums
 
 
 def infer_gps_by_time(media: DataFrame) -> DataFrame:
@@ -151,34 +151,37 @@ def nearest_photos(keypoints: DataFrame, photos: DataFrame, k: int) -> DataFrame
     return nearest(keypoints, photos.withColumnRenamed("id", "photo_id"), k, "kp_id", "photo_id")
 
 
-def fill_by_time(keypoints: DataFrame, photos: DataFrame, found: DataFrame, k: int, bucket_s: float = 3600) -> DataFrame:
-    """kp_id, photo_id, delta_s: for keypoints (kp_id, t_s) with fewer than ``k`` rows in ``found``, the photos (id, t_s) nearest in time that aren't there yet.
+def fill_by_time(keypoints: DataFrame, photos: DataFrame, found: DataFrame, k: int) -> DataFrame:
+    """kp_id, photo_id, delta_s: for keypoints (kp_id, t_s) with fewer than ``k`` rows in ``found``, the photos (id, t_s) nearest in time that aren't there yet; ties go to the lesser id.
 
-    Buckets of time and their neighbours are joined; a keypoint that finds too few there tries buckets four times as wide, up to eight times; those left are compared with all.
+    Photos are numbered in the order of time, and each keypoint gets the number of the last photo at or before it. As many numbers below and above it
+    as it may need, those that it has already included, are looked up.
     """
     have = found.groupBy("kp_id").agg(F.count("*").alias("have"))
-    todo = keypoints.where("t_s IS NOT NULL").join(have, "kp_id", "left").withColumn("want", F.lit(k) - F.coalesce("have", F.lit(0))).where("want > 0").select("kp_id", "t_s", "want")
-    done = None
-    for r in range(10):
-        size, last = bucket_s * 4**r, r == 9
-        asked = todo.withColumn("_b", F.explode(F.array(*[F.floor(F.col("t_s") / size) + d for d in (-1, 0, 1)])))
-        taken = photos.select(F.col("id").alias("photo_id"), F.col("t_s").alias("p_s"), F.floor(F.col("t_s") / size).alias("_b"))
-        pairs = (todo.crossJoin(taken) if last else asked.join(taken, "_b")).join(found.select("kp_id", "photo_id"), ["kp_id", "photo_id"], "left_anti")
-        pairs = pairs.withColumn("delta_s", F.abs(F.col("p_s") - F.col("t_s"))).withColumn("r", F.row_number().over(W.partitionBy("kp_id").orderBy("delta_s", "photo_id"))).where("r <= want")
-        pairs = stored(pairs.select("kp_id", "photo_id", "delta_s", "want"), "filled")
-        settled = pairs.groupBy("kp_id").agg(F.count("*").alias("n"), F.max("want").alias("want"), F.max("delta_s").alias("far")).where(F.lit(last) | ((F.col("n") == F.col("want")) & (F.col("far") <= size))).select("kp_id")
-        got = pairs.join(settled, "kp_id", "left_semi").select("kp_id", "photo_id", "delta_s")
-        done = got if done is None else done.unionByName(got)
-        todo = stored(todo.join(settled, "kp_id", "left_anti"), "filled-todo")
-        if not todo.take(1):
-            break
-    return done
+    asked = keypoints.where("t_s IS NOT NULL").join(have, "kp_id", "left").select("kp_id", "t_s", F.coalesce("have", F.lit(0)).alias("have")).where(F.col("have") < k)
+    photos = photos.where("t_s IS NOT NULL")
+    near = None
+    for before in (True, False):
+        # of photos at one instant those of the least ids must be the nearest numbers, on either side
+        tie = -F.col("id") if before else F.col("id")
+        rows = photos.select("t_s", F.lit(0).alias("_kind"), tie.alias("_tie"), F.col("id").alias("photo_id"), F.lit(1.0).alias("_one"))
+        rows = rows.unionByName(asked.select("t_s", F.lit(1).alias("_kind"), F.col("kp_id").alias("_tie"), "kp_id", "have", F.lit(0.0).alias("_one")), allowMissingColumns=True)
+        order = ["t_s", "_kind", "_tie"]
+        rows = stored(running_sums(rows, ordered_bucket(rows, order), order, {"_at": F.col("_one")}).withColumn("_at", F.col("_at").cast("long")), "photos-numbered")
+        step = F.sequence(F.lit(1).cast("long"), F.lit(k) + F.col("have"))
+        numbers = F.transform(step, lambda x: F.col("_at") + 1 - x if before else F.col("_at") + x)  # noqa: B023
+        wanted = rows.where("_kind = 1").select("kp_id", "have", F.col("t_s").alias("_s"), F.explode(numbers).alias("_at"))
+        pairs = wanted.join(rows.where("_kind = 0").select("_at", "photo_id", "t_s"), "_at").select("kp_id", "photo_id", "have", F.abs(F.col("t_s") - F.col("_s")).alias("delta_s"))
+        near = pairs if near is None else near.unionByName(pairs)
+    new = near.join(found.select("kp_id", "photo_id"), ["kp_id", "photo_id"], "left_anti")
+    ranked = new.withColumn("r", F.row_number().over(W.partitionBy("kp_id").orderBy("delta_s", "photo_id")))
+    return ranked.where(F.col("r") <= F.lit(k) - F.col("have")).select("kp_id", "photo_id", "delta_s")
 
 
 def infer_time_from_position(texts: DataFrame, points: DataFrame, pass_hours: float = 2.0) -> DataFrame:
     """id, t_s: the time at which the route was at a text's place (id, lat, lon): that of the two nearest points, weighted by inverse distance.
 
-    Points have point_id, in the order of the route without gaps, t_s, lat, lon. If the two belong to different passes (over
+    Points have point_id, in the order of the route without gaps (of several tracks, with gaps between these), t_s, lat, lon. If the two belong to different passes (over
     ``pass_hours`` apart), the nearer of the first one's neighbours on the route takes the second one's place.
     """
     p = points.select(F.col("point_id"), F.col("t_s").alias("_t"), F.col("lat").alias("_la"), F.col("lon").alias("_lo"))

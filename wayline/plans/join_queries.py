@@ -119,7 +119,7 @@ def by_time(v):
 
 
 @query("J8_infer_time_from_position", f"""
-WITH p AS (SELECT row_number() OVER (ORDER BY time, latitude) AS n, epoch_us(time) / 1e6 AS t, latitude AS c, longitude AS d FROM {{track_points}} WHERE track_id = 4), x AS (SELECT id, latitude AS a, longitude AS b FROM {{media}} WHERE type = 'text' AND latitude IS NOT NULL),
+WITH p AS (SELECT track_id::BIGINT * 1000000000 + row_number() OVER (PARTITION BY track_id ORDER BY time, latitude) AS n, epoch_us(time) / 1e6 AS t, latitude AS c, longitude AS d FROM {{track_points}}), x AS (SELECT id, latitude AS a, longitude AS b FROM {{media}} WHERE type = 'text' AND latitude IS NOT NULL),
 r AS (SELECT id, a, b, n, t, {_hav('a', 'b', 'c', 'd')} AS m, row_number() OVER (PARTITION BY id ORDER BY {_hav('a', 'b', 'c', 'd')}, n) AS k FROM x, p), g AS (SELECT u.id, u.a, u.b, u.n, u.t AS t1, u.m AS d1, w.t AS t2, w.m AS d2 FROM r u JOIN r w ON w.id = u.id AND u.k = 1 AND w.k = 2),
 h AS (SELECT g.id, min(({_hav('g.a', 'g.b', 'c', 'd')}, p.n, p.t)) AS c FROM g JOIN p ON p.n IN (g.n - 1, g.n + 1) WHERE abs(t1 - t2) > 7200 GROUP BY g.id), z AS (SELECT g.id, t1, d1, CASE WHEN c IS NULL THEN t2 ELSE c[3] END AS t2, CASE WHEN c IS NULL THEN d2 ELSE c[1] END AS d2 FROM g LEFT JOIN h USING (id))
 SELECT id, round(CASE WHEN d1 + d2 = 0 THEN t1 ELSE (t1 * d2 + t2 * d1) / (d1 + d2) END, 1) AS t_s FROM z""")
@@ -127,7 +127,8 @@ def time_from_place(v):
     from pyspark.sql import Window as W
 
     at = [F.col("latitude").alias("lat"), F.col("longitude").alias("lon")]
-    route = v.track_points.where("track_id = 4").select(F.row_number().over(W.partitionBy("track_id").orderBy("time", "latitude")).cast("long").alias("point_id"), epoch_seconds(F.col("time")).alias("t_s"), *at)
+    number = F.row_number().over(W.partitionBy("track_id").orderBy("time", "latitude")).cast("long")
+    route = v.track_points.select((F.col("track_id").cast("long") * 1_000_000_000 + number).alias("point_id"), epoch_seconds(F.col("time")).alias("t_s"), *at)
     texts = v.media.where("type = 'text' AND latitude IS NOT NULL").select("id", *at)
     return S.infer_time_from_position(texts, route).select("id", F.round("t_s", 1).alias("t_s"))
 

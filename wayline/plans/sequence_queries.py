@@ -167,9 +167,10 @@ def _hash(c: str) -> str:
 
 
 def _bursts(v):
-    hashes = v.media.select("id", F.conv(F.substring(F.md5(F.col("content_hash")), 1, 15), 16, 10).cast("long").alias("hash"))
-    hashes = hashes.withColumn("hash", F.when(F.col("id") % 17 != 0, F.col("hash")))
-    return images(v).join(hashes, "id").select("id", "ts", "hash", (F.col("id") * 37 % 101).cast("double").alias("score"))
+    hashed = F.conv(F.substring(F.md5("text"), 1, 15), 16, 10).cast("long")
+    texts = v.documents.groupBy(F.col("doc_id").alias("k")).agg(F.min(hashed).alias("hash"))
+    n = F.broadcast(v.documents.agg(F.greatest(F.max("doc_id") + 1, F.lit(1)).alias("n")))  # one row
+    return images(v).crossJoin(n).withColumn("k", F.col("id") % F.col("n")).join(texts, "k", "left").select("id", "ts", "hash", (F.col("id") * 37 % 101).cast("double").alias("score"))
 
 
 def _led(items: str, near: str) -> str:
@@ -182,7 +183,7 @@ r AS (SELECT g, n, id, item, id AS lead, [{{'k': id, 'x': item}}] AS heads FROM
 
 _BURSTS = _led(
     f"""SELECT a.lead AS g, a.id, b.h AS item, row_number() OVER (PARTITION BY a.lead ORDER BY a.s, a.id) AS n
- FROM g a JOIN (SELECT id AS k, CASE WHEN id % 17 <> 0 THEN {_hash('content_hash')} END AS h FROM {{media}}) b ON b.k = a.id""",
+ FROM g a LEFT JOIN (SELECT doc_id, min({_hash('text')}) AS h FROM {{documents}} GROUP BY doc_id) b ON b.doc_id = a.id % (SELECT greatest(max(doc_id) + 1, 1) FROM {{documents}})""",
     "bit_count(xor(h.x, i.item)) <= 24",
 )
 

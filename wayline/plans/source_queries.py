@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators.loop import nested_spec
-from ..sources import readers as R, writers as S
+from ..sources import readers as R, tables as T, writers as S
 from ..streaming.jobs import selection_bursts
 from .book import Book
 
@@ -26,9 +26,18 @@ def catalog(v):
     return rows[0].unionByName(rows[1]).unionByName(rows[2])
 
 
-@query("S2_file_inventory", "SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS length, sha256(coalesce(html, '')) AS fingerprint FROM {pages}")
+@query("S2_file_inventory", "SELECT CAST(page_id % 10 AS INT) AS folder, 'text' AS type, CAST(strlen(coalesce(html, '')) + 1 AS BIGINT) AS length, sha256(coalesce(html, '') || chr(10)) AS fingerprint FROM {pages}")
 def inventory(v):
-    """Fingerprints of all pages; tests hold the listing of files against a folder."""
+    """A text file for each page, in ten folders, listed again: types, lengths and hashes of contents. Tests list other types and sidecars."""
+    out = _folder(v, "files")
+    pages = v.pages.select((F.col("page_id") % 10).alias("folder"), F.coalesce("html", F.lit("")).alias("value"))
+    pages.write.partitionBy("folder").option("maxRecordsPerFile", 1).text(out)
+    found = R.file_inventory(v.spark, out, full_hash=True)
+    return found.select(F.regexp_extract("path", r"folder=(\d+)", 1).cast("int").alias("folder"), "type", "length", "fingerprint")
+
+
+@query("S2b_page_fingerprints", "SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS length, sha256(coalesce(html, '')) AS fingerprint FROM {pages}")
+def page_fingerprints(v):
     return R.fingerprints(v.pages, "page_id", "html")
 
 
@@ -97,22 +106,85 @@ def merged(v):
     return count("skip").unionByName(count("update")).unionByName(count("replace"))
 
 
+@query("S9b_merge_stored", book.bodies["S9_merge_by_mode"])
+def merged_stored(v):
+    """The same on tables stored by partitions, read again after each merge."""
+    t, n = v.media.select("id", F.col("type").alias("v")), v.media.where("id % 5 = 0").select((F.col("id") * 2).alias("id"), F.lit("new").alias("v"))
+    out = None
+    for mode in ("skip", "update", "replace"):
+        path = _folder(v, f"merge-{mode}")
+        T.write_table(t, path, "v")
+        T.merge_table(v.spark, path, n, ["id"], mode, "v", F.col("v") == "image")
+        rows = v.spark.read.parquet(path).groupBy("v").agg(F.count("*").alias("n")).select(F.lit(mode).alias("mode"), "v", "n")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 @query("S10_dedup_ingest", "SELECT min(id) AS id, content_hash AS file_hash FROM {media} WHERE content_hash NOT IN (SELECT content_hash FROM {media} WHERE type = 'image') GROUP BY content_hash")
 def fresh(v):
     m = v.media.select("id", F.col("content_hash").alias("file_hash"))
     return S.dedup_ingest(m, v.media.where("type = 'image'").select("id", F.col("content_hash").alias("file_hash")))
 
 
-@query("S11_undo_batch", "SELECT 'media' AS what, count(*) AS n FROM {media} WHERE ingest_batch_id = 3 UNION ALL SELECT 'metadata', count(*) FROM {metadata} WHERE media_id IN (SELECT id FROM {media} WHERE ingest_batch_id = 3) UNION ALL SELECT 'left', count(*) FROM {media} WHERE ingest_batch_id IS DISTINCT FROM 3")
+_GONE = "(SELECT id FROM {media} WHERE ingest_batch_id = 3)"
+_LINKS = "(SELECT id AS message, CASE WHEN message_id % 2 = 0 THEN chat_id END AS media_id FROM {messages})"
+
+
+@query("S11_undo_batch", f"""SELECT 'media' AS what, count(*) AS n FROM {{media}} WHERE ingest_batch_id = 3 UNION ALL SELECT 'metadata', count(*) FROM {{metadata}} WHERE media_id IN {_GONE} UNION ALL SELECT 'keypoints', count(*) FROM {{keypoints}} WHERE media_id IN {_GONE}
+UNION ALL SELECT 'attachments', count(*) FROM {_LINKS} WHERE media_id IN {_GONE} UNION ALL SELECT 'media left', count(*) FROM {{media}} WHERE ingest_batch_id IS DISTINCT FROM 3 UNION ALL SELECT 'metadata left', count(*) FROM {{metadata}} WHERE media_id NOT IN {_GONE}
+UNION ALL SELECT 'keypoints left', count(*) FROM {{keypoints}} WHERE media_id NOT IN {_GONE} UNION ALL SELECT 'attachments left', count(*) FROM {_LINKS} UNION ALL SELECT 'attachments linked', count(media_id) FROM {_LINKS} WHERE media_id NOT IN {_GONE}""")
 def undone(v):
-    preview, left = S.undo_batch(v.media, {"metadata": v.metadata}, 3)
-    return preview.unionByName(left["media"].agg(F.count("*").alias("n")).select(F.lit("left").alias("what"), "n"))
+    links = v.messages.select(F.col("id").alias("message"), F.when(F.col("message_id") % 2 == 0, F.col("chat_id")).alias("media_id"))
+    preview, left = S.undo_batch(v.media, {"metadata": v.metadata, "keypoints": v.keypoints}, 3, {"attachments": links})
+    for name, df in left.items():
+        preview = preview.unionByName(df.agg(F.count("*").alias("n")).select(F.lit(f"{name} left").alias("what"), "n"))
+    return preview.unionByName(left["attachments"].agg(F.count("media_id").alias("n")).select(F.lit("attachments linked").alias("what"), "n"))
+
+
+# media whose positions came from a track, here by their ids
+_SOURCE = "CASE WHEN latitude IS NOT NULL THEN CASE id % 4 WHEN 0 THEN 'track_gps' WHEN 1 THEN 'track_interpolado' ELSE geolocation_source END END"
+_TRACK = "(SELECT min(time) AS a, max(time) AS b FROM {track_points} WHERE track_id = 2)"
+_IN_TRACK = f"(SELECT id FROM {{media}}, {_TRACK} WHERE timestamp_utc BETWEEN a AND b)"
+_KEYPOINTS = "(SELECT media_id, CASE WHEN id % 5 = 0 THEN 'ubicacion_video' ELSE key END AS key, CASE WHEN id % 2 = 0 THEN 'track_interpolado' ELSE 'gps_propio' END AS source FROM {keypoints})"
+_METADATA = "(SELECT media_id, CASE WHEN key = 'weather_label' AND media_id % 2 = 0 THEN 'ubicacion_video_gaps' ELSE key END AS key FROM {metadata})"
+
+
+def _track_tables(v):
+    read = lambda sql, **kw: v.spark.sql(sql, **kw)
+    return {
+        "media": v.media.withColumn("geolocation_source", F.expr(_SOURCE)), "keypoints": read(f"SELECT * FROM {_KEYPOINTS}", keypoints=v.keypoints), "metadata": read(f"SELECT * FROM {_METADATA}", metadata=v.metadata),
+        "tracks": v.track_points.groupBy("track_id").agg(F.min("time").alias("start_time"), F.max("time").alias("end_time")), "waypoints": v.track_points.where("elevation > 900").select("track_id", "latitude"),
+    }
 
 
-@query("S11b_undo_track", "SELECT id, CASE WHEN gone THEN NULL ELSE latitude END AS latitude, CASE WHEN gone THEN NULL ELSE geolocation_source END AS geolocation_source FROM (SELECT m.*, coalesce(geolocation_source = 'inferido_tiempo' AND timestamp_utc BETWEEN a AND b, false) AS gone FROM {media} m, (SELECT min(time) AS a, max(time) AS b FROM {track_points} WHERE track_id = 4))")
+@query("S11b_undo_track", f"""
+WITH m AS (SELECT *, {_SOURCE} AS src FROM {{media}}), x AS (SELECT m.*, coalesce(timestamp_utc BETWEEN a AND b, false) AS ins FROM m, {_TRACK}) SELECT id, CASE WHEN ins AND src = 'track_interpolado' THEN NULL ELSE latitude END AS latitude,
+ CASE WHEN ins AND src = 'track_interpolado' THEN NULL ELSE longitude END AS longitude, CASE WHEN ins AND src IN ('track_interpolado', 'track_gps') THEN NULL ELSE altitude END AS altitude, CASE WHEN ins AND src IN ('track_interpolado', 'track_gps') THEN NULL ELSE src END AS geolocation_source FROM x""")
 def track_undone(v):
-    m = v.media.crossJoin(F.broadcast(v.track_points.where("track_id = 4").agg(F.min("time").alias("a"), F.max("time").alias("b"))))  # one row
-    return S.undo_track(m, F.col("a"), F.col("b")).select("id", "latitude", "geolocation_source")
+    return S.undo_track(_track_tables(v), 2)[1]["media"].select("id", "latitude", "longitude", "altitude", "geolocation_source")
+
+
+@query("S11c_undo_track_counts", f"""
+WITH m AS (SELECT id, timestamp_utc, {_SOURCE} AS src FROM {{media}}) SELECT 'waypoints' AS what, count(*) AS n FROM {{track_points}} WHERE track_id = 2 AND elevation > 900 UNION ALL SELECT src, count(*) FROM m WHERE id IN {_IN_TRACK} AND src IN ('track_gps', 'track_interpolado') GROUP BY src
+UNION ALL SELECT 'ubicacion_video', count(*) FROM {_KEYPOINTS} WHERE key = 'ubicacion_video' UNION ALL SELECT 'media left', count(*) FROM {{media}} UNION ALL SELECT 'keypoints left', count(*) FROM {_KEYPOINTS} WHERE NOT (media_id IN {_IN_TRACK} AND (key = 'ubicacion_video' OR starts_with(key, 'contexto_') AND source = 'track_interpolado'))
+UNION ALL SELECT 'metadata left', count(*) FROM {_METADATA} WHERE NOT (media_id IN {_IN_TRACK} AND key IN ('ubicacion_video_estado', 'ubicacion_video_gaps')) UNION ALL SELECT 'tracks left', count(DISTINCT track_id) FROM {{track_points}} WHERE track_id <> 2 UNION ALL SELECT 'waypoints left', count(*) FROM {{track_points}} WHERE track_id <> 2 AND elevation > 900""")
+def track_undone_counts(v):
+    """The preview, and the rows that each table has left."""
+    preview, left = S.undo_track(_track_tables(v), 2)
+    for name, df in left.items():
+        preview = preview.unionByName(df.agg(F.count("*").alias("n")).select(F.lit(f"{name} left").alias("what"), "n"))
+    return preview
+
+
+@query("S11d_undo_stored_batch", f"SELECT 'media' AS what, type AS part, count(*) AS n FROM {{media}} WHERE ingest_batch_id IS DISTINCT FROM 3 GROUP BY type UNION ALL SELECT 'metadata', key, count(*) FROM {{metadata}} WHERE media_id NOT IN {_GONE} GROUP BY key")
+def stored_undone(v):
+    """Both tables stored by partitions, the batch removed from them, read again."""
+    at = {"media": (_folder(v, "media"), "type"), "metadata": (_folder(v, "metadata"), "key")}
+    for name, (path, by) in at.items():
+        T.write_table(getattr(v, name).select("id", "type", "ingest_batch_id") if name == "media" else v.metadata.select("media_id", "key"), path, by)
+    T.undo_stored_batch(v.spark, at, 3)
+    count = lambda name: v.spark.read.parquet(at[name][0]).groupBy(F.col(at[name][1]).alias("part")).agg(F.count("*").alias("n")).select(F.lit(name).alias("what"), "part", "n")
+    return count("media").unionByName(count("metadata"))
 
 
 @query("S12b_group_by_root", "SELECT carpeta || '/' || (id % 100) AS root, count(*) AS n FROM {media} WHERE carpeta IS NOT NULL GROUP BY 1")

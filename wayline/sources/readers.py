@@ -23,7 +23,8 @@ def load_catalog(spark: SparkSession, folder: str, names: list[str], schemas: di
 
 
 def file_inventory(spark: SparkSession, root: str, full_hash: bool = False, extensions: dict[str, str] = EXTENSIONS) -> DataFrame:
-    """path, type, length, fingerprint of all files under ``root`` with a known extension, no sidecars: size and time, or, in full, the hash of the content (else contents aren't read)."""
+    """path, type, length, fingerprint of all files under ``root`` with a known extension, no sidecars: size and time, or, in full, the hash of the content (else contents aren't read). Spark's reader
+    leaves out empty files."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     kinds = F.create_map(*[F.lit(x) for kv in extensions.items() for x in kv])
     ext = F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1))
