@@ -28,6 +28,11 @@ def slug(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(fold(text), "[^a-z0-9]+", "_"), "^_+|_+$", "")
 
 
+def natural_order(text: Column) -> Column:
+    """What to sort names by so that case and accents don't count, as in a dictionary: the trimmed text under a collation."""
+    return F.collate(F.trim(text), "UNICODE_CI_AI")
+
+
 def json_list(text: Column) -> Column:
     """The strings of a JSON array, or null."""
     return F.when(text.startswith("["), F.from_json(text, "array<string>"))

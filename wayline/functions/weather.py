@@ -14,8 +14,9 @@ WMO_LABELS = {
     71: "nieve ligera", 73: "nieve moderada", 75: "nieve intensa", 80: "tormenta ligera", 81: "tormenta moderada", 82: "tormenta intensa",
     95: "tormenta eléctrica", 96: "tormenta con granizo ligero", 99: "tormenta con granizo intenso",
 }
-COMPASS = "N NNE NE ENE E ESE SE SSE S SSO SO OSO O ONO NO NNO".split()
-WEEKDAYS = "lunes martes miércoles jueves viernes sábado domingo".split()
+# fixed values: directions of the wind, clockwise from the north, and days of the week from Monday
+COMPASS = ["N", "NNE", "NE", "ENE", "E", "ESE", "SE", "SSE", "S", "SSO", "SO", "OSO", "O", "ONO", "NO", "NNO"]
+WEEKDAYS = ["lunes", "martes", "miércoles", "jueves", "viernes", "sábado", "domingo"]
 
 
 def wmo_label(code: Column) -> Column:

@@ -63,6 +63,7 @@ def ambient_conditions() -> list[tuple[str, str, Column]]:
     cloudy = F.when(c("cloud_pct") >= 70, True).when(c("cloud_pct") <= 20, False).otherwise(c("code") == 3)
     clear = F.when(c("cloud_pct") <= 20, True).when(c("cloud_pct") >= 70, False).otherwise(c("code").isin(0, 1))
     day = F.coalesce("twilight_period", F.lit("")).isin("dia", "")
+    # fixed values: families, their texts and bounds
     return [
         ("alba", "Salió el sol", c("sun_elevation").between(0, 3)),
         ("mediodia", "Es el mediodía", F.abs("secs_since_noon") <= 900),

@@ -273,3 +273,27 @@ def transcript_keypoints(media: DataFrame, transcripts: DataFrame) -> DataFrame:
     said = transcripts.select("media_id", F.explode(F.from_json("segments", SEGMENTS)).alias("x")).where(F.trim("x.texto") != "")
     offset = F.coalesce("x.inicio", F.lit(0.0))
     return said.join(base, "media_id").select("media_id", offset.alias("offset_secs"), (F.col("_s") + offset).alias("t_s"), F.lit("transcription").alias("key"), F.trim("x.texto").alias("value"))
+
+
+#: What the analysis of a video says of each scene.
+ANALYSIS = "struct<escenas:array<struct<inicio:double,keywords:array<string>,descripcion:string>>>"
+
+
+def scene_keypoints(media: DataFrame, analyses: DataFrame) -> DataFrame:
+    """media_id, offset_secs, t_s, key, value: keypoints of the scenes in analyses (media_id, analysis: JSON) of media that have a time.
+
+    A scene with keywords has one keypoint with all of them and one for each; one with a description has one for that. Blank ones don't count; analyses that
+    aren't JSON objects have no scenes. A scene without a start begins at 0.
+    """
+    base = media.where("timestamp_utc IS NOT NULL").select(F.col("id").alias("media_id"), epoch_seconds(F.col("timestamp_utc")).alias("_s"))
+    scene = analyses.select("media_id", F.explode(F.from_json("analysis", ANALYSIS)["escenas"]).alias("x"))
+    words = F.filter(F.transform(F.coalesce("x.keywords", F.array().cast("array<string>")), lambda w: F.trim(w)), lambda w: w != "")
+    told = F.trim(F.coalesce("x.descripcion", F.lit("")))
+    scene = scene.select("media_id", F.coalesce("x.inicio", F.lit(0.0)).alias("offset_secs"), words.alias("w"), told.alias("d"))
+    row = lambda key, value: F.struct(F.lit(key).alias("key"), value.alias("value"))
+    some = lambda when, rows: F.when(when, rows).otherwise(F.array().cast("array<struct<key:string,value:string>>"))
+    all_words = some(F.size("w") > 0, F.array(row("escena", F.array_join("w", ", "))))
+    each = some(F.size("w") > 0, F.transform("w", lambda w: row("keyword", w)))
+    keypoints = F.concat(all_words, each, some(F.col("d") != "", F.array(row("descripcion_escena", F.col("d")))))
+    out = scene.join(base, "media_id").select("media_id", "offset_secs", (F.col("_s") + F.col("offset_secs")).alias("t_s"), F.explode(keypoints).alias("k"))
+    return out.select("media_id", "offset_secs", "t_s", "k.key", "k.value")

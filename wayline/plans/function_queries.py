@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import colour, geo, sun, text, weather
+from ..functions.palette import palette_rows
+from ..functions.sql import register
 from ..operators.language import glossary_translation, merge_glossary, translate_labels
 from ..operators.published import embedding_text
 from .book import Book
@@ -108,14 +110,7 @@ def colour_distance(v):
     return m.select("id", F.round(colour.redmean(*a, *b), 6).alias("redmean"), F.round(colour.hsv_saturation(*a), 6).alias("saturation"), colour.to_hex(*a).alias("hex"))
 
 
-# fixed values: names and codes of the CSS standard, with a basic Spanish name each
-PALETTE = [
-    ("black", "negro", "#000000"), ("white", "blanco", "#ffffff"), ("gray", "gris", "#808080"), ("silver", "gris", "#c0c0c0"), ("dimgray", "gris", "#696969"), ("slategray", "gris", "#708090"),
-    ("red", "rojo", "#ff0000"), ("crimson", "rojo", "#dc143c"), ("tomato", "rojo", "#ff6347"), ("orange", "naranja", "#ffa500"), ("darkorange", "naranja", "#ff8c00"), ("gold", "amarillo", "#ffd700"),
-    ("khaki", "amarillo", "#f0e68c"), ("yellow", "amarillo", "#ffff00"), ("lime", "verde", "#00ff00"), ("green", "verde", "#008000"), ("olive", "verde", "#808000"), ("teal", "verde", "#008080"),
-    ("turquoise", "verde", "#40e0d0"), ("blue", "azul", "#0000ff"), ("navy", "azul", "#000080"), ("steelblue", "azul", "#4682b4"), ("skyblue", "azul", "#87ceeb"), ("purple", "violeta", "#800080"),
-    ("orchid", "violeta", "#da70d6"), ("indigo", "violeta", "#4b0082"), ("pink", "rosa", "#ffc0cb"), ("hotpink", "rosa", "#ff69b4"), ("chocolate", "marrón", "#d2691e"), ("sienna", "marrón", "#a0522d"),
-]
+PALETTE = palette_rows()
 _PALETTE_SQL = "(VALUES " + ", ".join(f"('{c}', '{b}', CAST('0x{h[1:3]}' AS INT), CAST('0x{h[3:5]}' AS INT), CAST('0x{h[5:7]}' AS INT))" for c, b, h in PALETTE) + ") p(css, basic, pr, pg, pb)"
 _NAMES_SQL = f"""
 WITH x AS ({_RGB.format('color_1_hex')}), d AS (SELECT id, r, g, b, css, basic, sqrt((2 + (r + pr) / 2.0 / 256) * (r - pr) * (r - pr) + 4 * (g - pg) * (g - pg) + (2 + (255 - (r + pr) / 2.0) / 256) * (b - pb) * (b - pb)) AS d FROM x, {_PALETTE_SQL}),
@@ -282,6 +277,33 @@ def folded(v):
     return v.nation.select("n_name", text.fold(F.col("n_name")).alias("folded"), text.slug(F.col("n_name")).alias("slug")).distinct()
 
 
+_WORDS = f"[A-Za-z{text.ACCENTED}]+"
+
+
+@query("H22b_natural_order", f"""
+WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(text, '{_WORDS}')) AS word FROM {{documents}}) SELECT word, CAST(rank() OVER (PARTITION BY lower(strip_accents(word))[1] ORDER BY lower(strip_accents(word))) AS INT) AS place FROM w""")
+def dictionary(v):
+    """All words of all texts, ranked under their first letter; words that differ in case and accents share a rank."""
+    from pyspark.sql import Window as W
+
+    words = v.documents.select(F.explode(F.regexp_extract_all("text", F.lit(_WORDS), F.lit(0))).alias("word")).distinct()
+    first = F.substring(text.fold(F.col("word")), 1, 1)
+    return words.withColumn("place", F.rank().over(W.partitionBy(first).orderBy(text.natural_order(F.col("word")))))
+
+
+@query("H0_functions_in_sql", """
+SELECT id, CASE WHEN latitude IS NOT NULL THEN round(2 * 6371000 * asin(sqrt(least(1.0, pow(sin(radians(-34.6 - latitude) / 2), 2) + cos(radians(latitude)) * cos(radians(-34.6)) * pow(sin(radians(-58.4 - longitude) / 2), 2)))), 3) END AS metres, CASE WHEN starts_with(color_1_hex, '#') THEN ('0x' || substr(color_1_hex, 2, 2))::INT END AS red,
+ hour(timestamp_utc - INTERVAL 3 HOUR) + minute(timestamp_utc) / 60 + floor(second(timestamp_utc)) / 3600 AS hour, ['lunes', 'martes', 'miércoles', 'jueves', 'viernes', 'sábado', 'domingo'][isodow(timestamp_utc - INTERVAL 3 HOUR)] AS day, trim(regexp_replace(lower(municipio), '[^a-z0-9]+', '_', 'g'), '_') AS slug, CAST(bit_count(xor(id, 12345)) AS INT) AS bits FROM {media}""")
+def in_sql(v):
+    """The functions that ``register`` enters, called in SQL."""
+    register(v.spark, "wayline_")
+    return v.spark.sql(
+        """SELECT id, round(wayline_haversine_m(latitude, longitude, -34.6D, -58.4D), 3) AS metres, wayline_colour_red(color_1_hex) AS red, wayline_local_hour(timestamp_utc) AS hour,
+ wayline_weekday_local(timestamp_utc) AS day, wayline_slug(municipio) AS slug, wayline_hamming_bits(id, 12345L) AS bits FROM {media}""",
+        media=v.media,
+    )
+
+
 @query("H23_vector_similarity", """
 WITH f AS (SELECT label, min(vec_id) AS lead FROM {embeddings} GROUP BY label)
 SELECT e.vec_id, round(list_cosine_similarity(e.embedding::DOUBLE[], l.embedding::DOUBLE[]), 6) AS cosine, CAST(bit_count(xor(e.vec_id, l.vec_id)) AS INT) AS hamming FROM {embeddings} e JOIN f ON f.label = e.label JOIN {embeddings} l ON l.vec_id = f.lead""")

@@ -252,3 +252,17 @@ def scene_list(v):
 def spoken(v):
     listed = v.segments.groupBy("media_id").agg(F.to_json(F.collect_list(F.struct("inicio", "fin", "texto"))).alias("segments"))
     return Q.transcript_keypoints(v.media, listed).withColumn("t_s", F.round("t_s", 3))
+
+
+_SCENES = "(SELECT media_id, inicio, CASE WHEN inicio % 2 = 0 THEN string_split(texto, ' ')[1:3] ELSE [] END AS w, CASE WHEN inicio % 3 = 0 THEN '  ' ELSE texto END AS d FROM {segments})"
+
+
+@query("W18b_scene_keypoints", f"""
+WITH s AS (SELECT media_id, inicio, list_filter(list_transform(w, lambda x: trim(x)), lambda x: x <> '') AS w, trim(d) AS d FROM {_SCENES}), k AS (SELECT media_id, inicio, 'escena' AS key, array_to_string(w, ', ') AS value FROM s WHERE len(w) > 0
+ UNION ALL SELECT media_id, inicio, 'keyword', unnest(w) FROM s UNION ALL SELECT media_id, inicio, 'descripcion_escena', d FROM s WHERE d <> '')
+SELECT media_id, inicio AS offset_secs, round({_T} + inicio, 3) AS t_s, key, value FROM k JOIN {{media}} m ON m.id = media_id WHERE timestamp_utc IS NOT NULL""")
+def seen(v):
+    words = F.when(F.col("inicio") % 2 == 0, F.slice(F.split("texto", " "), 1, 3)).otherwise(F.array().cast("array<string>"))
+    scene = F.struct("inicio", words.alias("keywords"), F.when(F.col("inicio") % 3 == 0, "  ").otherwise(F.col("texto")).alias("descripcion"))
+    listed = v.segments.groupBy("media_id").agg(F.to_json(F.struct(F.collect_list(scene).alias("escenas"))).alias("analysis"))
+    return Q.scene_keypoints(v.media, listed).withColumn("t_s", F.round("t_s", 3))

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators.loop import nested_spec
+from ..operators.loop import loop_spec, nested_spec
 from ..sources import readers as R, tables as T, writers as S
 from ..streaming.jobs import selection_bursts
 from .book import Book
+from .loop_queries import LOOP_PLACES
+from .sequence_queries import hourly_media
 
 book = Book()
 query = book.query
@@ -86,12 +88,14 @@ def snapshot(v):
     return v.spark.read.parquet(out).select("id", "type")
 
 
-@query("S8_write_loop_spec", "SELECT type AS kind, count(*) AS n FROM {media} WHERE timestamp_utc IS NOT NULL GROUP BY type")
+@query("S8_write_loop_spec", LOOP_PLACES)
 def spec(v):
+    """All media placed in a loop, written as nested JSON and read again, item by item."""
     out = _folder(v, "spec")
-    rows = v.media.where("timestamp_utc IS NOT NULL").select(F.col("type").alias("kind"), "id", F.lit(0).alias("seg_i"), F.lit(0.0).alias("t_loop"), F.lit("").alias("text"))
-    S.write_loop_spec(nested_spec(rows), out)
-    return v.spark.read.json(out).groupBy("kind").agg(F.sum(F.size("items")).alias("n"))
+    media = hourly_media(v).select("id", "type", "subtype", "hour")
+    S.write_loop_spec(nested_spec(loop_spec(media, media.limit(0).withColumn("text", F.lit("")), [7, 16, 13, 18], 300)), out)
+    items = v.spark.read.json(out).select("kind", F.explode("items").alias("x"))
+    return items.select("kind", "x.id", F.col("x.seg_i").cast("int").alias("seg_i"), F.round("x.t_loop", 4).alias("t_loop"))
 
 
 _NEW = "(SELECT id * 2 AS id, 'new' AS v FROM {media} WHERE id % 5 = 0)"
