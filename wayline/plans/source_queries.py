@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from ..operators.loop import loop_spec, nested_spec
 from ..sources import readers as R, tables as T, writers as S
-from ..streaming.jobs import selection_bursts
+from ..streaming.bursts import BURST, HOURS, selection_stream
+from ..streaming.jobs import incremental_ingest, selection_bursts
 from .book import Book
 from .loop_queries import LOOP_PLACES
 from .sequence_queries import hourly_media
@@ -221,3 +222,52 @@ def ingested(v):
     m = m.crossJoin(half)
     first = S.dedup_ingest(m.where("id < half").drop("half"), m.limit(0).drop("half"))
     return first.unionByName(S.dedup_ingest(m.where("id >= half").drop("half"), first))
+
+
+def _messages(v):
+    """Choices as messages: hours (some of them none) and kinds."""
+    hour = (F.hour("ts") + F.col("event_id") % 5).cast("string")
+    is_hour = F.col("event_id") % 3 == 0
+    return v.events.where("ts IS NOT NULL").select(F.col("ts").cast("timestamp").alias("ts"), "user_id", F.when(is_hour, HOURS).otherwise("tags").alias("grp"), F.when(is_hour, hour).otherwise(F.col("event_type")).alias("value"))
+
+
+@query("R1b_selection_stream", """
+WITH e AS (SELECT user_id, CAST(ts AS TIMESTAMP) AS ts, event_id % 3 = 0 AS h, CASE WHEN event_id % 3 = 0 THEN CAST(hour(ts) + event_id % 5 AS VARCHAR) ELSE event_type END AS v FROM {events} WHERE ts IS NOT NULL), b AS (SELECT *, CASE WHEN ts - lag(ts) OVER w < INTERVAL 2 HOUR THEN 0 ELSE 1 END AS new FROM e WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM b), t AS (SELECT user_id, k, v, min(ts) AS o FROM s WHERE NOT h GROUP BY user_id, k, v), l AS (SELECT user_id, k, string_agg(v, ',' ORDER BY o, v) AS tags FROM t GROUP BY user_id, k),
+h AS (SELECT user_id, k, string_agg(v, ',' ORDER BY v::INT) AS hours FROM (SELECT DISTINCT user_id, k, v FROM s WHERE h AND v::INT < 24) GROUP BY user_id, k), g AS (SELECT user_id, k, min(ts) AS start, count(*) AS n FROM s GROUP BY user_id, k)
+SELECT g.user_id, strftime(start, '%Y-%m-%d %H:%M:%S') AS start, n, coalesce(hours, '') AS hours, coalesce(tags, '') AS tags FROM g LEFT JOIN l ON l.user_id = g.user_id AND l.k = g.k LEFT JOIN h ON h.user_id = g.user_id AND h.k = g.k""")
+def burst_stream(v):
+    """All messages delivered as files in three parts, in the order of time; the stream picks each up where it has left off. A last message, a month on, ends all bursts."""
+    at, messages = _folder(v, "bursts"), _messages(v)
+    low, high = messages.agg(F.min("ts"), F.max("ts")).first()
+    part = F.floor(3 * (F.unix_micros("ts") - F.unix_micros(F.lit(low))) / (F.unix_micros(F.lit(high)) - F.unix_micros(F.lit(low)) + 1))
+    end = messages.limit(1).select((F.lit(high) + F.expr("INTERVAL 30 DAYS")).alias("ts"), F.lit(-1).cast(messages.schema["user_id"].dataType).alias("user_id"), F.lit("end").alias("grp"), F.lit(None).cast("string").alias("value"))
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = v.spark.conf.get(key)
+    v.spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        for k in range(4):
+            (messages.where(part == k) if k < 3 else end).write.mode("append").parquet(f"{at}/in")
+            stream = v.spark.readStream.schema(messages.schema).parquet(f"{at}/in")
+            run = selection_stream(stream, 7_200_000, "1 minute").writeStream.foreachBatch(lambda rows, n: rows.write.mode("overwrite").parquet(f"{at}/out/batch={n}"))
+            run.option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start().awaitTermination()
+    finally:
+        v.spark.conf.set(key, before)
+    out = v.spark.read.schema(BURST).parquet(f"{at}/out").where("user_id >= 0")
+    text = lambda c: F.array_join(F.coalesce(c, F.array().cast("array<string>")), ",")
+    return out.select("user_id", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "n", text(F.col("hours").cast("array<string>")).alias("hours"), text(F.col("chosen")["tags"]).alias("tags"))
+
+
+@query("R2b_ingest_stream", "SELECT min(id) AS id, content_hash AS file_hash FROM {media} GROUP BY content_hash")
+def ingest_stream(v):
+    """All media delivered as files in two parts, of which the second repeats hashes of the first."""
+    at = _folder(v, "ingest")
+    rows = v.media.select(F.coalesce(F.col("timestamp_utc").cast("timestamp"), F.lit("2024-01-01").cast("timestamp")).alias("ts"), "id", F.col("content_hash").alias("file_hash"))
+    half = rows.agg(F.max("id")).first()[0] or 0
+    for part in (F.col("id") < half / 2, F.col("id") >= half / 2):
+        # of equal hashes in a delivery that with the least id comes
+        least = rows.where(part).groupBy("file_hash").agg(F.min(F.struct("id", "ts")).alias("r"))
+        least.select("r.ts", "r.id", "file_hash").write.mode("append").parquet(f"{at}/in")
+        stream = v.spark.readStream.schema("ts timestamp, id long, file_hash string").parquet(f"{at}/in")
+        incremental_ingest(stream, f"{at}/out", f"{at}/state", "400 days").awaitTermination()
+    return v.spark.read.parquet(f"{at}/out").select("id", "file_hash")

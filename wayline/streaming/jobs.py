@@ -18,18 +18,38 @@ def selection_bursts(stream: DataFrame, gap: str = "700 milliseconds", late: str
     return bursts.select("user_id", F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "n", "values")
 
 
+#: Hex digits of a fingerprint that say where it is kept.
+PREFIX = 2
+
+
+def known_fingerprints(spark: SparkSession, seen: str, batch: DataFrame, before: int) -> DataFrame:
+    """file_hash of what batches before ``before`` have brought, from those folders of ``seen`` that fingerprints of ``batch`` can lie in."""
+    prefixes = [r[0] for r in batch.select(F.substring("file_hash", 1, PREFIX)).distinct().collect()]  # 16 ** PREFIX at most, for hashes in hex
+    path = spark._jvm.org.apache.hadoop.fs.Path(seen)
+    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        return batch.limit(0).select("file_hash")
+    rows = spark.read.schema("file_hash string, prefix string, batch long").parquet(seen)
+    return rows.where(F.col("prefix").isin(prefixes) & (F.col("batch") < before)).select("file_hash")
+
+
 def incremental_ingest(stream: DataFrame, target: str, checkpoint: str, late: str = "1 day"):
-    """Append rows of ``stream`` (ts, id, file_hash, ...) to the Parquet table ``target`` unless their file_hash has been seen, in the stream's recent past or in the table. Returns the running query."""
+    """Append rows of ``stream`` (ts, id, file_hash, ...) to the Parquet table ``target`` unless their file_hash has been seen, in the stream's recent past or ever. Returns the running query.
+
+    Fingerprints are kept beside the rows, in ``target``_seen, in folders by their first digits and with Bloom filters, so a batch reads only folders (and of
+    these only files) that may hold its own, never the target. Both tables are written by batch: a batch that is repeated after a failure replaces what it wrote.
+    """
+    seen = f"{target.rstrip('/')}_seen"
 
-    def add(batch: DataFrame, _: int) -> None:
+    def add(batch: DataFrame, number: int) -> None:
         spark: SparkSession = batch.sparkSession
-        try:
-            known = spark.read.parquet(target).select("file_hash")
-        except Exception as e:  # the first batch: no table yet
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            known = batch.limit(0).select("file_hash")
-        dedup_ingest(batch, known).write.mode("append").parquet(target)
+        batch.persist()
+        fresh = dedup_ingest(batch, known_fingerprints(spark, seen, batch, number)).withColumn("batch", F.lit(number).cast("long"))
+        fresh.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(target)
+        added = spark.read.schema(fresh.schema).parquet(target).where(F.col("batch") == number)
+        hashes = added.select("file_hash", F.substring("file_hash", 1, PREFIX).alias("prefix"), "batch").repartition("prefix")
+        kept = hashes.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("parquet.bloom.filter.enabled#file_hash", "true")
+        kept.partitionBy("prefix", "batch").parquet(seen)
+        batch.unpersist()
 
     fresh = stream.withWatermark("ts", late).dropDuplicatesWithinWatermark(["file_hash"])
     return fresh.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
