@@ -67,7 +67,7 @@ def test_anchored_groups_by_doubling_equal_the_fold(spark):
 
 def test_greedy_groups_respect_the_threshold(spark):
     rows = spark.createDataFrame([(1, k, k, h) for k, h in enumerate([0, 1, 3, 255, 254, None])], "group long, ord long, id long, item long")
-    got = {r["id"]: r["lead"] for r in sequences.greedy_similarity_groups(rows, sequences.hamming_at_most(2)).collect()}
+    got = {r["id"]: r["lead"] for r in sequences.greedy_similarity_groups(rows, "hamming", 2).collect()}
     assert got == {0: 0, 1: 0, 2: 0, 3: 3, 4: 3, 5: 5}
 
 

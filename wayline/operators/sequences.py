@@ -143,15 +143,15 @@ def _metres(a, b) -> float:
     return 2 * 6_371_000 * asin(sqrt(min(1.0, x)))
 
 
-def infer_timestamps_by_rank(media: DataFrame, order: str = "id") -> DataFrame:
+def infer_timestamps_by_rank(media: DataFrame, order: str = "id", bucket: Column | None = None) -> DataFrame:
     """id, timestamp_utc of media without a time that stand, in their folder's order, between two that have one: equally spaced between these.
 
     ``order`` is any column that can be sorted (a number, or a path as text); ties go by id, nulls come first. The anchors come from the whole folder, so that gaps
-    between them exist at all. Folders are cut into ranges of that order, which hold about as many rows each: ranks and anchors are
-    found within each range, and one row a range carries them over the folder. Rows without a folder have no result.
+    between them exist at all. Folders are cut into ranges of that order, which hold about as many rows each (or by ``bucket``, which must rise with the
+    order): ranks and anchors are found within each range, and one row a range carries them over the folder. Rows without a folder have no result.
     """
     rows, place = media.where("carpeta IS NOT NULL"), list(dict.fromkeys([order, "id"]))
-    bucket = ordered_bucket(rows, ["carpeta", *place])
+    bucket = ordered_bucket(rows, ["carpeta", *place]) if bucket is None else bucket
     rows = rows.withColumns({"_b": bucket, "_s": epoch_seconds(F.col("timestamp_utc"))})
     w = W.partitionBy("carpeta", "_b").orderBy(*place)
     rows = rows.withColumn("_n", F.row_number().over(w)).withColumn("_a", F.when(F.col("_s").isNotNull(), F.struct(F.col("_n").alias("n"), F.col("_s").alias("s"))))
