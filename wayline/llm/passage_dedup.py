@@ -269,3 +269,14 @@ def passage_dedup(docs: DataFrame, length: int = 20, id_col: str = "doc_id", tex
 
 def op13_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passage_dedup(table(spark, sf_dir, "documents"), with_kept=False)
+
+
+OP13_SQL = r"""
+WITH d AS (SELECT row_number() OVER (ORDER BY doc_id NULLS FIRST) AS row, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+p AS (SELECT row, s, md5(array_to_string(w[s:s + 19], ' ')) AS h FROM (SELECT row, w, unnest(range(1, len(w) - 18)) AS s FROM d WHERE len(w) >= 20)),
+k AS (SELECT h, min((row, s)) AS first FROM p GROUP BY h HAVING count(*) > 1),
+g AS (SELECT DISTINCT row, unnest(range(s, s + 20)) AS place FROM (SELECT p.row, p.s FROM p JOIN k USING (h) WHERE (p.row, p.s) <> first)),
+t AS (SELECT row, unnest(w) AS word, generate_subscripts(w, 1) AS place FROM d),
+r AS (SELECT t.row, count(g.place) AS n, string_agg(word, ' ' ORDER BY t.place) FILTER (WHERE g.place IS NULL) AS kept FROM t LEFT JOIN g ON g.row = t.row AND g.place = t.place GROUP BY t.row)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN r USING (row)
+"""

@@ -7,7 +7,7 @@ from .jaccard_join import op1_jaccard_join
 from .line_dedup import OP4_SQL, op4_line_dedup
 from .merkle import OP11_SQL, op11_merkle_manifest
 from .packing import op3_packing
-from .passage_dedup import op13_passage_dedup
+from .passage_dedup import OP13_SQL, op13_passage_dedup
 from .quality_crf import op9_quality_classifier
 from .quality_rules import op7_quality_rules
 from .ranked_search import OP12_SQL, op12_ranked_search
@@ -36,4 +36,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_warc": OP10_SQL, "op11_merkle_manifest": OP11_SQL, "op12_ranked_search": OP12_SQL, "op4_line_dedup": OP4_SQL, "op5_decontamination": OP5_SQL}
+    return {"op10_warc": OP10_SQL, "op11_merkle_manifest": OP11_SQL, "op12_ranked_search": OP12_SQL, "op13_passage_dedup": OP13_SQL, "op4_line_dedup": OP4_SQL, "op5_decontamination": OP5_SQL}
