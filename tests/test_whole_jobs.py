@@ -70,6 +70,16 @@ def test_repeated_passages_in_blocks(spark, monkeypatch):
         assert {(*r[:3], round(r[3], 9)) for r in got} == want and len(got) == len(want)
 
 
+def test_repeated_passages_of_scaled_copies(spark, monkeypatch):
+    """Copies at other volumes are all equally near, whatever the last digits: the pairs of the least ids are returned, also where scores come in many parts."""
+    rng = np.random.default_rng(17)
+    base = rng.normal(size=33)
+    rows = [(k, (base * rng.uniform(0.1, 9) + rng.normal()).tolist()) for k in range(60)] + [(100 + k, rng.normal(size=20 + k % 20).tolist()) for k in range(40)]
+    monkeypatch.setattr(matching, "HELD", 640, raising=False)
+    got = matching.repeated_passages(spark.createDataFrame(rows, "id long, values array<double>"), top=70).collect()
+    assert [tuple(r) for r in got] == [(0, k, 0, 1.0) for k in range(1, 60)] + [(1, k, 0, 1.0) for k in range(2, 13)]
+
+
 @pytest.mark.parametrize("untimed_only", [False, True])
 def test_choose_track_against_all_pairs(spark, monkeypatch, untimed_only):
     monkeypatch.setattr(spacetime, "MANY_TRACKS", 1, raising=False)  # results once differed beyond it

@@ -80,38 +80,91 @@ def best_offset(long: np.ndarray, short: np.ndarray) -> tuple[int, float]:
     return int(k[0]), float(score[0])
 
 
-#: Sequences that are compared with so many others by one task at a time; of few sequences, so many blocks are made.
-BLOCK, LEAST_BLOCKS = 512, 8
+#: Sequences, and values of sequences, that one task compares with so many others at a time; of few sequences, so many blocks are made.
+BLOCK, BLOCK_VALUES, LEAST_BLOCKS = 8192, 1 << 19, 8
+#: Values of windows, and scores, that are held at once.
+HELD = 1 << 22
+
+
+def _best_pairs(values: list[np.ndarray], ids: np.ndarray, own: np.ndarray, within: bool, least: float, top: int) -> pd.DataFrame:
+    """a, b (a before b), offset, similarity: the ``top`` pairs, of ``least`` or more, of sequences in two blocks (``within``: in one).
+
+    For each length all windows of that length in sequences at least as long are brought to mean 0 and norm 1, as are the sequences of that length, and
+    multiplied in single precision. What may reach ``least``, or the ``top``-th pair found so far, given that precision's error, is scored again in double precision.
+    """
+    sizes = np.array([len(v) for v in values])
+    starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+    flat = np.concatenate(values)
+    found, floor, waiting = np.empty((0, 4)), least, []
+
+    def unit(x: np.ndarray) -> np.ndarray:
+        x = x - x.mean(1, keepdims=True)
+        norms = np.sqrt((x**2).sum(1, keepdims=True))
+        return np.divide(x, norms, out=np.zeros_like(x), where=norms > 0)
+
+    def settle() -> None:
+        """Of each pair the first of the best offsets, then the best pairs."""
+        nonlocal found, floor, waiting
+        x = np.concatenate([found, *waiting])
+        x = x[np.lexsort((x[:, 2], -x[:, 3], x[:, 1], x[:, 0]))]
+        x = x[np.concatenate([[True], (x[1:, :2] != x[:-1, :2]).any(1)])] if len(x) else x
+        found, waiting = x[np.lexsort((x[:, 1], x[:, 0], -x[:, 3]))][:top], []
+        if len(found) == top:
+            floor = found[-1, 3]
+
+    for n in np.unique(sizes):
+        windows_of = np.lib.stride_tricks.sliding_window_view(flat, n)
+        error = (n + 16) * 2.0**-23
+        for side in (0,) if within else np.unique(own):
+            short = np.flatnonzero((sizes == n) & (within | (own == side)))
+            long = np.flatnonzero((sizes >= n) & (within | (own != side)))
+            if not len(short) or not len(long):
+                continue
+            exact = unit(windows_of[starts[short]])
+            counts = sizes[long] - n + 1
+            row = np.repeat(long, counts)
+            offset = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+            each = max(1, HELD // n)
+            for lo in range(0, len(row), each):
+                r, o = row[lo : lo + each], offset[lo : lo + each]
+                w = unit(windows_of[starts[r] + o])
+                single, few = w.astype(np.float32), max(1, HELD // len(r))
+                for k in range(0, len(short), few):
+                    s = short[k : k + few]
+                    i, j = np.nonzero(single @ exact[k : k + few].astype(np.float32).T >= np.float32(floor - error))
+                    # of two of one length the lesser id has the part of the longer
+                    other = (ids[r[i]] != ids[s[j]]) & ((sizes[r[i]] > n) | (ids[r[i]] < ids[s[j]]))
+                    i, j = i[other], j[other]
+                    for at in range(0, len(i), each):
+                        x, y = i[at : at + each], j[at : at + each]
+                        score = np.round(np.einsum("ij,ij->i", w[x], exact[k + y]), 9)
+                        good = score >= floor
+                        a, b = ids[r[x[good]]], ids[s[y[good]]]
+                        waiting.append(np.stack([np.searchsorted(ids, np.minimum(a, b)), np.searchsorted(ids, np.maximum(a, b)), o[x[good]], score[good]], 1))
+                        if sum(map(len, waiting)) > HELD // 64:
+                            settle()
+            settle()
+    a, b = found[:, 0].astype(int), found[:, 1].astype(int)
+    return pd.DataFrame({"id_a": ids[a], "id_b": ids[b], "offset": found[:, 2].astype(np.int32), "similarity": found[:, 3]})
 
 
 def repeated_passages(sequences: DataFrame, least: float = 0.8, seconds: float = 4.0, step_s: float = 0.5, top: int = 20, key: str | None = None) -> DataFrame:
     """id_a, id_b, offset, similarity: the ``top`` pairs of ``sequences`` (id, values: numbers ``step_s`` apart) of which the shorter sounds like a part of the longer.
 
     All pairs are compared, with ``key`` those of equal keys. The sequences are dealt to blocks, and each pair of blocks goes to a group, so no
-    task holds more than two blocks at a time; of each group the ``top`` pairs go on.
+    task holds more than two blocks at a time; of each group the ``top`` pairs go on. Similarities have nine decimals; ties go to the lesser ids.
     """
     enough = stored(sequences.where(F.size("values") * step_s >= seconds).select("id", "values", (F.col(key) if key else F.lit(0)).alias("k")), "passages")
-    blocks = max(LEAST_BLOCKS, -(-enough.count() // BLOCK))
+    n, n_values = enough.agg(F.count("*"), F.coalesce(F.sum(F.size("values")), F.lit(0))).first()
+    blocks = max(LEAST_BLOCKS, -(-n // BLOCK), -(-n_values // BLOCK_VALUES))
     rows = enough.withColumn("own", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     dealt = rows.select("k", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "values")
 
     def compare(f: pd.DataFrame) -> pd.DataFrame:
         f = f.sort_values("id", ignore_index=True)
         values = [np.asarray(v, float) for v in f["values"]]
-        sizes, ids, own, within = np.array([len(v) for v in values]), f.id.to_numpy(), f.own.to_numpy(), f.i[0] == f.j[0]
-        of_size = {n: np.flatnonzero(sizes == n) for n in np.unique(sizes)}
-        stacked = {n: np.stack([values[r] for r in at]) for n, at in of_size.items()}
-        rows = [np.empty((0, 4))]
-        for r in range(len(f)):
-            for n, at in of_size.items():
-                mine = ((at != r) if n < sizes[r] else (at > r)) & (ids[at] != ids[r]) & (within | (own[at] != own[r])) & (n <= sizes[r])
-                if mine.any():
-                    offset, score = best_offsets(values[r], stacked[n][mine])
-                    good = score >= least
-                    rows.append(np.stack([np.full(good.sum(), r), at[mine][good], offset[good], score[good]], 1))
-        r, s, offset, score = np.concatenate(rows).T
-        r, s = r.astype(int), s.astype(int)
-        out = pd.DataFrame({"id_a": np.minimum(ids[r], ids[s]), "id_b": np.maximum(ids[r], ids[s]), "offset": offset.astype(np.int32), "similarity": score})
-        return out.sort_values(["similarity", "id_a", "id_b"], ascending=[False, True, True]).head(top)
-
-    return dealt.groupBy("k", "i", "j").applyInPandas(compare, "id_a long, id_b long, offset int, similarity double").orderBy(F.desc("similarity"), "id_a", "id_b").limit(top)
+        return _best_pairs(values, f.id.to_numpy(), f.own.to_numpy(), f.i[0] == f.j[0], least, top)
+
+    # a pair of blocks is seconds of work, so as many tasks as there are cores, rather than as parts are large
+    pairs = dealt.repartition(min(blocks * (blocks + 1) // 2, 2000), "k", "i", "j")
+    return pairs.groupBy("k", "i", "j").applyInPandas(compare, "id_a long, id_b long, offset int, similarity double").orderBy(F.desc("similarity"), "id_a", "id_b").limit(top)
