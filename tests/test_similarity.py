@@ -5,6 +5,7 @@ import random
 
 import pytest
 
+from wayline.operators import similarity
 from wayline.operators.similarity import METRICS, first_leaders, greedy_similarity_groups
 from pyspark.sql import functions as F
 
@@ -66,3 +67,26 @@ def test_one_large_group(spark):
     rows = spark.range(100_000).select(F.lit(0).alias("group"), F.col("id").alias("ord"), "id", F.when(F.col("id") % 3 == 0, F.lit(77).cast("long")).otherwise(F.xxhash64((F.col("id") / 2).cast("long"))).alias("item"))
     out = greedy_similarity_groups(rows, "hamming", 5)
     assert out.count() == 100_000 and out.where("lead = 0").count() == 33_334
+
+
+@pytest.mark.parametrize("metric", ["cosine", "hamming"])
+@pytest.mark.parametrize("row_cost", [0, 200])
+def test_groups_in_rounds(spark, monkeypatch, metric, row_cost):
+    """A few items a round, the others in small parts; pairs for the rest where they cost nothing."""
+    for name, n in {"FIRST": 7, "MOST": 11, "PART": 13, "ROW_COST": row_cost}.items():
+        monkeypatch.setattr(similarity, name, n, raising=False)
+    rng = random.Random(5)
+    threshold, kind, near = NEAR[metric]
+    rows = [(k % 2, rng.randint(0, 60), k, x) for k, x in enumerate(items_of(metric, rng, 160))]
+    got = greedy_similarity_groups(spark.createDataFrame(rows, f"group int, ord int, id long, item {kind}"), metric, threshold).collect()
+    assert len(got) == len(rows) and {r["id"]: r["lead"] for r in got} == by_rule(rows, near)
+
+
+def test_where_most_are_near(spark, monkeypatch):
+    """Thousands of hashes of which each is near a twelfth of all others: no pairs are written."""
+    monkeypatch.setattr(similarity, "hamming_pairs", None)
+    monkeypatch.setitem(METRICS, "hamming", (None, *METRICS["hamming"][1:]))
+    rng = random.Random(3)
+    rows = [(0, k, k, rng.getrandbits(60)) for k in range(3000)]
+    got = greedy_similarity_groups(spark.createDataFrame(rows, "group int, ord int, id long, item long"), "hamming", 24).collect()
+    assert {r["id"]: r["lead"] for r in got} == by_rule(rows, lambda a, b: (a ^ b).bit_count() <= 24)
