@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 #: Under this saturation a colour counts as neutral.
@@ -31,28 +33,36 @@ def hsv_saturation(r: Column, g: Column, b: Column) -> Column:
 
 
 def colour_names(colours: DataFrame, palette: DataFrame, hex_col: str = "hex") -> DataFrame:
-    """``colours`` with css and basic: names from ``palette`` (css, basic, hex; at most a few hundred rows, so it is broadcast).
+    """``colours`` with css and basic: names from ``palette`` (css, basic, hex; at most a few hundred rows, so it goes with each task).
 
     A neutral colour is black, white or the nearest grey. Any other takes the nearest colour; if that is a neutral one, a real
     colour within 1.5 times its distance is preferred. Ties go to the name that comes first. Malformed colours get nulls.
     """
-    named = palette.select("css", "basic", *[channel(F.col("hex"), k).alias(c) for k, c in enumerate(("pr", "pg", "pb"))])
-    entries = F.broadcast(named.agg(F.sort_array(F.collect_list(F.struct("css", "basic", "pr", "pg", "pb"))).alias("entries")))
-    rgb = [channel(F.col(hex_col), k) for k in range(3)]
-    base = colours.withColumns({f"_{c}": v for c, v in zip("rgb", rgb, strict=True)}).crossJoin(entries)  # the palette is one row
+    entries = palette.select("css", "basic", *[channel(F.col("hex"), k).alias(c) for k, c in enumerate(("pr", "pg", "pb"))]).where("pr IS NOT NULL").collect()
+    entries = sorted(entries, key=lambda e: (e["css"], e["basic"]))  # the first of the least distances is that of the first name
+    css, basic = np.array([e["css"] for e in entries], object), np.array([e["basic"] for e in entries], object)
+    pr, pg, pb = (np.array([e[c] for e in entries], float) for c in ("pr", "pg", "pb"))
+    kept = {"any": np.full(len(entries), True), "grey": basic == "gris", "real": ~np.isin(basic, NEUTRAL_NAMES)}
+
+    @F.pandas_udf(", ".join(f"{k} struct<d:double,css:string,basic:string>" for k in kept))
+    def nearest(r: pd.Series, g: pd.Series, b: pd.Series) -> pd.DataFrame:
+        r, g, b = (c.to_numpy(float)[:, None] for c in (r, g, b))
+        m = (r + pr) / 2
+        far = np.sqrt((2 + m / 256) * (r - pr) * (r - pr) + 4 * (g - pg) * (g - pg) + (2 + (255 - m) / 256) * (b - pb) * (b - pb))
+        out = {}
+        for name, which in kept.items():
+            at = np.flatnonzero(which)
+            if len(at):
+                best = at[far[:, at].argmin(1)]
+                out[name] = [{"d": d, "css": c, "basic": x} for d, c, x in zip(far[np.arange(len(far)), best].tolist(), css[best], basic[best], strict=True)]
+            else:
+                out[name] = [None] * len(far)
+        return pd.DataFrame(out)
+
+    base = colours.withColumns({f"_{c}": channel(F.col(hex_col), k) for k, c in enumerate("rgb")}).withColumn("_near", nearest("_r", "_g", "_b"))
     r, g, b = F.col("_r"), F.col("_g"), F.col("_b")
-
-    def nearest(keep) -> Column:
-        of = F.transform(F.filter("entries", keep), lambda e: F.struct(redmean(r, g, b, e["pr"], e["pg"], e["pb"]).alias("d"), e["css"].alias("css"), e["basic"].alias("basic")))
-        return F.array_min(of)
-
-    base = base.withColumns({
-        "_any": nearest(lambda e: F.lit(True)),
-        "_grey": nearest(lambda e: e["basic"] == "gris"),
-        "_real": nearest(lambda e: ~e["basic"].isin(*NEUTRAL_NAMES)),
-    })
     neutral = hsv_saturation(r, g, b) < NEUTRAL
-    real = F.col("_any.basic").isin(*NEUTRAL_NAMES) & (F.col("_real.d") < F.col("_any.d") * 1.5)
+    real = F.col("_near.any.basic").isin(*NEUTRAL_NAMES) & (F.col("_near.real.d") < F.col("_near.any.d") * 1.5)
 
     def pick(field: str, grey: Column) -> Column:
         return (
@@ -60,9 +70,9 @@ def colour_names(colours: DataFrame, palette: DataFrame, hex_col: str = "hex") -
             .when(neutral & (F.greatest(r, g, b) < 45), "negro")
             .when(neutral & (F.least(r, g, b) > 200), "blanco")
             .when(neutral, grey)
-            .when(real, F.col(f"_real.{field}"))
-            .otherwise(F.col(f"_any.{field}"))
+            .when(real, F.col(f"_near.real.{field}"))
+            .otherwise(F.col(f"_near.any.{field}"))
         )
 
-    out = base.withColumns({"css": pick("css", F.col("_grey.css")), "basic": pick("basic", F.lit("gris"))})
-    return out.drop("_r", "_g", "_b", "_any", "_grey", "_real", "entries")
+    out = base.withColumns({"css": pick("css", F.col("_near.grey.css")), "basic": pick("basic", F.lit("gris"))})
+    return out.drop("_r", "_g", "_b", "_near")
