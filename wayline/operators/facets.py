@@ -100,16 +100,21 @@ def dominant_colours(cells: DataFrame, n: int = 3, columns: int = 4, rows: int =
     dx, dy = (F.col("cell") % columns - cx) / max(1.0, cx), (F.floor(F.col("cell") / columns) - cy) / max(1.0, cy)
     weight = F.greatest(F.lit(0.3), 1 - F.sqrt(dx * dx + dy * dy) * 0.7)
     rgb = [channel(F.col("hex"), k) for k in range(3)]
-    colours = cells.groupBy("media_id", "hex").agg(F.sum(F.col("freq") * weight).alias("f"), F.countDistinct("cell").alias("c")).withColumn("s", hsv_saturation(*rgb)).withColumn("grey", (F.greatest(*rgb) < 30) | (F.col("s") < 0.08))
-    top = colours.groupBy("media_id").agg(F.greatest(F.max("s"), F.lit(0.1)).alias("_top"))
-    score = F.col("f") * F.pow(F.lit(columns * rows) / F.col("c"), F.lit(2)) * (0.05 + 0.95 * F.col("s") / F.col("_top"))
-    scored = colours.join(top, "media_id").withColumn("score", score)
+    # all that follows works within a picture, whose cells are brought together once
+    each = cells.repartition("media_id").groupBy("media_id", "hex", "cell").agg(F.sum(F.col("freq") * weight).alias("f"))
+    colours = each.groupBy("media_id", "hex").agg(F.sum("f").alias("f"), F.count("cell").alias("c")).withColumns({f"_{c}": v for c, v in zip("rgb", rgb, strict=True)})
+    rgb = [F.col(f"_{c}") for c in "rgb"]
+    colours = colours.withColumn("s", hsv_saturation(*rgb)).withColumn("grey", (F.greatest(*rgb) < 30) | (F.col("s") < 0.08))
+    top = F.greatest(F.max("s").over(W.partitionBy("media_id")), F.lit(0.1))
+    score = F.col("f") * F.pow(F.lit(columns * rows) / F.col("c"), F.lit(2)) * (0.05 + 0.95 * F.col("s") / top)
+    scored = colours.withColumn("score", score)
     w = W.partitionBy("media_id").orderBy(F.desc("score"), "hex")
     before = F.max(F.when(~F.col("grey"), 1).otherwise(0)).over(w.rowsBetween(W.unboundedPreceding, -1))
     passed = scored.withColumn("late", F.col("grey") & (F.coalesce(before, F.lit(0)) == 1))
     ranked = passed.withColumn("rank", F.row_number().over(W.partitionBy("media_id").orderBy("late", F.desc("score"), "hex"))).where(F.col("rank") <= n)
-    full = cells.select("media_id").distinct().withColumn("rank", F.explode(F.array(*[F.lit(k) for k in range(1, n + 1)])))
-    return full.join(ranked.select("media_id", "rank", "hex"), ["media_id", "rank"], "left").fillna("#808080", ["hex"])
+    first = ranked.groupBy("media_id").agg(*[F.max(F.when(F.col("rank") == k, F.col("hex"))).alias(f"_{k}") for k in range(1, n + 1)])
+    listed = F.array(*[F.struct(F.lit(k).alias("rank"), F.coalesce(f"_{k}", F.lit("#808080")).alias("hex")) for k in range(1, n + 1)])
+    return first.select("media_id", F.explode(listed).alias("x")).select("media_id", "x.rank", "x.hex")
 
 
 def description_audit(descriptions: DataFrame, prefixes: list[str], openers: list[str]) -> DataFrame:
