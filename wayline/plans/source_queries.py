@@ -34,7 +34,9 @@ def inventory(v):
     """A text file for each page, in ten folders, listed again: types, lengths and hashes of contents. Tests list other types and sidecars."""
     out = _folder(v, "files")
     pages = v.pages.select((F.col("page_id") % 10).alias("folder"), F.coalesce("html", F.lit("")).alias("value"))
-    pages.write.partitionBy("folder").option("maxRecordsPerFile", 1).text(out)
+    # tasks move their files into place themselves; else the driver would move all of them, one by one
+    moved = {"mapreduce.fileoutputcommitter.algorithm.version": "2", "maxRecordsPerFile": 1}
+    pages.repartition(int(v.spark.conf.get("spark.sql.shuffle.partitions"))).write.partitionBy("folder").options(**moved).text(out)
     found = R.file_inventory(v.spark, out, full_hash=True)
     return found.select(F.regexp_extract("path", r"folder=(\d+)", 1).cast("int").alias("folder"), "type", "length", "fingerprint")
 
