@@ -213,3 +213,13 @@ def test_times_by_rank_in_parts_of_a_folder(spark):
     for bucket in (None, F.floor(F.col("id") / 7), F.lit(0)):
         got = {r["id"]: r["t_s"] for r in sequences.infer_timestamps_by_rank(media, bucket=bucket).collect()}
         assert got == pytest.approx(want) and len(want) > 50
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_work_on_small_groups_is_not_done_group_by_group(spark):
+    """Videos share tasks; a medium's weather is one row from the join on."""
+    assert "FlatMapGroupsInPandas" not in plan_of(registry.queries()["W8_video_positions"](spark, SMALL))
+    assert "min_by" not in plan_of(registry.queries()["J10_attach_weather"](spark, SMALL))

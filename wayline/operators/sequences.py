@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from math import asin, cos, radians, sin, sqrt
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
@@ -103,7 +106,7 @@ def video_positions(samples: DataFrame, gap_s: float, least_m: float, moving_kmh
     Samples off the track (no position) are left out. One in a segment over ``gap_s`` long is in a gap: a 'gap' row stands for each run, and for an end in one. Of the others
     the first is taken, the first of each slow run, one that is ``least_m`` or more from the last taken while moving, and the end; a gap forgets
     neither the last taken nor a pause. Taken rows nearer than ``least_m`` to the last kept go. Speeds, runs and gaps are windows; only
-    what was taken and kept last is state, so each video's rows (one every few seconds of its length) are folded in order by one call.
+    what was taken and kept last is state, so a task goes through the rows of its videos in order, and holds none of them.
     """
     on = samples.where("lat IS NOT NULL AND lon IS NOT NULL")
     along, prev = on.where(~F.col("is_end")), lambda c: F.lag(c).over(_per())
@@ -117,29 +120,35 @@ def video_positions(samples: DataFrame, gap_s: float, least_m: float, moving_kmh
     ends = on.where("is_end").join(along.select("media_id").distinct(), "media_id", "left_semi").withColumn("_gap", gap())
     steps = steps.unionByName(ends.where(~F.col("_gap")).select("media_id", "offset_s", F.lit("the end").alias("way"), "lat", "lon"))
 
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        out, taken, kept = [], None, None
-        for r in rows.sort_values(["offset_s", "way"]).itertuples():  # an end at a sample's own time comes after it
-            if r.way == "moving" and (taken is None or _metres(taken, r) < least_m):
-                continue
-            if r.way == "the end" and (taken is None or taken.offset_s >= r.offset_s):
-                continue
-            taken = r
-            if kept is None or _metres(kept, r) >= least_m:
-                out.append((r.media_id, r.offset_s, "position", r.lat, r.lon))
-                kept = r
-        return pd.DataFrame(out, columns=["media_id", "offset_s", "kind", "lat", "lon"])
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        taken, kept = None, None  # of the video that rows are at, which may have begun in an earlier batch
+        for rows in batches:
+            out = []
+            for n, m, *r, way in zip(*[rows[c].tolist() for c in ("n", "media_id", "offset_s", "lat", "lon", "way")], strict=True):
+                if n == 1:
+                    taken, kept = None, None
+                if way == "moving" and (taken is None or _metres(taken, r) < least_m):
+                    continue
+                if way == "the end" and (taken is None or taken[0] >= r[0]):
+                    continue
+                taken = r
+                if kept is None or _metres(kept, r) >= least_m:
+                    out.append((m, r[0], "position", r[1], r[2]))
+                    kept = r
+            yield pd.DataFrame(out, columns=["media_id", "offset_s", "kind", "lat", "lon"])
 
     schema = "media_id long, offset_s double, kind string, lat double, lon double"
     none = F.lit(None).cast("double")
     gaps = gaps.unionByName(ends.where("_gap").select("media_id", "offset_s")).select("media_id", "offset_s", F.lit("gap").alias("kind"), none.alias("lat"), none.alias("lon"))
-    return steps.groupBy("media_id").applyInPandas(fold, schema).unionByName(gaps)
-
+    # an end at a sample's own time comes after it; the window brings a video's rows together, in order, whatever partitions the union claims to have
+    number = F.row_number().over(W.partitionBy("media_id").orderBy("offset_s", "way"))
+    dealt = steps.select("media_id", "offset_s", "way", "lat", "lon", number.alias("n"))
+    return dealt.mapInPandas(fold, schema).unionByName(gaps)
 
-def _metres(a, b) -> float:
-    from math import asin, cos, radians, sin, sqrt
 
-    x = sin(radians(b.lat - a.lat) / 2) ** 2 + cos(radians(a.lat)) * cos(radians(b.lat)) * sin(radians(b.lon - a.lon) / 2) ** 2
+def _metres(a: list[float], b: list[float]) -> float:
+    """Between two of offset, lat, lon."""
+    x = sin(radians(b[1] - a[1]) / 2) ** 2 + cos(radians(a[1])) * cos(radians(b[1])) * sin(radians(b[2] - a[2]) / 2) ** 2
     return 2 * 6_371_000 * asin(sqrt(min(1.0, x)))
 
 
