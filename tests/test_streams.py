@@ -2,10 +2,11 @@
 
 import datetime as dt
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from wayline.streaming.bursts import bursts_of, selection_stream
+from wayline.streaming.bursts import BurstProcessor, bursts_of, selection_stream
 from wayline.streaming.jobs import incremental_ingest, known_fingerprints
 
 KIND = "ts timestamp, user_id long, grp string, value string"
@@ -61,3 +62,33 @@ def test_fingerprints_in_folders(spark, tmp_path):
     assert "prefix" in scan[scan.index("PartitionFilters") : scan.index("PushedFilters")]
     read = seen.select(F.input_file_name()).distinct().collect()
     assert read and all("prefix=cc" in r[0] for r in read)
+
+
+def test_one_timer_for_many_messages():
+    """Not one for each message: the earliest end of a burst, and after it the next one's."""
+    timers, held = [], []
+
+    class State:
+        exists = staticmethod(lambda: bool(held))
+        appendList = staticmethod(held.extend)
+        get = staticmethod(lambda: iter(held))
+
+        @staticmethod
+        def put(rows):
+            held[:] = rows
+
+    class Handle:
+        getListState = staticmethod(lambda *a: State)
+        registerTimer = staticmethod(timers.append)
+
+    p = BurstProcessor(700)
+    p.init(Handle)
+    ts = pd.to_datetime([0, 100, 200, 2000, 2300, 5000], unit="ms")
+    list(p.handleInputRows((1,), iter([pd.DataFrame({"ts": ts, "grp": "tags", "value": "a"})]), None))
+    assert timers == [900]
+
+    class Now:
+        getCurrentWatermarkInMs = staticmethod(lambda: 1000)
+
+    out = pd.concat(p.handleExpiredTimer((1,), Now, None))
+    assert out["n"].tolist() == [3] and timers == [900, 3000] and len(held) == 3

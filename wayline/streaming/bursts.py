@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
@@ -54,21 +54,29 @@ class BurstProcessor(StatefulProcessor):
         for frame in rows:
             new = [(ts, None if pd.isna(g) else g, None if pd.isna(v) else v) for ts, g, v in zip(frame["ts"], frame["grp"], frame["value"], strict=True)]
             self.messages.appendList([(ts.to_pydatetime(), g, v) for ts, g, v in new])
-            # a burst may end after any of these
-            for ts in {m[0] for m in new}:
-                self.handle.registerTimer(int(ts.timestamp() * 1000) + self.gap_ms)
+            self._wake(split_bursts(new, pd.Timedelta(self.gap_ms, "ms")))
         yield pd.DataFrame()
 
+    def _wake(self, bursts: Iterable[list[tuple]]) -> None:
+        """One timer, at the earliest end that is possible: whatever is held, its last message in a burst is the last in one of these, or has been before. What it finds incomplete waits for the next one."""
+        first = min((b[-1][0] for b in bursts), default=None)
+        if first is not None:
+            self.handle.registerTimer(-(-first.value // 1_000_000) + self.gap_ms)
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         now, gap = pd.Timestamp(timerValues.getCurrentWatermarkInMs(), unit="ms"), pd.Timedelta(self.gap_ms, "ms")
+        if not self.messages.exists():
+            return
         done, left = [], []
         for burst in split_bursts([(pd.Timestamp(m[0]), m[1], m[2]) for m in self.messages.get()], gap):
             if burst[-1][0] + gap <= now:
                 done.append(burst_row(key[0], burst))
             else:
-                left += burst
+                left.append(burst)
         if left:
-            self.messages.put([(ts.to_pydatetime(), g, v) for ts, g, v in left])
+            if done:
+                self.messages.put([(ts.to_pydatetime(), g, v) for burst in left for ts, g, v in burst])
+            self._wake(left)
         else:
             self.messages.clear()
         yield pd.DataFrame(done, columns=["user_id", "start", "end", "n", "hours", "chosen"]) if done else pd.DataFrame()
