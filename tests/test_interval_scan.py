@@ -114,6 +114,13 @@ def test_ranges_of_any_key(spark):
     assert scan.ordered_bucket(df.limit(0), ["path"], 8)._jc.toString() == "0"
 
 
+def test_a_range_is_looked_up_once_a_row(spark):
+    """The group of splitters and the splitter within it: two searches, for a key that is made once and not for each splitter."""
+    df = spark.range(4000).select("id", F.md5(F.col("id").cast("string")).alias("path"))
+    plan = df.select("id", scan.ordered_bucket(df, ["path", "id"], 64).alias("b"))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("filter(") == 2 and plan.count("struct(path, path#") == 1
+
+
 @pytest.mark.parametrize("order", ["id", "path"])
 def test_times_by_rank(spark, order):
     rng = random.Random(5)

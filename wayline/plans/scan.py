@@ -11,6 +11,8 @@ from math import isqrt
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from ..functions.text import let
+
 #: Keys that are drawn for each range.
 DRAWN = 32
 
@@ -29,11 +31,12 @@ def ordered_bucket(df: DataFrame, order: list[str], ranges: int | None = None) -
     splitters = [F.struct(*[F.lit(row[f.name]).cast(f.dataType).alias(f.name) for f in kinds]) for row in drawn[each::each]]
     if not splitters:
         return F.lit(0)
-    size, key = isqrt(len(splitters) - 1) + 1, F.struct(*order)
+    size = isqrt(len(splitters) - 1) + 1
     groups = [splitters[k : k + size] for k in range(0, len(splitters), size)]
-    upto = lambda found: F.size(F.filter(found, lambda s: s <= key))
-    group = upto(F.array(*[g[0] for g in groups]))
-    return F.when(group == 0, 0).otherwise((group - 1) * size + upto(F.get(F.array(*[F.array(*g) for g in groups]), group - 1)))
+    upto = lambda found, key: F.size(F.filter(found, lambda s: s <= key))
+    within = lambda key, group: F.when(group == 0, 0).otherwise((group - 1) * size + upto(F.get(F.array(*[F.array(*g) for g in groups]), group - 1), key))
+    # a key may be costly to make, as a path is of hashes: made once a row, not once for each splitter
+    return let(F.struct(*order), lambda key: let(upto(F.array(*[g[0] for g in groups]), key), lambda group: within(key, group)))
 
 
 def _carried(df: DataFrame, summary: dict[str, Column], carry) -> DataFrame:
