@@ -114,6 +114,21 @@ def test_ranges_of_any_key(spark):
     assert scan.ordered_bucket(df.limit(0), ["path"], 8)._jc.toString() == "0"
 
 
+@pytest.mark.parametrize("broadcast", [100_000, 0])
+def test_place_in_against_all_pairs(spark, monkeypatch, broadcast):
+    """Each point once, with the interval that holds it or none; also with a dense stretch, a wide gap, points at the very ends and an instant that most points share."""
+    monkeypatch.setattr(interval, "BROADCAST_ROWS", broadcast)
+    monkeypatch.setattr(interval, "HOT_POINTS", 5)
+    rng = random.Random(19)
+    ends = {k: sorted({rng.uniform(0, 10) for _ in range(60)} | {rng.uniform(1e6, 1e6 + 9000) for _ in range(40)} | {-5.0, 2e6 * k}) for k in (1, 2)}
+    intervals = [(k, a, b, f"{k}/{n}") for k, e in ends.items() for n, (a, b) in enumerate(zip(e, e[1:], strict=False)) if n % 9]
+    times = [t for e in ends.values() for t in e] + [rng.uniform(-10, 12) for _ in range(200)] + [rng.uniform(0, 3e6) for _ in range(50)] + [7.5] * 400 + [None]
+    points = [(i, rng.choice([1, 2, 3, None]), t) for i, t in enumerate(times)]
+    want = {i: next((x for c, a, b, x in intervals if c == k and t is not None and a < t <= b), None) for i, k, t in points}
+    got = interval.place_in(spark.createDataFrame(points, "id long, k long, t double"), spark.createDataFrame(intervals, "k long, a double, b double, x string"), "t", "a", "b", ["k"]).collect()
+    assert len(got) == len(points) and {r["id"]: r["x"] for r in got} == want
+
+
 def test_a_range_is_looked_up_once_a_row(spark):
     """The group of splitters and the splitter within it: two searches, for a key that is made once and not for each splitter."""
     df = spark.range(4000).select("id", F.md5(F.col("id").cast("string")).alias("path"))

@@ -15,7 +15,7 @@ from ..functions.weather import describe_weather, wmo_label
 from ..plans.scan import last_known, next_known, ordered_bucket, previous_row
 from ..plans.stored import stored
 from .similarity import greedy_similarity_groups
-from .spacetime import choose_track, interpolate_on_track
+from .spacetime import choose_track, place_on_track
 
 #: An island with more rows is grouped by pointer doubling, not in one task.
 ISLAND_ROWS = 100_000
@@ -32,14 +32,18 @@ def sample_times(media: DataFrame, every_s: int) -> DataFrame:
 
 def sample_media(media: DataFrame, points: DataFrame, tracks: DataFrame, every_s: int) -> DataFrame:
     """media_id, offset_s, t_s, lat, lon, ele, source of samples: on the best track of the medium, else at the medium's own place."""
-    times = sample_times(media, every_s)
-    chosen = choose_track(times.select("media_id", "start_s", "end_s").distinct(), tracks).select("media_id", "track_id")
-    placed = interpolate_on_track(times.join(chosen, "media_id"), points, keys=["track_id"]).select("media_id", "offset_s", F.struct("lat", "lon", "ele").alias("p"))
-    own = media.select(F.col("id").alias("media_id"), F.struct(F.col("latitude").alias("lat"), F.col("longitude").alias("lon"), F.col("altitude").alias("ele")).alias("o"))
-    rows = times.join(placed, ["media_id", "offset_s"], "left").join(own, "media_id", "left")
-    source = F.when(F.col("p").isNotNull(), "track_interpolado").when(F.col("o.lat").isNotNull(), "gps_propio")
-    at = F.coalesce("p", F.when(F.col("o.lat").isNotNull() & F.col("o.lon").isNotNull(), F.col("o")))
-    return rows.select("media_id", "offset_s", "t_s", at["lat"].alias("lat"), at["lon"].alias("lon"), at["ele"].alias("ele"), source.alias("source"))
+    start = epoch_seconds(F.col("timestamp_utc"))
+    length = F.greatest(F.coalesce("duration_secs", F.lit(0.0)), F.lit(0.0))
+    own = F.when(F.col("latitude").isNotNull(), F.struct(F.col("latitude").alias("lat"), F.col("longitude").alias("lon"), F.col("altitude").alias("ele")))
+    spans = media.where("timestamp_utc IS NOT NULL").select(F.col("id").alias("media_id"), start.alias("start_s"), (start + length).alias("end_s"), F.floor(length / every_s).cast("int").alias("_last"), own.alias("o"))
+    spans = stored(choose_track(spans, tracks).select("media_id", "start_s", "_last", "o", "track_id"), "media-spans")
+    # by medium, so that windows over a medium's samples need not move these
+    rows = spans.repartition("media_id").withColumn("_k", F.explode(F.sequence(F.lit(0), "_last")))
+    rows = rows.select("media_id", "track_id", "o", (F.col("_k") * every_s).alias("offset_s"), (F.col("start_s") + F.col("_k") * every_s).alias("t_s"))
+    placed = place_on_track(rows, points)
+    source = F.when(F.col("p").isNotNull(), "track_interpolado").when(F.col("o").isNotNull(), "gps_propio")
+    at = F.coalesce("p", F.when(F.col("o.lon").isNotNull(), F.col("o")))
+    return placed.select("media_id", "offset_s", "t_s", at["lat"].alias("lat"), at["lon"].alias("lon"), at["ele"].alias("ele"), source.alias("source"))
 
 
 def _per() -> W:
@@ -83,9 +87,9 @@ def coarse_samples(samples: DataFrame, every_s: float) -> DataFrame:
     return samples.join(near.select("media_id", best.alias("offset_s")).distinct(), ["media_id", "offset_s"], "left_semi")
 
 
-def place_transitions(samples: DataFrame, places: DataFrame) -> DataFrame:
-    """Where the described place (``places``: media_id, offset_s, municipio, provincia) changes; an unknown one resets."""
-    named = samples.join(places, ["media_id", "offset_s"], "left")
+def place_transitions(samples: DataFrame, places: DataFrame | None = None) -> DataFrame:
+    """Where the described place changes, that of ``places`` (media_id, offset_s, municipio, provincia) or, without them, of the samples' own columns; an unknown one resets."""
+    named = samples if places is None else samples.join(places, ["media_id", "offset_s"], "left")
     return changes(named, describe_place(F.col("municipio"), F.col("provincia"))).select("media_id", "offset_s", "value")
 
 

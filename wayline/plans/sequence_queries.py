@@ -71,10 +71,7 @@ def coarse(v):
 d AS (SELECT s.media_id, s.offset_s, 'municipio: ' || p[1] || ' (' || p[2] || ')' AS value FROM samples s LEFT JOIN g USING (media_id, offset_s)), x AS (SELECT *, lag(value) OVER (PARTITION BY media_id ORDER BY offset_s) AS q FROM d)
 SELECT media_id, CAST(offset_s AS INT) AS offset_s, value FROM x WHERE value IS NOT NULL AND value IS DISTINCT FROM q""")
 def place_changes(v):
-    s = samples(v)
-    located = s.select((F.col("media_id") * 100_000 + F.col("offset_s")).alias("id"), F.col("lat").alias("latitude"), F.col("lon").alias("longitude"))
-    places = S.attach_places(located, v.gazetteer).select(F.floor(F.col("id") / 100_000).alias("media_id"), (F.col("id") % 100_000).cast("int").alias("offset_s"), "municipio", "provincia")
-    return Q.place_transitions(s, places)
+    return Q.place_transitions(S.with_places(samples(v), v.gazetteer, "lat", "lon"))
 
 
 @query("W7b_weather_transitions", f"""WITH {_SAMPLES}, w AS (SELECT media_id, offset_s, CASE WHEN (media_id + offset_s // 60) % 5 = 4 THEN NULL ELSE (media_id + offset_s // 180) % 3 END AS code, CAST((media_id * 7 + offset_s // 60 * 4) % 30 AS DOUBLE) AS temp FROM samples),
