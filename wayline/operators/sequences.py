@@ -63,8 +63,9 @@ def changes(rows: DataFrame, state: Column) -> DataFrame:
 
 
 def daylight_transitions(samples: DataFrame) -> DataFrame:
-    sun = twilight_class(sun_position(F.col("lat"), F.col("lon"), F.col("t_s"))["elevation"])
-    return changes(samples, F.when(F.col("lat").isNotNull() & F.col("lon").isNotNull(), sun)).select("media_id", "offset_s", "value")
+    """Where the class of the sun's height changes; without a place it is unknown. The height is a column of its own, as the class compares it several times."""
+    s = samples.withColumn("_height", sun_position(F.col("lat"), F.col("lon"), F.col("t_s"))["elevation"])
+    return changes(s, twilight_class(F.col("_height"))).select("media_id", "offset_s", "value")
 
 
 def motion_transitions(samples: DataFrame, least_kmh: float = 3) -> DataFrame:
