@@ -65,6 +65,34 @@ def test_anchored_groups_by_doubling_equal_the_fold(spark):
         assert {r["id"]: r["group"] for r in sequences.anchored_time_groups(rows, 30, island_rows=limit).collect()} == want
 
 
+def test_anchored_groups_count_instants_not_rows(spark, monkeypatch):
+    """Rows at one instant are in one group, so an island of many copies of few instants is not a large one."""
+    monkeypatch.setattr(sequences, "_doubled", None)
+    minutes = sorted(k * 7 % 400 for k in range(40) for _ in range(20))
+    want, lead, first = {}, None, None
+    for i, m in enumerate(minutes):
+        if first is None or m - first > 30:
+            lead, first = i, m
+        want[i] = lead
+    got = sequences.anchored_time_groups(instants(spark, minutes), 30, island_rows=100).collect()
+    assert {r["id"]: r["group"] for r in got} == want and len(got) == len(minutes)
+
+
+@pytest.mark.parametrize("broadcast", [100_000, 0])
+def test_places_of_rows_against_all_boxes(spark, monkeypatch, broadcast):
+    """Every row stays, once; of overlapping boxes the first by name; lower bounds are included."""
+    from wayline.operators import spacetime
+
+    monkeypatch.setattr(spacetime, "BROADCAST_ROWS", broadcast)
+    boxes = [("b", "p", 0.0, 1.0, 0.0, 1.0), ("a", "q", 0.5, 1.5, 0.5, 0.95), ("a", "p", 0.9, 2.0, 0.9, 2.0), (None, "z", 3.0, 3.01, 3.0, 3.01)]
+    at = [(0.0, 0.0), (1.0, 1.0), (0.5, 0.5), (0.92, 0.93), (0.92, 0.95), (3.0, 3.0), (3.0, 3.01), (9.0, 9.0), (None, 0.1), (0.1, None), (0.1, 0.1), (0.1, 0.1)]
+    holding = lambda y, x: [(m or "", p) for m, p, a, b, c, d in boxes if None not in (y, x) and a <= y < b and c <= x < d]
+    want = {i: min(holding(*c), default=("none", None)) for i, c in enumerate(at)}
+    rows = spark.createDataFrame([(i, *c) for i, c in enumerate(at)], "id long, lat double, lon double")
+    got = spacetime.with_places(rows, spark.createDataFrame(boxes, "municipio string, provincia string, lat_min double, lat_max double, lon_min double, lon_max double"), "lat", "lon").collect()
+    assert {r["id"]: (r["municipio"] or "", r["provincia"]) if r["_placed"] else ("none", None) for r in got} == want and len(got) == len(at)
+
+
 def test_greedy_groups_respect_the_threshold(spark):
     rows = spark.createDataFrame([(1, k, k, h) for k, h in enumerate([0, 1, 3, 255, 254, None])], "group long, ord long, id long, item long")
     got = {r["id"]: r["lead"] for r in sequences.greedy_similarity_groups(rows, "hamming", 2).collect()}

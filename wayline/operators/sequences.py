@@ -17,7 +17,7 @@ from ..plans.stored import stored
 from .similarity import greedy_similarity_groups
 from .spacetime import choose_track, place_on_track
 
-#: An island with more rows is grouped by pointer doubling, not in one task.
+#: An island with more instants is grouped by pointer doubling, not in one task.
 ISLAND_ROWS = 100_000
 
 
@@ -209,12 +209,14 @@ def gap_sessions(rows: DataFrame, seconds: float, ts: str = "ts", key: str = "id
 def anchored_time_groups(rows: DataFrame, minutes: float, ts: str = "ts", key: str = "id", island_rows: int = ISLAND_ROWS) -> DataFrame:
     """``rows`` with group: the first row's key; a new group begins when a row is more than ``minutes`` after its group's first.
 
-    Gaps longer than that are borders of groups in any case, and cut the rows into islands that are independent. Each island is folded in
-    order. An island of more than ``island_rows`` is solved by doubling instead: each row knows the row that would begin the next
-    group after it, and the rows reached from the island's first are found in a logarithmic number of joins.
+    Rows at one instant are in one group, whose key is the least of the first instant's, so only distinct instants are grouped. Gaps longer than
+    that are borders of groups in any case, and cut them into islands that are independent. Each island is folded in
+    order. An island of more than ``island_rows`` instants is solved by doubling instead: each knows the one that would begin the next
+    group after it, and those reached from the island's first are found in a logarithmic number of joins.
     """
     width = minutes * 60
-    sessions = gap_sessions(rows.select(F.col(key).alias("_key"), F.col(ts).alias("_ts")), width, "_ts", "_key").withColumn("_s", epoch_seconds(F.col("_ts")))
+    instants = stored(rows.groupBy(F.col(ts).alias("_ts")).agg(F.min(key).alias("_key")), "group-instants")
+    sessions = stored(gap_sessions(instants, width, "_ts", "_key").withColumn("_s", epoch_seconds(F.col("_ts"))), "group-islands")
     sizes = sessions.groupBy("session").agg(F.count("*").alias("_n"))
     sized = sessions.join(sizes, "session")
 
@@ -230,7 +232,8 @@ def anchored_time_groups(rows: DataFrame, minutes: float, ts: str = "ts", key: s
     grouped = sized.where(F.col("_n") <= island_rows).groupBy("session").applyInPandas(fold, "_key long, group long")
     if sizes.where(F.col("_n") > island_rows).take(1):
         grouped = grouped.unionByName(_doubled(sized.where(F.col("_n") > island_rows), width))
-    return rows.join(grouped.withColumnRenamed("_key", key), key)
+    of_instant = instants.join(grouped, "_key").select("_ts", "group")
+    return rows.join(of_instant, F.col(ts).eqNullSafe(F.col("_ts"))).drop("_ts")
 
 
 def _doubled(rows: DataFrame, width: float) -> DataFrame:
