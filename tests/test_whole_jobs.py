@@ -1,5 +1,6 @@
 """Operators against brute force where a shortcut would lose rows."""
 
+import bisect
 import math
 import random
 
@@ -9,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from wayline import registry
+from wayline.functions.sun import epoch_seconds
 from wayline.operators import matching, sequences, spacetime
 from wayline.plans import sequence_queries
 from wayline.sources.fixtures import Views
@@ -223,3 +225,57 @@ def test_work_on_small_groups_is_not_done_group_by_group(spark):
     """Videos share tasks; a medium's weather is one row from the join on."""
     assert "FlatMapGroupsInPandas" not in plan_of(registry.queries()["W8_video_positions"](spark, SMALL))
     assert "min_by" not in plan_of(registry.queries()["J10_attach_weather"](spark, SMALL))
+
+
+def test_video_samples_are_made_and_moved_once(spark):
+    """One row a video gets its track, and its samples are neither made again for gaps and ends nor joined back by number."""
+    plan = plan_of(registry.queries()["W8_video_positions"](spark, SMALL))
+    assert plan.count("Generate explode(sequence(0") == 1 and "Union" not in plan and plan.count("Join ") == 1
+
+
+def test_video_positions_from_the_tables(spark):
+    """The whole query, video by video: best track, samples every 30 s and the exact end, places between two points, the rule."""
+    v = Views(spark, SMALL)
+    seconds = lambda c: epoch_seconds(F.col(c)).alias("s")
+    tracks = {}
+    for k, s, *place in v.track_points.select("track_id", seconds("time"), "latitude", "longitude").collect():
+        of_track = tracks.setdefault(k, {})
+        of_track[s] = min(of_track.get(s, place), place)
+    tracks = {k: sorted(x.items()) for k, x in tracks.items()}
+
+    def rank(a, b, k):
+        c, d = tracks[k][0][0], tracks[k][-1][0]
+        inside = min(b, d) - max(a, c)
+        return (0, d - c, k) if c <= a and b <= d else (1, -inside, k) if inside > 0 else (2, max(c - b, a - d, 0.0), k)
+
+    def place(track, offset, t):
+        n = bisect.bisect_left(track, t, key=lambda x: x[0])
+        if n in (0, len(track)):
+            return offset, None, None, None
+        (s1, p1), (s2, p2) = track[n - 1 : n + 1]
+        f = (t - s1) / (s2 - s1)
+        return offset, p1[0] + (p2[0] - p1[0]) * f, p1[1] + (p2[1] - p1[1]) * f, s2 - s1
+
+    videos = v.media.where("type = 'video' AND timestamp_utc IS NOT NULL").select("id", seconds("timestamp_utc"), "duration_secs").collect()
+    for gap_s, least_m, kmh in ((40_000, 5, 0.05), (9_000, 900, 60)):
+        want, got = {}, {}
+        for i, a, length in videos:
+            track = tracks[min(rank(a, a + length, k) for k in tracks)[-1]]
+            samples = [place(track, float(o), a + o) for o in range(0, int(length) + 1, 30)]
+            want[i] = positions_one_by_one(samples, place(track, a + length - a, a + length), gap_s, least_m, kmh)
+        for r in sequences.video_positions(sequence_queries.video_samples(v), gap_s, least_m, kmh).collect():
+            assert (r["kind"] == "gap") == (r["lat"] is None) == (r["lon"] is None)
+            got.setdefault(r["media_id"], []).append((r["offset_s"], r["kind"]))
+        assert {k: sorted(x) for k, x in got.items()} == {k: x for k, x in want.items() if x}
+        assert len({kind for x in want.values() for _, kind in x}) == 2
+
+
+def test_video_positions_over_many_batches(spark):
+    """A video whose rows fill several batches, gaps first, an end at a sample's own time, and an end without samples."""
+    n = 25_000
+    still = [(1, k * 10.0, -34.0 + k // 5 * 1e-3, -58.0, 900.0 if k < 3 else 5.0) for k in range(n)]
+    rows = [(m, o, o, a, b, s, False) for m, o, a, b, s in still] + [(1, (n - 1) * 10.0, (n - 1) * 10.0, -34.0, -58.0, 5.0, True), (2, 0.0, 0.0, -34.0, -58.0, 5.0, True), (2, 0.0, 0.0, None, None, None, False)]
+    df = spark.createDataFrame(rows, "media_id long, offset_s double, t_s double, lat double, lon double, seg_s double, is_end boolean")
+    got = sorted((r["media_id"], r["offset_s"], r["kind"]) for r in sequences.video_positions(df, 60, 20, 3).collect())
+    samples = [(o, a, b, s) for _, o, a, b, s in still]
+    assert got == [(1, *x) for x in positions_one_by_one(samples, ((n - 1) * 10.0, -34.0, -58.0, 5.0), 60, 20, 3)] and len(got) > n // 5

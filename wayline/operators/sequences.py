@@ -6,6 +6,7 @@ from collections.abc import Iterator
 from math import asin, cos, radians, sin, sqrt
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.geo import describe_place, haversine_m
@@ -21,26 +22,25 @@ from .spacetime import choose_track, place_on_track
 ISLAND_ROWS = 100_000
 
 
-def sample_times(media: DataFrame, every_s: int) -> DataFrame:
-    """media_id, offset_s, t_s, start_s, end_s: instants every ``every_s`` seconds within each medium, both ends included; one at the start of a medium without length."""
+def track_samples(media: DataFrame, points: DataFrame, tracks: DataFrame, every_s: int, ends: bool = False, **more: Column) -> DataFrame:
+    """media_id, offset_s, t_s, p (place on the medium's best track, null off it), seg_s (length of the track's segment there), is_end and ``more`` of the medium: instants every ``every_s`` seconds
+    within each medium, both ends included; one at the start of a medium without length. With ``ends`` one more at each medium's exact end, whose is_end is true."""
     start = epoch_seconds(F.col("timestamp_utc"))
     length = F.greatest(F.coalesce("duration_secs", F.lit(0.0)), F.lit(0.0))
-    steps = F.sequence(F.lit(0), F.floor(length / every_s).cast("int"))
-    rows = media.where("timestamp_utc IS NOT NULL").select(F.col("id").alias("media_id"), start.alias("start_s"), (start + length).alias("end_s"), F.explode(steps).alias("_k"))
-    return rows.select("media_id", (F.col("_k") * every_s).alias("offset_s"), (F.col("start_s") + F.col("_k") * every_s).alias("t_s"), "start_s", "end_s")
+    spans = media.where("timestamp_utc IS NOT NULL").select(F.col("id").alias("media_id"), start.alias("start_s"), (start + length).alias("end_s"), F.floor(length / every_s).cast("int").alias("_last"), *[c.alias(name) for name, c in more.items()])
+    spans = stored(choose_track(spans, tracks).select("media_id", "start_s", "end_s", "_last", *more, "track_id"), "media-spans")
+    # by medium, so that windows over a medium's samples need not move these
+    rows = spans.repartition("media_id").withColumn("_k", F.explode(F.sequence(F.lit(0), F.col("_last") + int(ends)))).withColumn("is_end", F.col("_k") > F.col("_last"))
+    offset, t = F.col("_k") * every_s, F.col("start_s") + F.col("_k") * every_s
+    if ends:
+        offset, t = F.when(F.col("is_end"), F.col("end_s") - F.col("start_s")).otherwise(offset), F.when(F.col("is_end"), F.col("end_s")).otherwise(t)
+    return place_on_track(rows.select("media_id", "track_id", *more, offset.alias("offset_s"), t.alias("t_s"), "is_end"), points).drop("track_id")
 
 
 def sample_media(media: DataFrame, points: DataFrame, tracks: DataFrame, every_s: int) -> DataFrame:
     """media_id, offset_s, t_s, lat, lon, ele, source of samples: on the best track of the medium, else at the medium's own place."""
-    start = epoch_seconds(F.col("timestamp_utc"))
-    length = F.greatest(F.coalesce("duration_secs", F.lit(0.0)), F.lit(0.0))
     own = F.when(F.col("latitude").isNotNull(), F.struct(F.col("latitude").alias("lat"), F.col("longitude").alias("lon"), F.col("altitude").alias("ele")))
-    spans = media.where("timestamp_utc IS NOT NULL").select(F.col("id").alias("media_id"), start.alias("start_s"), (start + length).alias("end_s"), F.floor(length / every_s).cast("int").alias("_last"), own.alias("o"))
-    spans = stored(choose_track(spans, tracks).select("media_id", "start_s", "_last", "o", "track_id"), "media-spans")
-    # by medium, so that windows over a medium's samples need not move these
-    rows = spans.repartition("media_id").withColumn("_k", F.explode(F.sequence(F.lit(0), "_last")))
-    rows = rows.select("media_id", "track_id", "o", (F.col("_k") * every_s).alias("offset_s"), (F.col("start_s") + F.col("_k") * every_s).alias("t_s"))
-    placed = place_on_track(rows, points)
+    placed = track_samples(media, points, tracks, every_s, o=own)
     source = F.when(F.col("p").isNotNull(), "track_interpolado").when(F.col("o").isNotNull(), "gps_propio")
     at = F.coalesce("p", F.when(F.col("o.lon").isNotNull(), F.col("o")))
     return placed.select("media_id", "offset_s", "t_s", at["lat"].alias("lat"), at["lon"].alias("lon"), at["ele"].alias("ele"), source.alias("source"))
@@ -110,45 +110,49 @@ def video_positions(samples: DataFrame, gap_s: float, least_m: float, moving_kmh
 
     Samples off the track (no position) are left out. One in a segment over ``gap_s`` long is in a gap: a 'gap' row stands for each run, and for an end in one. Of the others
     the first is taken, the first of each slow run, one that is ``least_m`` or more from the last taken while moving, and the end; a gap forgets
-    neither the last taken nor a pause. Taken rows nearer than ``least_m`` to the last kept go. Speeds, runs and gaps are windows; only
-    what was taken and kept last is state, so a task goes through the rows of its videos in order, and holds none of them.
+    neither the last taken nor a pause. Taken rows nearer than ``least_m`` to the last kept go. Speeds, runs and gaps are windows in one order, so
+    samples are made and moved once; only what was taken and kept last is state, so a task goes through the rows of its videos in order, and holds none of them.
     """
-    on = samples.where("lat IS NOT NULL AND lon IS NOT NULL")
-    along, prev = on.where(~F.col("is_end")), lambda c: F.lag(c).over(_per())
-    kmh = haversine_m(prev("lat"), prev("lon"), F.col("lat"), F.col("lon")) / F.nullif(F.col("t_s") - prev("t_s"), F.lit(0.0)) * 3.6
-    gap = lambda: F.coalesce(F.col("seg_s") > gap_s, F.lit(False))
-    along = along.withColumns({"_slow": F.coalesce(kmh, F.lit(0.0)) < moving_kmh, "_gap": gap()})
-    gaps = along.withColumn("_p", prev("_gap")).where("_gap AND NOT coalesce(_p, false)").select("media_id", "offset_s")
-    n = F.row_number().over(_per())
-    way = F.when(n == 1, "first").when(F.col("_slow"), F.when((n == 2) | ~prev("_slow"), "pause")).otherwise("moving")
-    steps = along.where(~F.col("_gap")).withColumn("way", way).where("way IS NOT NULL").select("media_id", "offset_s", "way", "lat", "lon")
-    ends = on.where("is_end").join(along.select("media_id").distinct(), "media_id", "left_semi").withColumn("_gap", gap())
-    steps = steps.unionByName(ends.where(~F.col("_gap")).select("media_id", "offset_s", F.lit("the end").alias("way"), "lat", "lon"))
-
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    order = W.partitionBy("media_id").orderBy("offset_s", "is_end")  # an end at a sample's own time comes after it
+    before, sample = order.rowsBetween(W.unboundedPreceding, -1), ~F.col("is_end")
+    last = lambda of, c: F.last(F.when(of, c), ignorenulls=True).over(before)
+    rows = samples.where("lat IS NOT NULL AND lon IS NOT NULL").withColumn("_gap", F.coalesce(F.col("seg_s") > gap_s, F.lit(False)))
+    along = F.max(sample).over(order.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
+    rows = rows.withColumns({"_p": last(sample, F.struct("t_s", "lat", "lon", "_gap")), "_along": along})
+    kmh = haversine_m(F.col("_p.lat"), F.col("_p.lon"), F.col("lat"), F.col("lon")) / F.nullif(F.col("t_s") - F.col("_p.t_s"), F.lit(0.0)) * 3.6
+    going = sample & ~F.col("_gap")
+    rows = rows.withColumn("_slow", F.coalesce(kmh, F.lit(0.0)) < moving_kmh)
+    rows = rows.withColumns({"_n": F.count(F.when(going, 1)).over(before), "_was_slow": last(going, F.col("_slow"))})
+    of_end = F.when(F.col("_along"), F.when(F.col("_gap"), "gap").otherwise("the end"))
+    of_gap = F.when(~F.coalesce("_p._gap", F.lit(False)), "gap")
+    of_slow = F.when((F.col("_n") == 1) | ~F.col("_was_slow"), "pause")
+    way = F.when(~sample, of_end).when(F.col("_gap"), of_gap).when(F.col("_n") == 0, "first").when(F.col("_slow"), of_slow).otherwise("moving")
+    steps = rows.withColumn("way", way).where("way IS NOT NULL").withColumn("n", F.row_number().over(order))
+    is_gap = F.col("way") == "gap"
+    place = [F.when(~is_gap, F.col(c)).cast("double").alias(c) for c in ("lat", "lon")]
+    steps = steps.select("n", "way", F.col("media_id").cast("long"), F.col("offset_s").cast("double"), F.when(is_gap, "gap").otherwise("position").alias("kind"), *place)
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         taken, kept = None, None  # of the video that rows are at, which may have begun in an earlier batch
         for rows in batches:
-            out = []
-            for n, m, *r, way in zip(*[rows[c].tolist() for c in ("n", "media_id", "offset_s", "lat", "lon", "way")], strict=True):
+            chosen = []
+            for i, (n, way, *r) in enumerate(zip(*[rows[c].to_pylist() for c in ("n", "way", "offset_s", "lat", "lon")], strict=True)):
                 if n == 1:
                     taken, kept = None, None
+                if way == "gap":
+                    chosen.append(i)
+                    continue
                 if way == "moving" and (taken is None or _metres(taken, r) < least_m):
                     continue
                 if way == "the end" and (taken is None or taken[0] >= r[0]):
                     continue
                 taken = r
                 if kept is None or _metres(kept, r) >= least_m:
-                    out.append((m, r[0], "position", r[1], r[2]))
+                    chosen.append(i)
                     kept = r
-            yield pd.DataFrame(out, columns=["media_id", "offset_s", "kind", "lat", "lon"])
-
-    schema = "media_id long, offset_s double, kind string, lat double, lon double"
-    none = F.lit(None).cast("double")
-    gaps = gaps.unionByName(ends.where("_gap").select("media_id", "offset_s")).select("media_id", "offset_s", F.lit("gap").alias("kind"), none.alias("lat"), none.alias("lon"))
-    # an end at a sample's own time comes after it; the window brings a video's rows together, in order, whatever partitions the union claims to have
-    number = F.row_number().over(W.partitionBy("media_id").orderBy("offset_s", "way"))
-    dealt = steps.select("media_id", "offset_s", "way", "lat", "lon", number.alias("n"))
-    return dealt.mapInPandas(fold, schema).unionByName(gaps)
+            yield rows.select(["media_id", "offset_s", "kind", "lat", "lon"]).take(pa.array(chosen, pa.int64()))
+
+    return steps.mapInArrow(fold, "media_id long, offset_s double, kind string, lat double, lon double")
 
 
 def _metres(a: list[float], b: list[float]) -> float:

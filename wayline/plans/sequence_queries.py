@@ -86,12 +86,8 @@ def weather_changes(v):
 
 def video_samples(v):
     """Samples every 30 s of all videos, and one more at their ends, on their best tracks."""
-    times = Q.sample_times(v.media.where("type = 'video'"), 30).withColumns({"offset_s": F.col("offset_s").cast("double"), "is_end": F.lit(False)})
-    ends = times.where("offset_s = 0").withColumns({"offset_s": F.col("end_s") - F.col("start_s"), "t_s": F.col("end_s"), "is_end": F.lit(True)})
-    chosen = S.choose_track(times.select("media_id", "start_s", "end_s").distinct(), S.track_ranges(v.track_points)).select("media_id", "track_id")
-    both = times.unionByName(ends)
-    placed = S.interpolate_on_track(both.join(chosen, "media_id"), v.track_points, keys=["track_id"]).select("media_id", "offset_s", "is_end", "lat", "lon", "seg_s")
-    return both.join(placed, ["media_id", "offset_s", "is_end"], "left").select("media_id", "offset_s", "t_s", "lat", "lon", "seg_s", "is_end")
+    s = Q.track_samples(v.media.where("type = 'video'"), v.track_points, S.track_ranges(v.track_points), 30, ends=True)
+    return s.select("media_id", "offset_s", "t_s", "p.lat", "p.lon", "seg_s", "is_end")
 
 
 @query("W8_video_positions")
